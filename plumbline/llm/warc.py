@@ -68,7 +68,7 @@ def write_archives(
 ) -> None:
     """Writes one response or revisit record per row of pages (page_id, url, html) to archives under path.
 
-    An archive has records_per_archive records at most, which bounds what a task of the index holds. The payload is
+    An archive has records_per_archive records at most, which bounds the index rows of an archive. The payload is
     not shuffled while the list of revisits is small enough to broadcast by Spark's own size limit.
     """
     ready = prepare(pages)
@@ -98,20 +98,47 @@ def write_archives(
     lines.write.option("lineSep", END).option("maxRecordsPerFile", records_per_archive).text(path)
 
 
-def parse(content: bytes) -> Iterator[dict]:
-    """The records of one archive by their Content-Length, with the offsets of record and HTTP body."""
-    at, end_mark = 0, END.encode()
-    while at < len(content):
-        head_end = content.index(end_mark, at)
-        lines = content[at:head_end].decode("utf-8").split(CRLF)
+class _Pieces:
+    """A file read forward in pieces; at() gives a short stretch, since() what there is from an offset on."""
+
+    def __init__(self, source, piece: int = 1 << 20):
+        self.source, self.piece, self.size = source, piece, source.size()
+        self.start, self.held = 0, b""
+
+    def since(self, offset: int, least: int) -> memoryview:
+        stop = min(self.size, offset + least)
+        if offset < self.start or stop > self.start + len(self.held):
+            self.source.seek(offset)
+            self.start, self.held = offset, self.source.read(max(least, self.piece))
+        return self.held[offset - self.start : offset - self.start + max(least, 0)]
+
+    def head(self, offset: int) -> tuple[bytes, int]:
+        """The header block that begins at offset, and the offset behind its empty line."""
+        least = 2048
+        while True:
+            found = self.since(offset, least)
+            end = found.find(END.encode())
+            if end >= 0:
+                return found[:end], offset + end + 4
+            if offset + least >= self.size:
+                raise ValueError(f"no end of the header that begins at {offset}")
+            least *= 4
+
+
+def parse(source) -> Iterator[dict]:
+    """The records of one archive (a seekable file with size()) by their Content-Length, with the offsets of record
+    and HTTP body. Payloads are skipped, so memory does not depend on the size of archive or record."""
+    pieces, at = _Pieces(source), 0
+    strip = lambda x: x[len(ID_PREFIX) + 1 : -1] if x else None
+    while at < pieces.size:
+        block_head, block = pieces.head(at)
+        lines = block_head.decode("utf-8").split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at offset {at}")
         head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        block = head_end + 4
+        http, body = pieces.head(block)
+        sizes = [x for x in http.decode("latin-1").split(CRLF) if x.lower().startswith("content-length:")]
         stop = block + int(head["content-length"])
-        body = content.index(end_mark, block, stop) + 4
-        sizes = [x for x in content[block:body].decode("latin-1").split(CRLF) if x.lower().startswith("content-length:")]
-        strip = lambda x: x[len(ID_PREFIX) + 1 : -1] if x else None
         yield {
             "offset": at,
             "length": stop - at,
@@ -129,14 +156,14 @@ def parse(content: bytes) -> Iterator[dict]:
 def _index_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in INDEX_SCHEMA.split(", ")]
     for frame in frames:
-        for path, content in zip(frame["path"], frame["content"]):
-            found = pd.DataFrame([{"file": path, **r} for r in parse(content)], columns=names)
-            yield found
+        for path in frame["path"]:
+            with _open(path) as source:
+                yield pd.DataFrame([{"file": path, **r} for r in parse(source)], columns=names)
 
 
 def index_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives under path: INDEX_SCHEMA, written to the shared folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path")
     return workspace.stage(files.mapInPandas(_index_files, INDEX_SCHEMA), "warc-index")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import warc
+from . import bpe, warc
 from .workspace import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,22 @@ SELECT d.page_id, d.n AS payload_bytes, d.h AS payload_digest,
        CASE WHEN f.first_id < d.page_id THEN f.first_id END AS refers_to
 FROM d LEFT JOIN f ON d.h = f.h AND d.n >= 100
 """
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of each whole text, and of the text that they decode to."""
+    shared = bpe.load(spark, tokenizer_path())
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), shared).select("doc_id", "ids")
+    return bpe.decode(ids, shared).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, warc
+from . import bpe, secrets, warc
 from .workspace import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,18 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of each whole text: the base kinds by the contract, and all kinds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = F.col("found")
+    base = tuple(r.kind for r in secrets.BASE)
+    n = lambda kind: F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return secrets.scan(docs).select(
+        "doc_id",
+        *(n(kind) for kind in base),
+        F.sha2(secrets.joined(found, base), 256).alias("base_sha256"),
+        secrets.joined(found, tuple(r.kind for r in secrets.RULES)).alias("spans"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, warc
+from . import bpe, pii, secrets, warc
 from .workspace import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.joined(found, base), 256).alias("base_sha256"),
         secrets.joined(found, tuple(r.kind for r in secrets.RULES)).alias("spans"),
     )
+
+
+#: A stand-in for the secret that a deployment passes in; whoever knows it can undo the permutations.
+DEMO_SECRET = "not a secret: replace it"
+
+
+@query
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts with their personal values replaced, and how many of each kind."""
+    out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_SECRET)
+    n = lambda kind: F.coalesce(F.col("pii")[kind], F.lit(0)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *(n(kind) for kind in pii.KINDS), "text")

@@ -44,7 +44,7 @@ def rewrite(text: Column, pattern: str, change: Callable[[Column], Column]) -> C
     changed = bound(
         F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hits")),
         lambda x: F.concat(
-            F.array_join(F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), F.transform(x["hits"], change), F.concat), ""),
+            F.array_join(F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), F.transform(x["hits"], change), lambda g, c: F.concat(g, c)), ""),
             F.element_at(x["gaps"], -1),
         ),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, secrets, warc
+from . import bpe, decontaminate, pii, secrets, warc
 from .workspace import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,10 @@ def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_SECRET)
     n = lambda kind: F.coalesce(F.col("pii")[kind], F.lit(0)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", *(n(kind) for kind in pii.KINDS), "text")
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, with each item that their tiles cover enough of."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs.select("doc_id", "text"), items, ["doc_id"])

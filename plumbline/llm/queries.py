@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, secrets, warc
+from . import bpe, decontaminate, pii, secrets, toxicity, warc
 from .workspace import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents, with each item that their tiles cover enough of."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contaminated(docs.select("doc_id", "text"), items, ["doc_id"])
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of each whole text by the classifier trained on the label model's posterior labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, secrets, toxicity, warc
+from . import bpe, decontaminate, lm, pii, secrets, toxicity, warc
 from .workspace import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
     )
+
+
+@query
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and interpolated score of each whole text."""
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lm, pii, secrets, toxicity, warc
+from . import bpe, decontaminate, embeddings, lm, pii, secrets, toxicity, warc
 from .workspace import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base score and interpolated score of each whole text."""
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.9 or more."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op5_embedding_links"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda y: CASE WHEN isfinite(y) THEN 0 ELSE 1 END), 'sum') = 0
+    AND list_aggregate(list_transform(embedding, lambda y: abs(y)), 'max') > 0),
+l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id WHERE list_cosine_similarity(p.x, q.x) >= 0.9),
+c(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.component_id, m.component_id = e.vec_id AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM c GROUP BY a) m ON m.a = e.vec_id
+"""

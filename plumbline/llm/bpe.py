@@ -24,7 +24,7 @@ SPACE_RUN = re.compile(f"[{SPACES}]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Marks the last symbol of a word, in place of the suffix of the vocabulary file.
 LAST = 0xE000
-CACHED_WORDS = 150_000
+CACHED_WORDS = 250_000
 CACHED_LENGTH = 64
 
 
@@ -95,12 +95,13 @@ class Encoder:
         self.shorter = {}
         self.automaton = ahocorasick.Automaton()
         for s in tables.canonical:
-            self.automaton.add_word(s, (len(s), tables.ids[s]))
+            self.automaton.add_word(s, (len(s) - 1, tables.ids[s]))
             cut = next((s[:n] for n in range(len(s) - 1, 0, -1) if s[:n] in known), None)
             self.shorter[tables.ids[s]] = tables.ids[cut] if cut else None
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.alphabetic: dict[str, tuple[int, ...]] = {}
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the strings of two tokens, put together, merge to just these two. Walks down the seam: the merge of
@@ -131,43 +132,67 @@ class Encoder:
 
     def encode_symbols(self, word: str) -> list[int]:
         n = len(word)
-        longest: list[tuple[int, int]] = [(0, -1)] * n
-        for end, found in self.automaton.iter(word):
-            start = end - found[0] + 1
-            if found > longest[start]:
-                longest[start] = found
-        if longest[0] == (n, longest[0][1]):
-            return [longest[0][1]]
+        longest = [-1] * n
+        for end, (before, token) in self.automaton.iter(word):
+            longest[end - before] = token  # of those with one start the longest ends, and comes, last
+        token, length, compatible = longest[0], self.length, self.compatible
+        if length[token] == n:
+            return [token]
         out: list[int] = []
-        dead = bytearray(n + 1)
-        at, token = 0, longest[0][1]
-        while at < n:
-            last = out[-1] if out else None
+        dead, at, last = None, 0, None
+        while True:
             while token is not None:
-                end = at + self.length[token]
-                if not dead[end] and (last is None or self.fits(last, token)):
-                    break
+                end = at + length[token]
+                if dead is None or not dead[end]:
+                    if last is None:
+                        break
+                    good = compatible.get((last, token))
+                    if self.fits(last, token) if good is None else good:
+                        break
                 token = self.shorter[token]
             if token is None:  # nothing goes on from here: give the last token back
+                dead = dead or bytearray(n + 1)
                 dead[at] = 1
                 out.pop()
-                at -= self.length[last]
+                at -= length[last]
                 token = self.shorter[last]
             else:
                 out.append(token)
+                if end == n:
+                    return out
                 at = end
-                token = longest[at][1] if at < n else None
-        return out
+                token = longest[at]
+            last = out[-1] if out else None
 
-    def encode_chunk(self, chunk: str) -> list[int]:
+    def encode_piece(self, piece: str) -> list[int]:
+        shown = piece.isascii() and piece.isprintable()
+        symbols = piece if shown else "".join([self.symbols[b] for b in piece.encode()])
+        return self.encode_symbols(symbols[:-1] + chr(LAST + ord(symbols[-1])))
+
+    def encode_letters(self, piece: str) -> tuple[int, ...]:
+        """A piece of letters only, kept because it comes with all kinds of capitals and marks around it."""
+        got = self.alphabetic.get(piece)
+        if got is None:
+            got = tuple(self.encode_piece(piece))
+            if len(piece) <= CACHED_LENGTH:
+                if len(self.alphabetic) >= CACHED_WORDS:
+                    self.alphabetic.clear()
+                self.alphabetic[piece] = got
+        return got
+
+    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
         """A stretch of text without white space and special tokens."""
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
+        chunk = chunk.lower()
+        if chunk.isalpha():
+            return self.encode_letters(chunk)
+        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+            return *self.encode_letters(chunk[:-1]), *self.encode_piece(chunk[-1])
         out: list[int] = []
-        for piece in self.pieces.findall(chunk.lower()):
-            symbols = "".join([self.symbols[b] for b in piece.encode()])
-            out += self.encode_symbols(symbols[:-1] + chr(LAST + ord(symbols[-1])))
-        return out
+        for piece in self.pieces.findall(chunk):
+            out += self.encode_letters(piece) if piece.isalpha() else self.encode_piece(piece)
+        return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:

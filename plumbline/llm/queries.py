@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, lm, pii, secrets, toxicity, warc
+from . import bpe, decontaminate, embeddings, lm, minhash, pii, secrets, toxicity, warc
 from .workspace import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,9 @@ c(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT c.a, l.b FROM c J
 SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.component_id, m.component_id = e.vec_id AS kept
 FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM c GROUP BY a) m ON m.a = e.vec_id
 """
+
+
+@query
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of each document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -1,10 +1,6 @@
 """Every query over the driver tables by name, with the DuckDB SQL that gives the same rows."""
 
-from __future__ import annotations
+from . import aggregates, execution, governance, joins, ledgers, scalars, statistics, texts, windows  # noqa: F401
+from .registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]

@@ -1 +1,202 @@
-"""To come."""
+"""Statistics (T rows). A sleeve is an order priority; its returns are those of its daily totals."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators import stats
+from .registry import Tables, query
+from .windows import DAILY, daily
+
+#: Daily totals jump by whole orders; returns are cut to this range so that their logs and squares stay tame.
+CUT = 0.5
+R = f"""{DAILY}, s AS (SELECT o_orderpriority AS sleeve, day, greatest(-{CUT}, least({CUT}, r)) AS r FROM d WHERE r IS NOT NULL)"""
+
+
+def returns(t: Tables) -> DataFrame:
+    r = F.greatest(F.lit(-CUT), F.least(F.lit(CUT), F.col("r")))
+    return daily(t).filter("r IS NOT NULL").select(F.col("o_orderpriority").alias("sleeve"), "day", r.alias("r"))
+
+
+@query(f"WITH {R} SELECT sleeve, count(*) AS n, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe FROM s GROUP BY 1")
+def sharpe_annual(t: Tables) -> DataFrame:
+    return returns(t).groupBy("sleeve").agg(F.count("*").alias("n"), F.round(stats.sharpe(F.col("r")), 6).alias("sharpe"))
+
+
+@query(f"""WITH {R} SELECT sleeve, round(avg(ln(1 + r)), 6) AS growth, round(stddev_samp(r) * sqrt(252), 6) AS vol, round(avg(r) / sqrt(avg(CASE WHEN r < 0 THEN r * r ELSE 0 END)) * sqrt(252), 6) AS sortino,
+ round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM s GROUP BY 1""")
+def return_stats(t: Tables) -> DataFrame:
+    r = F.col("r")
+    down = F.sqrt(F.avg(F.when(r < 0, r * r).otherwise(0.0)))
+    return returns(t).groupBy("sleeve").agg(
+        F.round(F.avg(F.log1p(r)), 6).alias("growth"), F.round(F.stddev_samp(r) * F.sqrt(F.lit(252.0)), 6).alias("vol"),
+        F.round(F.avg(r) / down * F.sqrt(F.lit(252.0)), 6).alias("sortino"), F.round(F.avg((r > 0).cast("double")), 6).alias("hit_rate"),
+    )
+
+
+@query(f"""WITH {R}, m AS (SELECT sleeve, avg(r) AS mu FROM s GROUP BY 1), c AS (SELECT sleeve, avg((r - mu) ** 2) AS m2, avg((r - mu) ** 3) AS m3, avg((r - mu) ** 4) AS m4 FROM s JOIN m USING (sleeve) GROUP BY 1)
+ SELECT sleeve, round(m3 / m2 ** 1.5, 6) AS skew, round(m4 / m2 ** 2 - 3, 6) AS excess_kurtosis FROM c""")
+def moments(t: Tables) -> DataFrame:
+    return returns(t).groupBy("sleeve").agg(F.round(F.skewness("r"), 6).alias("skew"), F.round(F.kurtosis("r"), 6).alias("excess_kurtosis"))
+
+
+@query(f"""WITH {R}, y AS (SELECT DISTINCT year(day)::INT AS left_out FROM s) SELECT left_out, sleeve, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe FROM s, y WHERE year(day) <> left_out GROUP BY ALL""")
+def leave_one_year_out(t: Tables) -> DataFrame:
+    r = returns(t)
+    # sums by year first: leaving a year out is then arithmetic on a few rows, not a copy of the series for each year
+    by = r.groupBy("sleeve", F.year("day").alias("y")).agg(F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"), F.count("*").alias("n"))
+    whole = by.groupBy("sleeve").agg(*(F.sum(c).alias("t" + c) for c in "sqn"))
+    years = r.select(F.year("day").alias("left_out")).distinct()
+    grid = whole.join(F.broadcast(years), F.lit(True)).join(by.withColumnRenamed("y", "left_out"), ["sleeve", "left_out"], "left")
+    part = lambda c: F.col("t" + c) - F.coalesce(c, F.lit(0))
+    mean = part("s") / part("n")
+    sd = F.sqrt((part("q") - part("n") * mean * mean) / (part("n") - 1))
+    return grid.select("left_out", "sleeve", F.round(mean / sd * F.sqrt(F.lit(252.0)), 6).alias("sharpe"))
+
+
+PAIRS = f"{R}, p AS (SELECT a.sleeve AS a, b.sleeve AS b, a.day, a.r AS x, b.r AS y FROM s a JOIN s b ON a.day = b.day AND a.sleeve < b.sleeve)"
+
+
+def paired(t: Tables) -> DataFrame:
+    r = returns(t)
+    other = r.select(F.col("sleeve").alias("b"), "day", F.col("r").alias("y"))
+    return r.select(F.col("sleeve").alias("a"), "day", F.col("r").alias("x")).join(other, "day").filter("a < b")
+
+
+@query(f"WITH {PAIRS} SELECT a, b, count(*) AS n, round(corr(x, y), 6) AS rho FROM p GROUP BY ALL")
+def correlation_matrix(t: Tables) -> DataFrame:
+    return paired(t).groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("rho"))
+
+
+BOOK = f"{R}, k AS (SELECT day, avg(r) AS book FROM s GROUP BY 1)"
+
+
+def book(t: Tables) -> DataFrame:
+    return returns(t).groupBy("day").agg(F.avg("r").alias("book"))
+
+
+@query(f"""WITH {BOOK}, q AS (SELECT quantile_cont(book, 0.1) AS cut FROM k) SELECT sleeve, count(*) AS n, round(corr(r, book), 6) AS rho FROM s JOIN k USING (day), q WHERE book <= cut GROUP BY 1 HAVING count(*) > 2""")
+def stressed_correlation(t: Tables) -> DataFrame:
+    k = book(t)
+    cut = k.agg(F.percentile("book", 0.1).alias("cut"))
+    bad = k.join(F.broadcast(cut), F.col("book") <= F.col("cut") + 1e-12)
+    return returns(t).join(bad, "day").groupBy("sleeve").agg(F.count("*").alias("n"), F.round(F.corr("r", "book"), 6).alias("rho")).filter("n > 2")
+
+
+@query(f"""WITH {BOOK} SELECT sleeve, round(avg(0.9 * book + 0.1 * r) / stddev_samp(0.9 * book + 0.1 * r) * sqrt(252) - avg(book) / stddev_samp(book) * sqrt(252), 6) AS delta FROM s JOIN k USING (day) GROUP BY 1""")
+def book_delta(t: Tables) -> DataFrame:
+    mixed = 0.9 * F.col("book") + 0.1 * F.col("r")
+    return returns(t).join(book(t), "day").groupBy("sleeve").agg(F.round(stats.sharpe(mixed) - stats.sharpe(F.col("book")), 6).alias("delta"))
+
+
+@query(f"""WITH {BOOK}, q AS (SELECT sleeve, quantile_cont(r, 0.05) AS cut FROM s GROUP BY 1)
+ SELECT sleeve, round(avg(r) FILTER (WHERE r <= cut + 1e-12), 6) AS shortfall, round(avg(CASE WHEN r < 0 AND book < 0 THEN 1.0 ELSE 0.0 END), 6) AS joint_loss, round(avg(book) FILTER (WHERE r <= cut + 1e-12), 6) AS book_on_those FROM s JOIN q USING (sleeve) JOIN k USING (day) GROUP BY 1""")
+def expected_shortfall(t: Tables) -> DataFrame:
+    r = returns(t)
+    cuts = r.groupBy("sleeve").agg(F.percentile("r", 0.05).alias("cut"))
+    tail = F.col("r") <= F.col("cut") + 1e-12
+    both = (F.col("r") < 0) & (F.col("book") < 0)
+    return r.join(cuts, "sleeve").join(book(t), "day").groupBy("sleeve").agg(
+        F.round(F.avg(F.when(tail, F.col("r"))), 6).alias("shortfall"), F.round(F.avg(both.cast("double")), 6).alias("joint_loss"),
+        F.round(F.avg(F.when(tail, F.col("book"))), 6).alias("book_on_those"),
+    )
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS h FROM labels JOIN documents USING (doc_id) GROUP BY 1), z AS (SELECT 1.959963984540054 AS z)
+ SELECT source, n, round((h / n + z * z / (2 * n) - z * sqrt(h / n * (1 - h / n) / n + z * z / (4.0 * n * n))) / (1 + z * z / n), 6) AS bound FROM c, z""")
+def wilson_bound(t: Tables) -> DataFrame:
+    c = t.labels.join(t.documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("h"))
+    return c.select("source", "n", F.round(stats.wilson_lower(F.col("h"), F.col("n")), 6).alias("bound"))
+
+
+@query("""WITH p AS (SELECT quality = 1 AS truth, n_chars > 1000 AS said FROM labels JOIN documents USING (doc_id)), c AS (SELECT count(*) FILTER (WHERE truth AND said) AS tp, count(*) FILTER (WHERE said AND NOT truth) AS fp, count(*) FILTER (WHERE truth AND NOT said) AS fn, count(*) FILTER (WHERE NOT truth AND NOT said) AS tn FROM p)
+ SELECT tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c""")
+def precision_recall(t: Tables) -> DataFrame:
+    truth, said = F.col("quality") == 1, F.col("n_chars") > 1000
+    c = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").agg(
+        F.count_if(truth & said).alias("tp"), F.count_if(~truth & said).alias("fp"), F.count_if(truth & ~said).alias("fn"), F.count_if(~truth & ~said).alias("tn")
+    )
+    return c.withColumn("precision", F.round(F.expr("try_divide(tp, tp + fp)"), 6)).withColumn("recall", F.round(F.expr("try_divide(tp, tp + fn)"), 6))
+
+
+@query(f"WITH {R} SELECT sleeve, year(day)::INT AS year, count(*) AS n, round(sum(ln(1 + r)), 6) AS log_return, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe FROM s GROUP BY ALL HAVING count(*) > 2")
+def annual_panel(t: Tables) -> DataFrame:
+    r = F.col("r")
+    return returns(t).groupBy("sleeve", F.year("day").alias("year")).agg(F.count("*").alias("n"), F.round(F.sum(F.log1p(r)), 6).alias("log_return"), F.round(stats.sharpe(r), 6).alias("sharpe")).filter("n > 2")
+
+
+@query(f"""WITH {R}, m AS (SELECT sleeve, avg(r) AS mu, count(*) AS n FROM s GROUP BY 1), e AS (SELECT sleeve, n, mu, r - mu AS e0, lag(r - mu, 1) OVER w AS e1, lag(r - mu, 2) OVER w AS e2, lag(r - mu, 3) OVER w AS e3 FROM s JOIN m USING (sleeve) WINDOW w AS (PARTITION BY sleeve ORDER BY day)),
+ g AS (SELECT sleeve, n, mu, sum(e0 * e0) AS g0, sum(e0 * e1) AS g1, sum(e0 * e2) AS g2, sum(e0 * e3) AS g3 FROM e GROUP BY ALL) SELECT sleeve, n, round(mu / (sqrt(g0 + 1.5 * g1 + g2 + 0.5 * g3) / n), 5) AS t FROM g""")
+def newey_west_t(t: Tables) -> DataFrame:
+    return stats.newey_west_t(returns(t), "sleeve", "day", "r", 3).withColumn("t", F.round("t", 5))
+
+
+@query("""WITH e AS (SELECT *, ts::DATE AS day, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), r AS (SELECT day, rank() OVER (PARTITION BY day ORDER BY value) AS a, rank() OVER (PARTITION BY day ORDER BY user_id) AS b FROM e),
+ c AS (SELECT day, corr(a, b) AS ic FROM r GROUP BY 1 HAVING count(*) > 5) SELECT count(*) AS n_obs, round(avg(ic), 6) AS mean_ic, round(avg(ic) / stddev_samp(ic), 6) AS ic_ir, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM c""")
+def rank_ic(t: Tables) -> DataFrame:
+    day = F.col("ts").cast("date")
+    place = lambda c: F.rank().over(Window.partitionBy(day).orderBy(c))
+    ranks = t.events.select(day.alias("day"), place("value").alias("a"), place("user_id").alias("b"))
+    ic = ranks.groupBy("day").agg(F.corr("a", "b").alias("ic"), F.count("*").alias("n")).filter("n > 5")
+    return ic.agg(
+        F.count("*").alias("n_obs"), F.round(F.avg("ic"), 6).alias("mean_ic"), F.round(F.avg("ic") / F.stddev_samp("ic"), 6).alias("ic_ir"),
+        F.round(F.avg((F.col("ic") > 0).cast("double")), 6).alias("hit_rate"),
+    )
+
+
+@query(f"""WITH {R}, g AS (SELECT sleeve, min(day) AS lo, max(day) AS hi FROM s GROUP BY 1), c AS (SELECT DISTINCT day FROM s)
+ SELECT g.sleeve, count(*) AS sessions, count(*) FILTER (WHERE s.r IS NULL) AS inactive, round(avg(coalesce(s.r, 0)), 6) AS mean FROM g JOIN c ON c.day BETWEEN lo AND hi LEFT JOIN s ON s.sleeve = g.sleeve AND s.day = c.day GROUP BY 1""")
+def calendar_complete(t: Tables) -> DataFrame:
+    r = returns(t)
+    ends = r.groupBy("sleeve").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    spine = r.select("day").distinct().join(F.broadcast(ends), F.col("day").between(F.col("lo"), F.col("hi"))).select("sleeve", "day")
+    return spine.join(r, ["sleeve", "day"], "left").groupBy("sleeve").agg(
+        F.count("*").alias("sessions"), F.count_if(F.col("r").isNull()).alias("inactive"), F.round(F.avg(F.coalesce("r", F.lit(0.0))), 6).alias("mean")
+    )
+
+
+@query("""WITH m AS (SELECT o_custkey, date_trunc('month', o_orderdate)::DATE AS month, sum(o_totalprice) AS x FROM orders GROUP BY ALL) SELECT o_custkey, month, round(x - lag(x) OVER w, 2) AS change FROM m WINDOW w AS (PARTITION BY o_custkey ORDER BY month) QUALIFY lag(month) OVER w = (month - INTERVAL 1 MONTH)::DATE""")
+def adjacent_release(t: Tables) -> DataFrame:
+    m = t.orders.groupBy("o_custkey", F.trunc("o_orderdate", "month").alias("month")).agg(F.sum("o_totalprice").alias("x"))
+    line = Window.partitionBy("o_custkey").orderBy("month")
+    found = m.select("o_custkey", "month", F.round(F.col("x") - F.lag("x").over(line), 2).alias("change"), F.lag("month").over(line).alias("before"))
+    return found.filter(F.col("before") == F.add_months("month", -1)).drop("before")
+
+
+@query(f"""WITH {BOOK} SELECT sleeve, round(greatest(-1, least(1, regr_slope(r, book))), 6) AS beta, round(avg(r - greatest(-1, least(1, (SELECT regr_slope(z.r, k.book) FROM s z JOIN k USING (day) WHERE z.sleeve = s.sleeve))) * book), 6) AS hedged FROM s JOIN k USING (day) GROUP BY 1""")
+def beta_hedge(t: Tables) -> DataFrame:
+    beta = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.regr_slope("r", "book")))
+    sums = returns(t).join(book(t), "day").groupBy("sleeve").agg(beta.alias("b"), F.avg("r").alias("r"), F.avg("book").alias("k"))
+    return sums.select("sleeve", F.round("b", 6).alias("beta"), F.round(F.col("r") - F.col("b") * F.col("k"), 6).alias("hedged"))
+
+
+@query()
+def psr_dsr(t: Tables) -> DataFrame:
+    """Probabilistic and deflated Sharpe ratio; the trials are the sleeves."""
+    per = returns(t).groupBy("sleeve").agg(
+        (F.avg("r") / F.stddev_samp("r")).alias("sr"), F.count("*").alias("n"), F.skewness("r").alias("skew"), (F.kurtosis("r") + 3).alias("kurt")
+    )
+    trials = per.agg(F.count("*").alias("k"), F.var_samp("sr").alias("v")).first()  # one row
+    best = stats.expected_best(trials.k, trials.v or 0.0)
+    args = F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt")
+    return per.select("sleeve", "n", stats.probabilistic_sharpe(*args, F.lit(0.0)).alias("psr"), stats.probabilistic_sharpe(*args, F.lit(best)).alias("dsr"))
+
+
+@query()
+def pbo_cscv(t: Tables) -> DataFrame:
+    return stats.overfitting(returns(t), "sleeve", "day", "r")
+
+
+@query()
+def ols_residual(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", F.year("o_orderdate").alias("cohort"), "o_orderpriority", "o_totalprice", F.col("o_custkey").cast("double").alias("x1"), F.dayofyear("o_orderdate").cast("double").alias("x2"))
+    return stats.ols_residual(rows, "cohort", "o_totalprice", ["x1", "x2"], "o_orderpriority", "o_orderkey")
+
+
+@query()
+def block_bootstrap(t: Tables) -> DataFrame:
+    pair = paired(t).filter("a = '1-URGENT' AND b = '2-HIGH'")
+    numbered = pair.select((F.row_number().over(Window.orderBy("day")) - 1).cast("long").alias("i"), "x", "y")  # a row a day
+    return stats.bootstrap_bound(numbered, "i", "x", "y", max(1, numbered.count()))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 
@@ -45,7 +46,7 @@ def newey_west_t(rows: DataFrame, group: str, order: str, r: str, lags: int) ->
     return sums.select(group, "n", (F.col("_m") / (F.sqrt(s) / F.col("n"))).alias("t"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or np.isnan(v) else NormalDist().cdf(v)).astype("float64")
 
@@ -71,12 +72,12 @@ def overfitting(rows: DataFrame, config: str, at: str, r: str, blocks: int = 8)
     spark = rows.sparkSession
     ends = rows.agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
     part = F.least(F.lit(blocks - 1), F.floor(F.date_diff(at, "_lo") * blocks / (F.date_diff("_hi", "_lo") + 1))).cast("int")
-    sums = rows.join(F.broadcast(ends), F.lit(True)).groupBy(config, part.alias("block")).agg(F.sum(r).alias("s"), F.sum(F.col(r) * F.col(r)).alias("q"), F.count(r).alias("c"))
+    sums = rows.join(F.broadcast(ends), F.lit(True)).groupBy(config, part.alias("block")).agg(F.sum(r).alias("_s"), F.sum(F.col(r) * F.col(r)).alias("_q"), F.count(r).alias("_c"))
     splits = [(k, b) for k, half in enumerate(combinations(range(blocks), blocks // 2)) for b in half]
     chosen = spark.createDataFrame(splits, "split int, block int").withColumn("inside", F.lit(True))
     grid = sums.join(F.broadcast(chosen.select("split").distinct()), F.lit(True)).join(F.broadcast(chosen), ["split", "block"], "left")
     inside = F.coalesce("inside", F.lit(False))
-    ratio = lambda c: (lambda s, q, n: (s / n) / F.sqrt(q / n - (s / n) * (s / n)))(*(F.sum(F.when(c, F.col(x))) for x in "sqc"))
+    ratio = lambda c: (lambda s, q, n: (s / n) / F.sqrt(q / n - (s / n) * (s / n)))(*(F.sum(F.when(c, F.col(x))) for x in ("_s", "_q", "_c")))
     scored = grid.groupBy("split", config).agg(ratio(inside).alias("a"), ratio(~inside).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     ranked = scored.withColumn("rank", F.rank().over(Window.partitionBy("split").orderBy("b"))).withColumn("n", F.count("*").over(Window.partitionBy("split")))
     best = ranked.groupBy("split").agg(F.max_by(F.struct("rank", "n"), F.struct("a", config)).alias("x"))

@@ -1 +1,89 @@
-"""To come."""
+"""Gates and verification (G rows)."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import governance as G
+from .registry import Tables, query
+
+PER_USER = "u AS (SELECT user_id, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, count(*) FILTER (WHERE event_type = 'error') / count(*) AS errors FROM events GROUP BY 1)"
+
+
+def per_user(t: Tables) -> DataFrame:
+    errors = F.count_if(F.col("event_type") == "error") / F.count("*")
+    return t.events.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), errors.alias("errors"))
+
+
+@query(f"""WITH {PER_USER}, f AS (SELECT user_id, n, mean, list_filter(['coverage', 'level', 'quality'], lambda g: NOT coalesce(CASE g WHEN 'coverage' THEN n >= 60 WHEN 'level' THEN mean > 20 ELSE errors < 0.2 END, false)) AS bad FROM u)
+ SELECT user_id, array_to_string(bad, ',') AS blocking_reasons, CASE WHEN n < 40 THEN 'DATA_GATED' WHEN mean < 10 THEN 'KILL' WHEN len(bad) > 0 THEN 'REJECT' ELSE 'PASS' END AS decision FROM f""")
+def gates_to_decision(t: Tables) -> DataFrame:
+    u = per_user(t).withColumn("g", G.gates({"coverage": F.col("n") >= 60, "level": F.col("mean") > 20, "quality": F.col("errors") < 0.2}))
+    bad = G.failed(F.col("g"))
+    return u.select("user_id", F.array_join(bad, ",").alias("blocking_reasons"), G.decision(F.col("n") < 40, F.col("mean") < 10, bad).alias("decision"))
+
+
+@query(f"WITH {PER_USER} SELECT user_id, coalesce(mean / 30 >= 0.95 AND errors < 0.20 AND mean > sd, false) AS deploy FROM u")
+def deploy_rule(t: Tables) -> DataFrame:
+    return per_user(t).select("user_id", G.deployable(F.col("mean") / 30, F.col("errors"), F.col("mean") > F.col("sd")).alias("deploy"))
+
+
+@query("SELECT user_id, coalesce(bool_or(value > 250 OR (event_type = 'error' AND value > 100)), true) AS killed FROM events GROUP BY 1")
+def kill_rules(t: Tables) -> DataFrame:
+    rule = (F.col("value") > 250) | ((F.col("event_type") == "error") & (F.col("value") > 100))
+    return t.events.groupBy("user_id").agg(F.coalesce(F.bool_or(rule), F.lit(True)).alias("killed"))
+
+
+CONTRACT = [("c1", "n", ">=", 60.0), ("c2", "mean", ">", 20.0), ("c3", "errors", "<", 0.2), ("c4", "turnover", "<=", 5.0)]
+
+
+@query(f"""WITH {PER_USER}, m AS (SELECT user_id, unnest(['n', 'mean', 'errors']) AS metric, unnest([n::DOUBLE, mean, errors]) AS value FROM u), c("check", metric, op, threshold) AS (VALUES ('c1', 'n', '>=', 60.0::DOUBLE), ('c2', 'mean', '>', 20), ('c3', 'errors', '<', 0.2), ('c4', 'turnover', '<=', 5))
+ SELECT u.user_id, c."check", round(m.value, 6) AS value, c.threshold, coalesce(CASE op WHEN '>=' THEN value >= threshold WHEN '>' THEN value > threshold WHEN '<' THEN value < threshold ELSE value <= threshold END, false) AS passed FROM u CROSS JOIN c LEFT JOIN m ON m.user_id = u.user_id AND m.metric = c.metric""")
+def threshold_contract(t: Tables) -> DataFrame:
+    u = per_user(t).select("user_id", F.col("n").cast("double").alias("n"), "mean", "errors")
+    metrics = u.unpivot("user_id", ["n", "mean", "errors"], "metric", "value")
+    contract = t.spark.createDataFrame(CONTRACT, "check string, metric string, op string, threshold double")
+    return G.check_contract(metrics, contract, "user_id").withColumn("value", F.round("value", 6))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'pending' WHEN role = 'system' THEN 'head' ELSE 'anchored at ' || turn END AS label FROM conversations""")
+def anchor_status(t: Tables) -> DataFrame:
+    role = F.col("role")
+    label = F.when(role == "user", F.lit("pending")).when(role == "system", F.lit("head")).otherwise(F.concat(F.lit("anchored at "), F.col("turn").cast("string")))
+    return t.conversations.select("conv_id", "turn", label.alias("label"))
+
+
+@query("""SELECT DISTINCT user_id, true AS invariant FROM events WHERE ts < TIMESTAMP '2024-01-15'""")
+def slice_invariance(t: Tables) -> DataFrame:
+    """The state before a time from all rows and from the rows until then only."""
+    rows = t.events.select("user_id", "ts", "event_id", "value")
+    early = F.expr("ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'")
+    whole = G.state_hash(rows, "user_id", ["ts", "event_id", "value"], early)
+    cut = G.state_hash(rows.filter(early), "user_id", ["ts", "event_id", "value"], F.lit(True)).withColumnRenamed("state", "again")
+    return whole.join(cut, "user_id", "left").select("user_id", F.coalesce(F.col("state") == F.col("again"), F.lit(False)).alias("invariant"))
+
+
+def artifacts() -> list[tuple[str, str]]:
+    """Small documents of our own: sound, altered, hashed before their time stamp was put in, without a hash, broken."""
+    body = {"schema": "demo/1", "n": 100000, "x": 100000.0, "name": "é", "nested": {"b": [1, None], "a": True}}
+    digest = lambda d: "sha256:" + G.sha256_hex(json.dumps(d, sort_keys=True, separators=(",", ":")))
+    stamped = body | {"generated_at": "2026-01-01"}
+    rows = {
+        "sound": body | {"content_hash": digest(body)}, "altered": body | {"n": 1, "content_hash": digest(body)},
+        "late_stamp": stamped | {"content_hash": digest(body)}, "unsigned": body, "manifest": body | {"content_hash": "sha256:0"},
+    }
+    return [*((k, json.dumps(v, ensure_ascii=False)) for k, v in rows.items()), ("broken", '{"a": ')]
+
+
+@query()
+def content_hash_verify(t: Tables) -> DataFrame:
+    return G.verify_hashes(t.spark.createDataFrame(artifacts(), "name string, raw string"), ["manifest"])
+
+
+@query()
+def signature_verify(t: Tables) -> DataFrame:
+    rows = [("note", '{"a":1}', G.sha256_hex('{"a":1}'), "00" * 64, "00" * 32)]
+    return G.verify_signatures(t.spark.createDataFrame(rows, "name string, payload string, digest string, signature string, key string"))

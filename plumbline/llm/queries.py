@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, lm, minhash, pii, secrets, toxicity, warc
+from . import bpe, decontaminate, embeddings, licenses, lm, minhash, pii, secrets, toxicity, warc
 from .workspace import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,12 @@ FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM c GROUP BY a) m ON
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of each document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence sentences of each whole text, and the licences that the rules find in their sequence."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "sequence", "licenses")
+
+
+SQL["op2_license_scan"] = licenses.duckdb_sql()

@@ -31,7 +31,7 @@ def funding(quantity: Column, mark: Column, rate: Column) -> Column:
 
 def accrual(balance: Column, rate: Column, days: Column, basis: int) -> Column:
     """Simple interest to the day count, exact to ten places."""
-    return F.round(balance.cast("decimal(18,4)") * rate.cast("decimal(9,6)") * days.cast("decimal(5,0)") / basis, 6).cast("decimal(28,6)")
+    return F.round(balance.cast("decimal(18,4)") * rate.cast("decimal(9,6)") * days.cast("decimal(5,0)") / basis, 10).cast("decimal(28,10)")
 
 
 def locate(wanted: Column, available: Column) -> Column:

@@ -22,6 +22,11 @@ def total_return(r: Column) -> Column:
     return F.exp(F.sum(F.log1p(r))) - 1
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Null where one side does not vary."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def central_moment(r: Column, mean: Column, power: int) -> Column:
     return F.avg(F.pow(r - mean, F.lit(float(power))))
 
@@ -109,5 +114,5 @@ def bootstrap_bound(rows: DataFrame, index: str, a: str, b: str, n: int, draws:
     starts = starts.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "draw", "k"), F.lit(n)))
     picks = starts.select("draw", "k", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("i"))
     picks = picks.filter(F.col("k") * block + F.col("i") < n).select("draw", F.pmod(F.col("start") + F.col("i"), F.lit(n)).alias(index))
-    per_draw = picks.join(rows, index).groupBy("draw").agg(F.corr(a, b).alias("rho"))
+    per_draw = picks.join(rows, index).groupBy("draw").agg(correlation(F.col(a), F.col(b)).alias("rho"))
     return per_draw.agg(F.percentile("rho", level).alias("bound"), F.count("rho").alias("draws"))

@@ -31,14 +31,14 @@ def funding(t: Tables) -> DataFrame:
     return t.lineitem.select(*KEYS, (F.round(X.funding(side, F.col("l_extendedprice"), (F.col("l_discount") - 0.05) / 100), 6) + 0.0).alias("payment"))
 
 
-@query("""SELECT o_orderkey, round(round(o_totalprice, 4)::DECIMAL(18,4) * (CASE o_orderstatus WHEN 'F' THEN 0.03 WHEN 'O' THEN 0.05 ELSE 0.01 END)::DECIMAL(9,6) * day(o_orderdate) / (CASE o_orderstatus WHEN 'O' THEN 365 ELSE 360 END), 6)::DOUBLE AS interest FROM orders""")
+@query("""SELECT o_orderkey, round(round(o_totalprice, 4)::DECIMAL(18,4) * (CASE o_orderstatus WHEN 'F' THEN 0.03 WHEN 'O' THEN 0.05 ELSE 0.01 END)::DECIMAL(9,6) * day(o_orderdate) / (CASE o_orderstatus WHEN 'O' THEN 365 ELSE 360 END) + 1e-8, 4)::DOUBLE AS interest FROM orders""")
 def financing_accrual(t: Tables) -> DataFrame:
     s = F.col("o_orderstatus")
     rate = F.when(s == "F", 0.03).when(s == "O", 0.05).otherwise(0.01)
     days = F.dayofmonth("o_orderdate")
     amount = F.round("o_totalprice", 4)
     by_basis = F.when(s == "O", X.accrual(amount, rate, days, 365)).otherwise(X.accrual(amount, rate, days, 360))
-    return t.orders.select("o_orderkey", by_basis.cast("double").alias("interest"))
+    return t.orders.select("o_orderkey", F.round(by_basis.cast("double") + 1e-8, 4).alias("interest"))
 
 
 @query("""WITH g AS (SELECT l_orderkey, l_linenumber, least(l_quantity, greatest(coalesce(nullif(l_tax, 0) * 500, 0), 0)) AS granted, l_discount * 300 AS recalled FROM lineitem)

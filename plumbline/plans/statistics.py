@@ -67,7 +67,7 @@ def paired(t: Tables) -> DataFrame:
 
 @query(f"WITH {PAIRS} SELECT a, b, count(*) AS n, round(corr(x, y), 6) AS rho FROM p GROUP BY ALL")
 def correlation_matrix(t: Tables) -> DataFrame:
-    return paired(t).groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("rho"))
+    return paired(t).groupBy("a", "b").agg(F.count("*").alias("n"), F.round(stats.correlation(F.col("x"), F.col("y")), 6).alias("rho"))
 
 
 BOOK = f"{R}, k AS (SELECT day, avg(r) AS book FROM s GROUP BY 1)"
@@ -77,12 +77,12 @@ def book(t: Tables) -> DataFrame:
     return returns(t).groupBy("day").agg(F.avg("r").alias("book"))
 
 
-@query(f"""WITH {BOOK}, q AS (SELECT quantile_cont(book, 0.1) AS cut FROM k) SELECT sleeve, count(*) AS n, round(corr(r, book), 6) AS rho FROM s JOIN k USING (day), q WHERE book <= cut GROUP BY 1 HAVING count(*) > 2""")
+@query(f"""WITH {BOOK}, q AS (SELECT quantile_cont(book, 0.1) AS cut FROM k) SELECT sleeve, count(*) AS n, round(covar_pop(r, book) / nullif(stddev_pop(r) * stddev_pop(book), 0), 6) AS rho FROM s JOIN k USING (day), q WHERE book <= cut GROUP BY 1 HAVING count(*) > 2""")
 def stressed_correlation(t: Tables) -> DataFrame:
     k = book(t)
     cut = k.agg(F.percentile("book", 0.1).alias("cut"))
     bad = k.join(F.broadcast(cut), F.col("book") <= F.col("cut") + 1e-12)
-    return returns(t).join(bad, "day").groupBy("sleeve").agg(F.count("*").alias("n"), F.round(F.corr("r", "book"), 6).alias("rho")).filter("n > 2")
+    return returns(t).join(bad, "day").groupBy("sleeve").agg(F.count("*").alias("n"), F.round(stats.correlation(F.col("r"), F.col("book")), 6).alias("rho")).filter("n > 2")
 
 
 @query(f"""WITH {BOOK} SELECT sleeve, round(avg(0.9 * book + 0.1 * r) / stddev_samp(0.9 * book + 0.1 * r) * sqrt(252) - avg(book) / stddev_samp(book) * sqrt(252), 6) AS delta FROM s JOIN k USING (day) GROUP BY 1""")
@@ -139,7 +139,7 @@ def rank_ic(t: Tables) -> DataFrame:
     day = F.col("ts").cast("date")
     place = lambda c: F.rank().over(Window.partitionBy(day).orderBy(c))
     ranks = t.events.select(day.alias("day"), place("value").alias("a"), place("user_id").alias("b"))
-    ic = ranks.groupBy("day").agg(F.corr("a", "b").alias("ic"), F.count("*").alias("n")).filter("n > 5")
+    ic = ranks.groupBy("day").agg(stats.correlation(F.col("a"), F.col("b")).alias("ic"), F.count("*").alias("n")).filter("n > 5")
     return ic.agg(
         F.count("*").alias("n_obs"), F.round(F.avg("ic"), 6).alias("mean_ic"), F.round(F.avg("ic") / F.stddev_samp("ic"), 6).alias("ic_ir"),
         F.round(F.avg((F.col("ic") > 0).cast("double")), 6).alias("hit_rate"),

@@ -12,9 +12,11 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -24,7 +26,7 @@ SPACE_RUN = re.compile(f"[{SPACES}]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Marks the last symbol of a word, in place of the suffix of the vocabulary file.
 LAST = 0xE000
-CACHED_WORDS = 250_000
+CACHED_WORDS = 120_000
 CACHED_LENGTH = 64
 
 
@@ -235,24 +237,26 @@ class Decoder:
         return b" ".join([blob[at[i] : at[i + 1]] for i in ids]).decode()
 
 
-def load(spark: SparkSession, path: str):
-    """The tables of the tokenizer file at path (on the driver), broadcast."""
-    with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(Tables(f.read()))
+@dataclass(frozen=True)
+class Shared:
+    """Broadcasts of a tokenizer's tables, for encoding, and of its token names, for decoding."""
 
+    tables: Broadcast
+    names: Broadcast
 
-_MADE: dict[int, tuple] = {}
 
+def load(spark: SparkSession, path: str) -> Shared:
+    """The tokenizer file at path (on the driver), broadcast."""
+    with open(path, encoding="utf-8") as f:
+        tables = Tables(f.read())
+    return Shared(spark.sparkContext.broadcast(tables), spark.sparkContext.broadcast(tables.names))
 
-def _made(shared) -> tuple[Encoder, Decoder]:
-    if shared.value is not _MADE.get(0, (None,))[0]:
-        _MADE[0] = shared.value, Encoder(shared.value), Decoder(shared.value.names)
-    return _MADE[0][1:]
 
+def _mapped(make: Callable, column: str, result: str, kind: pa.DataType, keep: list[str], step: int = 256):
+    """Applies what make() gives, which lives as long as a task does: workers that wait for other work hold nothing."""
 
-def _mapped(shared, column: str, result: str, kind: pa.DataType, keep: list[str], pick: Callable, step: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = pick(_made(shared))
+        f = make()
         for whole in batches:
             for at in range(0, whole.num_rows, step):  # so that the results of few rows are held at once
                 batch = whole.slice(at, step)
@@ -268,17 +272,23 @@ def _mapped(shared, column: str, result: str, kind: pa.DataType, keep: list[str]
     return run
 
 
-def encode(df: DataFrame, shared, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, shared: Shared, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the token ids (array<int>) of column text in column ids; a column of that name is replaced. A null or
     empty text has no tokens. Special tokens written out in a text count as such; none are added."""
     keep = [c for c in df.columns if c != ids]
     schema = df.select(*keep).schema.add(ids, ArrayType(IntegerType()))
-    return df.mapInArrow(_mapped(shared, text, ids, pa.list_(pa.int32()), keep, lambda m: m[0].encode), schema)
+    tables = shared.tables
+    return df.mapInArrow(_mapped(lambda: Encoder(tables.value).encode, text, ids, pa.list_(pa.int32()), keep), schema)
 
 
-def decode(df: DataFrame, shared, ids: str = "ids", text: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, shared: Shared, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text of the token ids in column ids, special tokens included; null ids count as none."""
     keep = [c for c in df.columns if c != text]
     schema = df.select(*keep).schema.add(text, "string")
-    run = _mapped(shared, ids, text, pa.string(), keep, lambda m: lambda x: m[1].decode(x or []))
-    return df.mapInArrow(run, schema)
+    names = shared.names
+
+    def make() -> Callable:
+        decoder = Decoder(names.value)
+        return lambda x: decoder.decode(x or [])
+
+    return df.mapInArrow(_mapped(make, ids, text, pa.string(), keep), schema)

@@ -22,8 +22,12 @@ from .tokens import NOT_WORD, U64, mix, runs, tokenise
 WORDS, LEAST = 5, 0.8
 #: Bands and registers of a band: a pair at 0.8 shares no band in 3 of a million cases.
 BANDS, ROWS = 24, 4
-#: A band's bucket with at most so many classes is compared pair by pair; a larger one by hubs of so many components.
-FEW, HUBS = 16, 4
+#: A band's bucket with at most so many classes is compared pair by pair; in a larger one members meet hubs of so many
+#: components in so many rounds, and what is in several components then is compared by rare shingles.
+FEW, HUBS, ROUNDS = 16, 4, 2
+#: Texts, about, that shingles are counted on to tell the rare ones, and slots that they are counted in. These only say
+#: in which order shingles are looked at; any order gives the same pairs.
+COUNTED, SLOTS = 10_000, 2**21
 #: Texts and, about, tokens whose signatures are made at once.
 TEXTS = 500
 
@@ -130,6 +134,68 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], ["a", "b", "similarity"])
 
 
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (mix(h) % U64(SLOTS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS, np.int64)
+    for whole in batches:
+        for at in range(0, whole.num_rows, TEXTS):
+            np.add.at(total, _slots(shingles(whole.slice(at, TEXTS).column("text"))[1]), 1)
+    slot = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+
+
+def _prefixes(counts, least: float):
+    """Of each text its rarest shingles, up to the first by which more than 1 - least of its weight is reached."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                text, h, weight, _ = shingles(batch.column("text"))
+                share = weight / np.bincount(text, weight, batch.num_rows)[text]
+                order = np.lexsort((h, counts.value[_slots(h)], text))
+                text, h, share = text[order], h[order], share[order]
+                before = share.cumsum() - share
+                before -= before[np.searchsorted(text, text)]
+                text, h = text[before <= 1 - least + 1e-6], h[before <= 1 - least + 1e-6]
+                rows = pa.array(text)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), batch.column("id").take(rows), batch.column("component").take(rows)], ["shingle", "id", "component"]
+                )
+
+    return found
+
+
+def rare_pairs(members: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b), a < b: pairs of members (id, component) of different components, among them every pair with a similarity
+    of least or more.
+
+    The similarity is at most the sum of the smaller shares that the two texts' weights give a shingle. So with all
+    shingles in one order, a similar pair has a common one in the first of each text that hold more than 1 - least of its
+    weight. Rare ones come first, so what many texts have in common brings no pairs. Of a shingle's texts those in the
+    component with most of them are not paired with each other.
+    """
+    spark = members.sparkSession
+    held = workspace.stage(texts.join(members, "id").select("id", "component", "text"), "rest")
+    every = max(1, held.count() // COUNTED)
+    some = held.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text")
+    found = some.mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    counts = np.zeros(SLOTS, np.int32)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    marks = held.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), least), "shingle long, id long, component long")
+    marks = workspace.stage(marks, "prefixes")
+    sizes = marks.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    lists = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("k")).filter("k > 1")
+    several = workspace.stage(marks.join(lists.drop("k"), "shingle"), "shared-shingles")
+    workspace.drop(marks)
+    minor = several.filter("component <> major").select("shingle", F.col("id").alias("other"), F.col("component").alias("component_b"))
+    pairs = several.join(minor, "shingle").filter("component <> component_b")
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, similarity) of pairs (a, b) of ids; texts: (id, text), one row for each id. Only the texts that a pair
     names are moved."""
@@ -155,9 +221,8 @@ def _live(entries: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _candidates(live: DataFrame, level: int) -> DataFrame:
-    """key, a, b: the pairs, a < b, to compare. A bucket of up to FEW members gives all of different components, without
-    its key; a larger one pairs each member with the first members of up to HUBS other components, not the same ones at
-    every level."""
+    """a, b: the pairs, a < b, to compare. A bucket of up to FEW members gives all of different components; a larger one
+    pairs each member with the first members of up to HUBS other components, not the same ones at every level."""
     small = live.filter(F.col("n") <= FEW).select("key", "id", "component")
     other = small.withColumnsRenamed({"id": "b", "component": "component_b"})
     near = small.join(other, "key").filter("id < b AND component <> component_b")
@@ -166,44 +231,42 @@ def _candidates(live: DataFrame, level: int) -> DataFrame:
     hubs = large.groupBy("key", F.pmod(turn, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(turn.alias("turn"), "component", "id")).alias("h"))
     hubs = hubs.select("key", F.col("h.component").alias("hub_component"), F.col("h.id").alias("hub"))
     far = large.join(hubs, "key").filter("component <> hub_component")
-    return near.select(F.lit(None).cast("long").alias("key"), F.col("id").alias("a"), "b").unionByName(
-        far.select("key", F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    )
+    return near.select(F.col("id").alias("a"), "b").unionByName(far.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct()
 
 
 def links(classes: DataFrame, texts: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """(a, b, similarity) of verified pairs of classes (id, bands), and the components that they make (node, component).
 
-    Buckets of many classes are not compared pair by pair. Their members meet the hubs of components in the bucket;
-    where several components stay and there was something new to compare, its members are dealt again by the bucket and
-    each later band. So unlike texts that share a common passage part ways, while a similar pair meets again in each
-    other band that it shares, of ten on average; pairs in one component need no further comparing.
+    A bucket of few classes is compared pair by pair. In a larger one members meet the hubs of components in the bucket,
+    which makes one component of a cluster of near copies at little cost. The members of buckets that have several
+    components even then are paired by rare_pairs(), which misses no similar pair; so each pair that shares a band is
+    compared or in one component.
     """
     spark = classes.sparkSession
-    listed = classes.select("id", F.posexplode("bands").alias("last", "band"))
-    entries = listed.select(F.col("band").alias("key"), "last", "id")
-    made, tested, level = None, None, 0
+    entries = classes.select("id", F.explode("bands").alias("key"))
+    made, tested = None, None
     components = spark.createDataFrame([], "node long, component long")
-    while True:
+    for level in range(ROUNDS + 1):
         live = workspace.stage(_live(entries, components), "live")
-        found = _candidates(live, level)
+        # a bucket of few classes was compared whole at the first level
+        entries = live.filter(F.col("n") > FEW).select("key", "id")
+        if level < ROUNDS:
+            found = _candidates(live, level)
+        else:
+            members = workspace.stage(live.select("id", "component").distinct(), "members")
+            if members.isEmpty():
+                break
+            found = rare_pairs(members, texts, least)
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
-        keyed = workspace.stage(found.distinct(), "keyed-pairs")
-        if keyed.isEmpty():
-            break
-        pairs = workspace.stage(keyed.select("a", "b").distinct(), "pairs")
+        pairs = workspace.stage(found, "pairs")
+        if pairs.isEmpty():
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = workspace.stage(verify(pairs, texts).filter(F.col("similarity") >= least - 1e-9), "links")
         if not new.isEmpty():
             made = new if made is None else made.unionByName(new)
             components = workspace.stage(graph.components(made.select("a", "b")), "components")
-        # the members of a crowded bucket meet again where they share a later band too
-        fresh = keyed.filter("key IS NOT NULL").select("key").distinct()
-        crowded = live.filter(F.col("n") > FEW).select("key", "last", "id").join(fresh, "key", "left_semi")
-        again = _live(crowded, components).join(classes, "id").select("key", "last", "id", F.posexplode("bands").alias("next", "band"))
-        entries = again.filter("next > last").select(F.xxhash64("key", "band").alias("key"), F.col("next").alias("last"), "id")
-        level += 1
     if made is None:
         made = spark.createDataFrame([], "a long, b long, similarity double")
     return made, components

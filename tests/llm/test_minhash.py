@@ -84,3 +84,29 @@ def test_classes(spark, monkeypatch):
         assert {r.doc_id: r.class_id for r in out} == want | {None: None}
         assert all(r.kept == (r.doc_id == r.class_id and r.doc_id is not None) for r in out)
     assert M.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_crowded_bucket(spark):
+    """A chain of near copies, each like its neighbours only, in one bucket and in no other together."""
+    rng = random.Random(3)
+    words, texts = [f"v{k}" for k in range(200)], []
+    for _ in range(40):
+        texts.append(" ".join(words))
+        words = words[18:] + [f"v{rng.randrange(10**9)}" for _ in range(18)]
+    order = rng.sample(range(40), 40)
+    rows = [(order[k], t) for k, t in enumerate(texts)]
+    assert set(brute(rows).values()) == {0}
+    df = spark.createDataFrame(rows, "id long, text string")
+    classes = spark.createDataFrame([(k, [5] + [100 * (k + 1) + b for b in range(1, M.BANDS)]) for k in range(40)], "id long, bands array<long>")
+    _, components = M.links(classes, df)
+    assert {r.node: r.component for r in components.collect()} == dict.fromkeys(range(40), 0)
+
+
+def test_rare_pairs(spark):
+    texts = made(random.Random(4), 200)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    members = spark.createDataFrame([(k, k) for k in range(200)], "id long, component long")
+    got = {(r.a, r.b) for r in M.rare_pairs(members, df).collect()}
+    ws = [weights(t) for t in texts]
+    want = {(i, j) for j in range(200) for i in range(j) if ws[i].keys() & ws[j].keys() and similarity(ws[i], ws[j]) >= 0.8}
+    assert want and want <= got and len(got) < 4000

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from . import spans
 
-#: Only texts with one of these have licence sentences.
+#: Of the SQL only, which takes no sequence from a text without one of these; sentences like "Released under CC BY 4.0."
+#: have none, so scan() does not ask for it.
 TRIGGER = r"(?i)licen[sc]e|spdx|copyright|all rights reserved|permission is|redistribut|without (any )?warranty|creative commons"
 #: Identifiers of known sentences and what they look like once normalised: lower case, letters, digits and
 #: inner dots only, single blanks. The first that fits is taken.
@@ -92,7 +93,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     known = F.array_compact(F.transform(sentences(full), identifier))
     named = F.array_join(F.transform(known, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     kept = [c for c in docs.columns if c not in ("sequence", "licenses")]
-    marked = docs.select(*kept, F.when(full.rlike(TRIGGER), named).otherwise("").alias("sequence"))
+    marked = docs.select(*kept, named.alias("sequence"))
 
     def step(state: Column, rule: Column) -> Column:
         hit = F.contains(state["left"], rule["run"])
@@ -108,7 +109,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def duckdb_sql() -> str:
-    """The same over the documents table in DuckDB SQL, from the same fixed values."""
+    """The same over the documents table in DuckDB SQL, from the same fixed values, for texts that TRIGGER lets pass."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     case = "CASE " + " ".join(f"WHEN regexp_matches(s, {quoted(p)}) THEN {quoted(n)}" for n, p in SENTENCES) + " END"
     left, tests = "sequence", []

@@ -37,3 +37,28 @@ def test_against_sql(spark):
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
     got = sorted(tuple(r) for r in QUERIES["op2_license_scan"](spark, "/root/testdata/sf0.01").select("doc_id", "sequence", "licenses").collect())
     assert got == sorted(con.execute(SQL["op2_license_scan"]).fetchall()) and any(r[2] for r in got)
+
+
+#: A text of one sentence for each identifier, with none of the words of others around it.
+ALONE = {
+    "ApacheRef": "Released under the Apache License 2.0.", "ApacheComply": "You may not use this file except in compliance with the License.",
+    "ApacheCopy": "You may obtain a copy of the License at https", "ApacheAsIs": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS',
+    "MitRef": "It is licensed under the MIT License.", "MitPermission": "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    "MitNotice": "The above copyright notice and this permission notice shall be included in all copies", "AsIs": 'The software is provided "as is"',
+    "IscPermission": "Permission to use, copy, modify, and/or distribute this software for any purpose", "GplRef3": "Distributed under the GPL version 3.",
+    "GplRef2": "Released under the GPL v2.", "LgplRef": "Available under the LGPL.",
+    "GplFree3": "This program is free software: you can redistribute it under the GNU General Public License as published, either version 3",
+    "GplFree2": "This program is free software: you can redistribute it under the GNU General Public License as published, either version 2",
+    "GplHope": "This program is distributed in the hope that it will be useful", "CcByNc4": "Published under CC BY-NC 4.0.", "CcBySa4": "Published under CC BY-SA 4.0.",
+    "CcBy4": "Released under CC BY 4.0.", "BsdUse": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "BsdSource": "Redistributions of source code must retain the above copyright notice", "BsdBinary": "Redistributions in binary form must reproduce the above copyright notice",
+    "BsdEndorse": "Neither the name of the owner may be used to endorse or promote products", "MplRef": "This Source Code Form is subject to the terms of the Mozilla Public License, v2.0",
+    "SpdxApache": "SPDX-License-Identifier: Apache-2.0", "SpdxMit": "SPDX-License-Identifier: MIT", "SpdxGpl3": "SPDX-License-Identifier: GPL-3.0",
+    "SpdxBsd3": "SPDX-License-Identifier: BSD-3-Clause", "Reserved": "All rights reserved.",
+}
+
+
+def test_each_sentence_alone(spark):
+    assert list(ALONE) == [n for n, _ in licenses.SENTENCES]
+    got = licenses.scan(spark.createDataFrame(list(ALONE.items()), "name string, text string")).collect()
+    assert {r.name: r.sequence for r in got} == {n: f"<{n}>" for n in ALONE}

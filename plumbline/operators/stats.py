@@ -105,14 +105,15 @@ def ols_residual(rows: DataFrame, cohort: str, y: str, xs: list[str], category:
     return rows.groupBy(cohort).applyInPandas(solve, f"{key} {kinds[key]}, {cohort} {kinds[cohort]}, residual double")
 
 
-def bootstrap_bound(rows: DataFrame, index: str, a: str, b: str, n: int, draws: int = 200, block: int = 21, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """bound: the level quantile of the correlation of a and b over circular moving-block resamples of a series of n rows
-    numbered by index from 0. Block starts are hashes of seed, draw and block, so reruns agree."""
-    spark = rows.sparkSession
-    blocks = -(-n // block)
-    starts = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
-    starts = starts.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "draw", "k"), F.lit(n)))
-    picks = starts.select("draw", "k", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("i"))
-    picks = picks.filter(F.col("k") * block + F.col("i") < n).select("draw", F.pmod(F.col("start") + F.col("i"), F.lit(n)).alias(index))
-    per_draw = picks.join(rows, index).groupBy("draw").agg(correlation(F.col(a), F.col(b)).alias("rho"))
-    return per_draw.agg(F.percentile("rho", level).alias("bound"), F.count("rho").alias("draws"))
+def bootstrap_bound(rows: DataFrame, by: list[str], index: str, a: str, b: str, draws: int = 2000, block: int = 21, seed: int = 20260816, level: float = 0.95) -> DataFrame:
+    """by, bound and draws: for each series the level quantile of the correlation of a and b over circular moving-block
+    resamples of its length; its rows (one a day at most, so they are broadcast) are numbered by index from 0. Block
+    starts are hashes of seed, draw and block, so reruns agree."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    each = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(sizes), F.lit(True))
+    starts = each.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / block) - 1).cast("int"))).alias("k"))
+    starts = starts.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "draw", "k"), F.col("_n")))
+    picks = starts.select("*", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("_i"))
+    picks = picks.filter(F.col("k") * block + F.col("_i") < F.col("_n")).select(*by, "draw", F.pmod(F.col("start") + F.col("_i"), F.col("_n")).alias(index))
+    per_draw = picks.join(F.broadcast(rows), [*by, index]).groupBy(*by, "draw").agg(correlation(F.col(a), F.col(b)).alias("rho"))
+    return per_draw.groupBy(*by).agg(F.percentile("rho", level).alias("bound"), F.count("rho").alias("draws"))

@@ -197,6 +197,7 @@ def ols_residual(t: Tables) -> DataFrame:
 
 @query()
 def block_bootstrap(t: Tables) -> DataFrame:
-    pair = paired(t).filter("a = '1-URGENT' AND b = '2-HIGH'")
-    numbered = pair.select((F.row_number().over(Window.orderBy("day")) - 1).cast("long").alias("i"), "x", "y")  # a row a day
-    return stats.bootstrap_bound(numbered, "i", "x", "y", max(1, numbered.count()))
+    """Of every pair of sleeves."""
+    line = Window.partitionBy("a", "b").orderBy("day")
+    numbered = paired(t).select("a", "b", (F.row_number().over(line) - 1).cast("long").alias("i"), "x", "y")  # a row a day
+    return stats.bootstrap_bound(numbered, ["a", "b"], "i", "x", "y")

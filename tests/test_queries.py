@@ -50,3 +50,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_bootstrap_of_all_pairs(spark):
+    found = catalog.QUERIES["block_bootstrap"](spark, SF).collect()
+    assert len({(r.a, r.b) for r in found}) == len(found) == 10
+    assert all(1900 <= r.draws <= 2000 and -1 <= r.bound <= 1 + 1e-9 for r in found)

@@ -11,11 +11,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
@@ -26,8 +28,11 @@ SPACE_RUN = re.compile(f"[{SPACES}]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Marks the last symbol of a word, in place of the suffix of the vocabulary file.
 LAST = 0xE000
-CACHED_WORDS = 120_000
-CACHED_LENGTH = 64
+#: Pieces of letters whose tokens an encoder keeps: so many characters of new ones before those go that were not met
+#: again since the last time, and none longer than this.
+CACHED_CHARS, CACHED_LENGTH = 1_500_000, 64
+#: Bytes of text, about, that are encoded at once, and tokens that are decoded at once.
+SLICE_BYTES, SLICE_TOKENS = 4 << 20, 2_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -90,20 +95,23 @@ class Encoder:
         self.special_re = re.compile("|".join(map(re.escape, sorted(tables.special, key=len, reverse=True))) or "(?!)")
         self.symbols = byte_symbols()
         self.ids, self.merges = tables.ids, tables.merges
-        self.length = {tables.ids[s]: len(s) for s in tables.canonical}
+        self.length = [0] * len(tables.names)
+        for s in tables.canonical:
+            self.length[tables.ids[s]] = len(s)
         self.rank = {whole: rank for rank, whole in tables.merges.values()}
         self.parts = {whole: pair for pair, (_, whole) in tables.merges.items()}
         known = set(tables.canonical)
-        self.shorter = {}
+        self.shorter: list[int | None] = [None] * len(tables.names)
         self.automaton = ahocorasick.Automaton()
         for s in tables.canonical:
-            self.automaton.add_word(s, (len(s) - 1, tables.ids[s]))
+            self.automaton.add_word(s, tables.ids[s])
             cut = next((s[:n] for n in range(len(s) - 1, 0, -1) if s[:n] in known), None)
             self.shorter[tables.ids[s]] = tables.ids[cut] if cut else None
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.alphabetic: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.held = 0  # characters in recent
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the strings of two tokens, put together, merge to just these two. Walks down the seam: the merge of
@@ -127,17 +135,17 @@ class Encoder:
                 made_a, a = ranks[0], self.parts[a][1]
             else:
                 made_b, b = ranks[1], self.parts[b][0]
-        if len(self.compatible) >= 1_000_000:
+        if len(self.compatible) >= 300_000:
             self.compatible.clear()
         self.compatible[left, right] = good
         return good
 
     def encode_symbols(self, word: str) -> list[int]:
-        n = len(word)
-        longest = [-1] * n
-        for end, (before, token) in self.automaton.iter(word):
-            longest[end - before] = token  # of those with one start the longest ends, and comes, last
-        token, length, compatible = longest[0], self.length, self.compatible
+        n, length, compatible = len(word), self.length, self.compatible
+        longest = [-1] * (n + 1)
+        for end, token in self.automaton.iter(word):
+            longest[end - length[token]] = token  # one before its start; of those with one start the longest comes last
+        token = longest[-1]
         if length[token] == n:
             return [token]
         out: list[int] = []
@@ -163,7 +171,7 @@ class Encoder:
                 if end == n:
                     return out
                 at = end
-                token = longest[at]
+                token = longest[at - 1]
             last = out[-1] if out else None
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -172,21 +180,21 @@ class Encoder:
         return self.encode_symbols(symbols[:-1] + chr(LAST + ord(symbols[-1])))
 
     def encode_letters(self, piece: str) -> tuple[int, ...]:
-        """A piece of letters only, kept because it comes with all kinds of capitals and marks around it."""
-        got = self.alphabetic.get(piece)
+        """A piece of letters only, kept because it comes with all kinds of marks around it and in many texts."""
+        got = self.recent.get(piece)
         if got is None:
-            got = tuple(self.encode_piece(piece))
+            got = self.older.get(piece)
+            if got is None:
+                got = tuple(self.encode_piece(piece))
             if len(piece) <= CACHED_LENGTH:
-                if len(self.alphabetic) >= CACHED_WORDS:
-                    self.alphabetic.clear()
-                self.alphabetic[piece] = got
+                if self.held >= CACHED_CHARS:
+                    self.older, self.recent, self.held = self.recent, {}, 0
+                self.recent[piece] = got
+                self.held += len(piece)
         return got
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        """A stretch of text without white space and special tokens."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        chunk = chunk.lower()
+        """A stretch of normalised text without white space and special tokens."""
         if chunk.isalpha():
             return self.encode_letters(chunk)
         if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
@@ -197,44 +205,66 @@ class Encoder:
         return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
+        """One text, special tokens included."""
         if not text:
             return []
         out: list[int] = []
-        if self.special_re.search(text):
-            at = 0
-            for m in self.special_re.finditer(text):
-                out += self._plain(text[at : m.start()])
-                out.append(self.special[m.group()])
-                at = m.end()
-            return out + self._plain(text[at:])
-        return self._plain(text)
+        at = 0
+        for m in self.special_re.finditer(text):
+            out += self._plain(text[at : m.start()])
+            out.append(self.special[m.group()])
+            at = m.end()
+        return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[int]:
-        words, out = self.words, []
-        for chunk in SPACE_RUN.split(text) if ODD_SPACE.search(text) else text.split():
-            got = words.get(chunk)
-            if got is None:
-                got = self.encode_chunk(chunk)
-                if len(chunk) <= CACHED_LENGTH:
-                    if len(words) >= CACHED_WORDS:
-                        words.clear()
-                    words[chunk] = got
-            out += got
-        return out
+        return [i for chunk in SPACE_RUN.split(normalised(text)) if chunk for i in self.encode_chunk(chunk)]
+
+    def encode_all(self, texts: pa.Array) -> pa.ListArray:
+        """The tokens of each text. Each distinct stretch between white space is encoded once; texts with special tokens
+        or with separators that are no white space to the tokenizer go one by one."""
+        strings = [x or "" for x in texts.to_pylist()]
+        odd = [k for k, x in enumerate(strings) if self.special_re.search(x) or ODD_SPACE.search(x)]
+        alone = {k: self.encode(strings[k]) for k in odd}
+        plain = pa.array(["" if k in alone else normalised(x) for k, x in enumerate(strings)], pa.string())
+        chunks = pc.utf8_split_whitespace(plain)
+        ends = chunks.offsets.to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(chunks.flatten())
+        word = coded.indices.to_numpy().astype(np.int64)
+        made = [self.encode_chunk(x) if x else () for x in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        flat = np.fromiter(chain.from_iterable(made), np.int32, int(size.sum()))
+        n = size[word]  # tokens of each stretch of the texts
+        upto = np.concatenate([[0], n.cumsum()])
+        ids = flat[np.repeat(size.cumsum()[word] - n - upto[:-1], n) + np.arange(upto[-1])] if len(word) else flat
+        found = pa.ListArray.from_arrays(pa.array(upto[ends], pa.int32()), pa.array(ids, pa.int32()))
+        if not alone:
+            return found
+        place = np.arange(len(strings))
+        place[odd] = len(strings) + np.arange(len(odd))
+        return pa.concat_arrays([found, pa.array([alone[k] for k in odd], pa.list_(pa.int32()))]).take(pa.array(place))
+
+
+def normalised(text: str) -> str:
+    """The normal form of the tokenizer but for runs of white space; sigma has one lower case wherever it stands."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
 class Decoder:
-    """Token strings in one piece with the offset of each, so that decoding is a look-up. Without a decoder in its
-    file the tokenizer puts a space between tokens."""
+    """Token strings in one piece with the offset of each, which is what an Arrow string array is, so that decoding is
+    a look-up. Without a decoder in its file the tokenizer puts a space between tokens."""
 
     def __init__(self, names: list[str]):
-        parts = [x.encode() for x in names]
-        self.blob = b"".join(parts)
-        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).tolist()
+        self.names = pa.array(names, pa.large_string())
 
     def decode(self, ids: list[int]) -> str:
-        blob, at = self.blob, self.offsets
-        return b" ".join([blob[at[i] : at[i + 1]] for i in ids]).decode()
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """The text of each list of tokens; of none for a null list."""
+        ids = pc.fill_null(ids, pa.scalar([], ids.type))
+        ends = ids.offsets.to_numpy().astype(np.int64)
+        strings = pa.LargeListArray.from_arrays(pa.array(ends - ends[0]), self.names.take(ids.flatten()))
+        return pc.binary_join(strings, pa.scalar(" ", pa.large_string()))
 
 
 @dataclass(frozen=True)
@@ -252,24 +282,14 @@ def load(spark: SparkSession, path: str) -> Shared:
     return Shared(spark.sparkContext.broadcast(tables), spark.sparkContext.broadcast(tables.names))
 
 
-def _mapped(make: Callable, column: str, result: str, kind: pa.DataType, keep: list[str], step: int = 256):
-    """Applies what make() gives, which lives as long as a task does: workers that wait for other work hold nothing."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):  # so that the results of few rows are held at once
-                batch = whole.slice(at, step)
-                made = [f(x) for x in batch.column(column).to_pylist()]
-                if pa.types.is_list(kind):
-                    ends = np.cumsum([0] + [len(x) for x in made])
-                    flat = np.fromiter((i for x in made for i in x), np.int32, ends[-1])
-                    new = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                else:
-                    new = pa.array(made, kind)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), new], [*keep, result])
-
-    return run
+def _slices(batch: pa.RecordBatch, weights: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of which each weighs at most most, or is one row."""
+    upto = np.concatenate([[0], weights.cumsum()])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + most, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def encode(df: DataFrame, shared: Shared, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -278,7 +298,15 @@ def encode(df: DataFrame, shared: Shared, text: str = "text", ids: str = "ids")
     keep = [c for c in df.columns if c != ids]
     schema = df.select(*keep).schema.add(ids, ArrayType(IntegerType()))
     tables = shared.tables
-    return df.mapInArrow(_mapped(lambda: Encoder(tables.value).encode, text, ids, pa.list_(pa.int32()), keep), schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tables.value)  # as long as the task: workers that wait for other work hold nothing
+        for whole in batches:
+            bytes_of = pc.fill_null(pc.binary_length(whole.column(text)), 0).to_numpy().astype(np.int64)
+            for batch in _slices(whole, bytes_of, SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, encoder.encode_all(batch.column(text))], [*keep, ids])
+
+    return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, shared: Shared, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -287,8 +315,12 @@ def decode(df: DataFrame, shared: Shared, ids: str = "ids", text: str = "decoded
     schema = df.select(*keep).schema.add(text, "string")
     names = shared.names
 
-    def make() -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(names.value)
-        return lambda x: decoder.decode(x or [])
+        for whole in batches:
+            n = pc.fill_null(pc.list_value_length(whole.column(ids)), 0).to_numpy().astype(np.int64)
+            for batch in _slices(whole, n, SLICE_TOKENS):
+                made = decoder.decode_all(batch.column(ids)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, made], [*keep, text])
 
-    return df.mapInArrow(_mapped(make, ids, text, pa.string(), keep), schema)
+    return df.mapInArrow(run, schema)

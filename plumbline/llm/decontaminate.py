@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
 
-from .tokens import NOT_WORD, runs, tokenise
+from .tokens import NOT_WORD, Tokens, runs, text_slices, tokenise
 
 #: Tokens of a tile, share of an item's tokens that tiles must cover.
 LEAST, SHARE = 5, 0.5
@@ -54,17 +54,45 @@ def _free(marked: bytearray) -> Iterator[tuple[int, int]]:
             start = k
 
 
-def _longest(a: list[int], b: list[int], used_a: bytearray, used_b: bytearray, size: int) -> list[tuple[int, int]]:
-    """The pairs of places where a and b share a run of size unmarked tokens."""
+def _places(seq: list[int], used: bytearray, size: int) -> dict[int, list[int]]:
+    """Where the runs of size unmarked tokens begin, by their hashes."""
     places = defaultdict(list)
-    for lo, hi in _free(used_a):
-        for k, h in enumerate(_rolling(a[lo:hi], size)):
+    for lo, hi in _free(used):
+        for k, h in enumerate(_rolling(seq[lo:hi], size)):
             places[h].append(lo + k)
-    found = []
-    for lo, hi in _free(used_b):
-        for k, h in enumerate(_rolling(b[lo:hi], size)):
-            found += [(p, lo + k) for p in places.get(h, ()) if a[p : p + size] == b[lo + k : lo + k + size]]
-    return found
+    return places
+
+
+def _shared(a: list[int], b: list[int], used_a: bytearray, used_b: bytearray, size: int) -> bool:
+    """Whether a and b have a common run of size unmarked tokens."""
+    places = _places(a, used_a, size)
+    for h, starts in _places(b, used_b, size).items():
+        for q in starts[:1]:
+            if any(a[p : p + size] == b[q : q + size] for p in places.get(h, ())):
+                return True
+    return False
+
+
+def _mark(a: list[int], b: list[int], used_a: bytearray, used_b: bytearray, size: int) -> list[tuple[int, int, int]]:
+    """Marks common runs of size tokens, none longer being left, and returns them. A place in b that is taken, or was
+    marked meanwhile, is never looked at again, so repeated tokens make no pairs of places."""
+    tiles = []
+    waiting = {h: starts[::-1] for h, starts in _places(b, used_b, size).items()}
+    for p, h in sorted((p, h) for h, starts in _places(a, used_a, size).items() for p in starts):
+        if used_a[p] or used_a[p + size - 1]:
+            continue
+        starts, others = waiting.get(h, []), []
+        while starts:
+            q = starts.pop()
+            if used_b[q] or used_b[q + size - 1]:
+                continue
+            if a[p : p + size] == b[q : q + size]:
+                used_a[p : p + size] = used_b[q : q + size] = b"\x01" * size
+                tiles.append((p, q, size))
+                break
+            others.append(q)  # another run with the same hash
+        starts.extend(reversed(others))
+    return tiles
 
 
 def tile(a: list[int], b: list[int], least: int = LEAST) -> list[tuple[int, int, int]]:
@@ -74,51 +102,58 @@ def tile(a: list[int], b: list[int], least: int = LEAST) -> list[tuple[int, int,
     tiles = []
     most = min(len(a), len(b))
     while most >= least:
-        low, high, hits = least, most, []
+        low, high = least, most
         while low <= high:  # a common run of some size has common runs of every smaller one
             middle = (low + high + 1) // 2
-            if found := _longest(a, b, used_a, used_b, middle):
-                low, hits = middle + 1, found
+            if _shared(a, b, used_a, used_b, middle):
+                low = middle + 1
             else:
                 high = middle - 1
-        if not hits:
+        if high < least:
             break
-        for p, q in sorted(hits):
-            if not any(used_a[p : p + high]) and not any(used_b[q : q + high]):
-                used_a[p : p + high] = used_b[q : q + high] = b"\x01" * high
-                tiles.append((p, q, high))
+        tiles += _mark(a, b, used_a, used_b, high)
         most = high
     return tiles
 
 
 class Items:
-    """A block of benchmark items with its seeds, sorted for look-up."""
+    """A block of benchmark items with its seeds, sorted for look-up: for each size of a seed the hashes and items. An
+    item of fewer than least tokens has one seed, all of them."""
 
     def __init__(self, ids: list, texts: list[str | None], least: int):
         tokens = tokenise(pa.array(texts, pa.string()), NOT_WORD)
-        self.ids, self.least = ids, least
+        self.ids = ids
         cut = np.split(tokens.hashes, tokens.offsets[1:-1]) if ids else []
         self.tokens = [x.tolist() for x in cut]
-        seeds, item = runs(tokens, least)
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.item = seeds[order], item[order]
+        sizes = np.diff(tokens.offsets)
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in range(1, least + 1):
+            seeds, item = runs(tokens, size)
+            if size < least:
+                short = sizes[item] == size
+                seeds, item = seeds[short], item[short]
+            if len(seeds):
+                order = np.argsort(seeds, kind="stable")
+                self.seeds[size] = seeds[order], item[order]
 
     def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int, int]], int]]:
         """(number of the text, number of the item, tiles, tokens of the item) of the pairs that share a seed."""
         tokens = tokenise(texts, NOT_WORD)
-        seeds, text = runs(tokens, self.least)
-        if not len(self.seeds) or not len(seeds):
+        for size, (known, items) in self.seeds.items():
+            yield from self._matches(tokens, size, known, items)
+
+    def _matches(self, tokens: Tokens, size: int, known: np.ndarray, items: np.ndarray):
+        seeds, text = runs(tokens, size)
+        if not len(seeds):
             return
-        low = np.searchsorted(self.seeds, seeds)
-        hit = np.flatnonzero(self.seeds[np.minimum(low, len(self.seeds) - 1)] == seeds)
-        high = np.searchsorted(self.seeds, seeds[hit], side="right")
-        at = np.zeros(len(texts), np.int64)
-        np.add.at(at, text, 1)
-        first = np.concatenate([[0], np.cumsum(at)])  # where a text's runs begin
+        low = np.searchsorted(known, seeds)
+        hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == seeds)
+        high = np.searchsorted(known, seeds[hit], side="right")
+        first = np.searchsorted(text, np.arange(len(tokens.offsets)))  # where a text's runs begin
         places = defaultdict(list)
         for k, lo, hi in zip(hit.tolist(), low[hit].tolist(), high.tolist()):
             t = int(text[k])
-            for item in set(self.item[lo:hi].tolist()):
+            for item in set(items[lo:hi].tolist()):
                 places[t, item].append(k - first[t])
         for (t, item), starts in places.items():
             # tokens outside a shared run can be in no tile: only the shared stretches of a long text are tiled
@@ -126,17 +161,17 @@ class Items:
             for s in starts:
                 if s > end:
                     pieces.append(-1 - len(pieces))  # in no item, so that no tile goes across
-                    pieces += whole[s : s + self.least]
+                    pieces += whole[s : s + size]
                 else:
-                    pieces += whole[end : s + self.least]
-                end = s + self.least
-            yield t, item, tile(self.tokens[item], pieces, self.least), len(self.tokens[item])
+                    pieces += whole[end : s + size]
+                end = s + size
+            yield t, item, tile(self.tokens[item], pieces, size), len(self.tokens[item])
 
 
 def _matched(shared, keep: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
-        for batch in _slices(batches):
+        for batch in text_slices(batches, text, rows=1000):
             rows = [
                 (t, items.ids[i], sum(x[2] for x in tiles), n, len(tiles))
                 for t, i, tiles, n in items.matches(batch.column(text))
@@ -153,7 +188,7 @@ def _matched(shared, keep: list[str], text: str):
 def _covered(shared, keep: list[str], text: str, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
-        for batch in _slices(batches):
+        for batch in text_slices(batches, text, rows=1000):
             most = batch.column(into).to_numpy(zero_copy_only=False).copy()
             for t, _, tiles, n in items.matches(batch.column(text)):
                 most[t] = max(most[t], sum(x[2] for x in tiles) / n)
@@ -162,12 +197,6 @@ def _covered(shared, keep: list[str], text: str, into: str):
     return run
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            yield whole.slice(at, rows)
-
-
 def blocks(benchmark: DataFrame, least: int = LEAST) -> Iterator:
     """The benchmark (item_id, text), a stated query set, as broadcast blocks of some BLOCK_BYTES of text; each is one
     more step over the documents, so its size is no limit. Items with a null id or text are left out."""
@@ -182,10 +211,13 @@ def blocks(benchmark: DataFrame, least: int = LEAST) -> Iterator:
 
 def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", least: int = LEAST) -> DataFrame:
     """keep's columns, item_id, covered, item_tokens and tiles for each pair of a row of docs and an item that share a
-    run of least tokens. Tokens are lower-cased runs of letters and digits.
+    run of least tokens or, if the item has fewer, all of its tokens in a row. Tokens are lower-cased runs of letters and
+    digits.
 
-    Items of fewer than least tokens match nothing; a null or empty text matches nothing; repeated rows match each.
+    An item without tokens matches nothing, nor does a null or empty text; repeated rows match each. Columns of docs with
+    the names of the new ones are replaced.
     """
+    keep = [c for c in keep if c not in ("item_id", "covered", "item_tokens", "tiles")]
     schema = docs.select(*keep).schema.add("item_id", LongType())
     for name in ("covered", "item_tokens", "tiles"):
         schema = schema.add(name, IntegerType())

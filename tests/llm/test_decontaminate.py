@@ -34,12 +34,18 @@ def test_tiles():
         assert D.tile(a, b, 3) == brute(a, b, 3), (a, b)
 
 
+def test_tiles_of_repeated_tokens():
+    assert D.tile([1] * 200, [1] * 8000, 5) == [(0, 0, 200)]
+    assert D.tile([1] * 300 + [2] + [1] * 300, [1] * 8000, 5) == [(0, 0, 300), (301, 300, 300)]
+    assert D.tile([1, 2] * 2000, [1, 2] * 1000 + [3] + [1, 2] * 1000, 5) == [(0, 0, 2000), (2000, 2001, 2000)]
+
+
 WORDS = [f"w{i}" for i in range(500)]
 
 
 def test_matches(spark, monkeypatch):
     rng = random.Random(5)
-    items = [(i, " ".join(rng.choices(WORDS, k=rng.randint(3, 40)))) for i in range(30)] + [(30, None), (None, "a b c d e f"), (31, "a b")]
+    items = [(i, " ".join(rng.choices(WORDS, k=rng.randint(3, 40)))) for i in range(30)] + [(30, None), (None, "a b c d e f"), (31, "a b"), (32, WORDS[3] + "!"), (33, "?")]
     docs = []
     for d in range(120):
         words = rng.choices(WORDS, k=rng.randint(0, 80))
@@ -56,15 +62,16 @@ def test_matches(spark, monkeypatch):
     want = []
     for d, t, _ in docs:
         for i, u in items:
-            if i is not None and u and (tiles := D.tile(split(u), split(t)[-200:], 5)):
+            if i is not None and u and (tiles := D.tile(split(u), split(t)[-200:], min(5, len(split(u))))):
                 want.append((d, i, sum(x[2] for x in tiles), len(split(u)), len(tiles)))
+    assert any(x[3] < 5 for x in want)
     key = lambda r: tuple(-1 if x is None else x for x in r)
     for size in (D.BLOCK_BYTES, 1500):
         monkeypatch.setattr(D, "BLOCK_BYTES", size)
-        got = D.matches(df.drop("item_id"), bench, ["doc_id"]).collect()
+        got = D.matches(df, bench, ["doc_id", "item_id"]).collect()
         assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     shares = {(r.doc_id, r.text): r.coverage for r in D.coverage(df, bench).collect()}
     assert shares == {(d, t): max([x[2] / x[3] for x in want if x[0] == d], default=0) for d, t, _ in docs}
-    assert len([x for x in want if x[2] / x[3] >= 0.5]) == D.contaminated(df.drop("item_id"), bench, ["doc_id"]).count()
-    assert D.contaminated(df.limit(0).drop("item_id"), bench, ["doc_id"]).count() == 0
+    assert len([x for x in want if x[2] / x[3] >= 0.5]) == D.contaminated(df, bench, ["doc_id"]).count()
+    assert D.contaminated(df.limit(0), bench, ["doc_id"]).count() == 0
     assert D.coverage(df, bench.limit(0)).filter("coverage > 0").count() == 0

@@ -110,12 +110,17 @@ def _explode_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["term", "toxic"])
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> DataFrame:
-    """doc_id, text and toxic of at most most labelled rows that may be learned from. Rows of labels
-    with a null id or label are left out; of several for one id, toxic if any is."""
+def learnable(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the labelled rows that may be learned from. Rows with a null id or label are left out; of
+    several for one id, toxic if any is."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # a half is of toxic rows, which are few: voters need them; the class prior is estimated apart
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> DataFrame:
+    """doc_id, text and toxic of at most most learnable rows, a half of them toxic if there are enough: toxic ones are
+    few, and voters need them. class_weights() makes up for the share that a class has in the sample."""
+    known = learnable(labels)
     order = F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")
     picked = known.filter("toxic = 1").orderBy(*order).limit(most // 2).unionByName(
         known.filter("toxic = 0").orderBy(*order).limit(most - most // 2)
@@ -125,6 +130,13 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> DataFr
     return one.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
+def class_weights(sampled: dict[int, int], known: dict[int, int]) -> dict[int, float]:
+    """The weight of a sampled row of each class, so that the classes count as they do among all learnable rows whatever
+    the size of the table; the mean over the sample is one."""
+    n, total = sum(sampled.values()), sum(known[c] for c in sampled)
+    return {c: known[c] / total * n / sampled[c] for c in sampled}
+
+
 @dataclass
 class LabelModel:
     """Votes are conditionally independent given the class but for groups of correlated voters: voter j's evidence
@@ -141,19 +153,22 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     @classmethod
-    def fit(cls, votes: np.ndarray, rounds: int = 40) -> LabelModel:
-        """Expectation-maximisation from the start that texts with several votes are toxic. votes: rows x voters, 0 or 1."""
+    def fit(cls, votes: np.ndarray, row_weight: np.ndarray | None = None, rounds: int = 40) -> LabelModel:
+        """Expectation-maximisation from the start that texts with several votes are toxic. votes: rows x voters, 0 or 1;
+        row_weight: for how many rows each counts, one by default."""
         n, m = votes.shape
+        of = np.ones(n) if row_weight is None else row_weight
         post = np.clip(votes.sum(1) / 3, 0.02, 0.98)
         weight = np.ones(m)
         for k in range(rounds):
-            prior = float(np.clip(post.mean(), 0.01, 0.99))
-            hit = np.stack([((1 - post) @ votes + 0.05) / ((1 - post).sum() + 1), (post @ votes + 0.5) / (post.sum() + 1)])
+            on, off = post * of, (1 - post) * of
+            prior = float(np.clip(on.sum() / of.sum(), 0.01, 0.99))
+            hit = np.stack([(off @ votes + 0.05) / (off.sum() + 1), (on @ votes + 0.5) / (on.sum() + 1)])
             hit = np.clip(hit, 1e-5, 1 - 1e-5)
             if k % 10 == 9:  # what the classes leave unexplained is correlation between voters
                 left = votes - (post[:, None] * hit[1] + (1 - post[:, None]) * hit[0])
-                scale = np.sqrt((left**2).mean(0)) + 1e-9
-                r = (left / scale).T @ (left / scale) / n
+                scale = np.sqrt((of[:, None] * left**2).sum(0) / of.sum()) + 1e-9
+                r = (of[:, None] * left / scale).T @ (left / scale) / of.sum()
                 np.fill_diagonal(r, 0)
                 weight = 1 / (1 + np.where(r > 0.3, r, 0).sum(1))
             model = cls(prior, hit, weight)
@@ -204,6 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Classif
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     if not n1 or not n0:
         return Classifier([], -3.0, np.zeros(len(TOTALS)))
+    known = {int(r.toxic): r["count"] for r in learnable(labels).groupBy("toxic").count().collect()}
+    weight_of = class_weights(counts, known)
     p = n1 / (n1 + n0)
     n, bad = F.col("n"), F.col("bad")
     purity = (bad / n1) / (bad / n1 + (n - bad) / n0)
@@ -224,12 +241,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Classif
     def cast(texts: pd.Series) -> pd.Series:
         return pd.Series([lexicon(x) for x in texts])
 
-    rows = picked.select("doc_id", cast("text").alias("votes")).orderBy("doc_id").collect()
+    rows = picked.select("doc_id", "toxic", cast("text").alias("votes")).orderBy("doc_id").collect()
     votes = np.zeros((len(rows), len(lexicon.names)))
     for k, r in enumerate(rows):
         votes[k, r.votes] = 1
-    post = LabelModel.fit(votes).posterior(votes)
-    w = logistic(votes, post, np.ones(len(post)))
+    weight = np.array([weight_of[int(r.toxic)] for r in rows])
+    post = LabelModel.fit(votes, weight).posterior(votes)
+    w = logistic(votes, post, weight)
     return Classifier(names, float(w[-1]), w[:-1])
 
 

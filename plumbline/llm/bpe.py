@@ -22,6 +22,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .tokens import slices, text_slices
+
 #: White space as Unicode has it (str.split() also splits at U+001C to U+001F).
 SPACES = "\t-\r \x85\xa0  -     　"
 SPACE_RUN = re.compile(f"[{SPACES}]+")
@@ -31,8 +33,8 @@ LAST = 0xE000
 #: Pieces of letters whose tokens an encoder keeps: so many characters of new ones before those go that were not met
 #: again since the last time, and none longer than this.
 CACHED_CHARS, CACHED_LENGTH = 1_500_000, 64
-#: Bytes of text, about, that are encoded at once, and tokens that are decoded at once.
-SLICE_BYTES, SLICE_TOKENS = 4 << 20, 2_000_000
+#: Bytes of text, about, and texts that are encoded at once, and tokens that are decoded at once.
+SLICE_BYTES, SLICE_TEXTS, SLICE_TOKENS = 4 << 20, 10_000, 2_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -282,16 +284,6 @@ def load(spark: SparkSession, path: str) -> Shared:
     return Shared(spark.sparkContext.broadcast(tables), spark.sparkContext.broadcast(tables.names))
 
 
-def _slices(batch: pa.RecordBatch, weights: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of which each weighs at most most, or is one row."""
-    upto = np.concatenate([[0], weights.cumsum()])
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(upto, upto[at] + most, side="right")) - 1)
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def encode(df: DataFrame, shared: Shared, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the token ids (array<int>) of column text in column ids; a column of that name is replaced. A null or
     empty text has no tokens. Special tokens written out in a text count as such; none are added."""
@@ -301,10 +293,8 @@ def encode(df: DataFrame, shared: Shared, text: str = "text", ids: str = "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tables.value)  # as long as the task: workers that wait for other work hold nothing
-        for whole in batches:
-            bytes_of = pc.fill_null(pc.binary_length(whole.column(text)), 0).to_numpy().astype(np.int64)
-            for batch in _slices(whole, bytes_of, SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, encoder.encode_all(batch.column(text))], [*keep, ids])
+        for batch in text_slices(batches, text, SLICE_BYTES, SLICE_TEXTS):
+            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, encoder.encode_all(batch.column(text))], [*keep, ids])
 
     return df.mapInArrow(run, schema)
 
@@ -319,7 +309,7 @@ def decode(df: DataFrame, shared: Shared, ids: str = "ids", text: str = "decoded
         decoder = Decoder(names.value)
         for whole in batches:
             n = pc.fill_null(pc.list_value_length(whole.column(ids)), 0).to_numpy().astype(np.int64)
-            for batch in _slices(whole, n, SLICE_TOKENS):
+            for batch in slices(whole, n, SLICE_TOKENS):
                 made = decoder.decode_all(batch.column(ids)).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, made], [*keep, text])
 

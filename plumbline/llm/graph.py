@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from . import workspace
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """Links the larger neighbours of each node with its smallest one, itself included."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # written, so that Spark can split the edges of a node that has very many
+    least = workspace.stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
+    scratch.append(least)
     moved = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     return moved.filter("a <> b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """Links each node and its smaller neighbours with the smallest of these. edges: a < b."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    least = workspace.stage(edges.groupBy("b").agg(F.min("a").alias("m")), "least")
+    scratch.append(least)
     moved = edges.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.unionByName(least.select(F.col("m").alias("a"), "b")).filter("a <> b").distinct()
 
@@ -35,15 +38,19 @@ def components(edges: DataFrame, least: str = "component") -> DataFrame:
 
     Large-star and small-star steps alternate until every component is a star, in a number of rounds that grows with
     the logarithm of its size. Each round's edges are written to the shared folder and number no more than those
-    before. Minima are added up before the shuffle, so a node with very many links is no burden; loops and repeated
-    edges don't matter, nulls are left out.
+    before. Minima are added up before the shuffle and written before they are joined with the edges, so Spark can split
+    those of a node with very many links; loops and repeated edges don't matter, nulls are left out.
     """
     now = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now = workspace.stage(now, "edges")
     mark = _mark(now)
     while True:
-        last, now = now, workspace.stage(_small(_large(now)), "edges")
-        workspace.drop(last)
+        scratch = [now]
+        large = workspace.stage(_large(now, scratch), "edges")
+        scratch.append(large)
+        now = workspace.stage(_small(large, scratch), "edges")
+        for done in scratch:
+            workspace.drop(done)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -3,12 +3,15 @@
 Each shingle of a text is a Poisson process whose rate is the shingle's weight; its arrivals fall on registers at
 random, and a register keeps the shingle that arrived there first. A text is done as soon as no later arrival can be
 first anywhere. Two texts agree on a register with the probability Jaccard similarity of their weighted shingles, whose
-complement is a metric. Texts that agree on a band of registers are candidates and are verified by the exact similarity.
+complement is a metric. Texts that agree on a band of registers are candidates; those that agree on too few registers
+altogether to be similar go, the others are verified by the exact similarity.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, workspace
-from .tokens import NOT_WORD, U64, mix, runs, tokenise
+from .tokens import NOT_WORD, U64, mix, runs, text_slices, tokenise
 
 #: Words of a shingle; least similarity of a pair, but for rounding (1e-9).
 WORDS, LEAST = 5, 0.8
@@ -25,11 +28,13 @@ BANDS, ROWS = 24, 4
 #: A band's bucket with at most so many classes is compared pair by pair; in a larger one members meet hubs of so many
 #: components in so many rounds, and what is in several components then is compared by rare shingles.
 FEW, HUBS, ROUNDS = 16, 4, 2
+#: Chance that a pair at least as similar as asked for agrees on too few registers to be verified.
+MISS = 1e-7
+#: Texts that are compared with one hub in one group.
+CHUNK = 1000
 #: Texts, about, that shingles are counted on to tell the rare ones, and slots that they are counted in. These only say
 #: in which order shingles are looked at; any order gives the same pairs.
 COUNTED, SLOTS = 10_000, 2**21
-#: Texts and, about, tokens whose signatures are made at once.
-TEXTS = 500
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,43 +100,73 @@ def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.n
     return float((1 / (from_here[both] / a[both] + before[both] / b[both])).sum())
 
 
-SIGNED_SCHEMA = "id long, high long, low long, bands array<long>"
+def enough(least: float, registers: int = BANDS * ROWS, miss: float = MISS) -> int:
+    """The registers that a pair must agree on to be verified: one with the similarity least has fewer with a chance of
+    at most miss."""
+    below, k = 0.0, 0
+    while True:
+        below += math.comb(registers, k) * least**k * (1 - least) ** (registers - k)
+        if below > miss:
+            return k
+        k += 1
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, TEXTS):
-            batch = whole.slice(at, TEXTS)
-            text, h, weight, order = shingles(batch.column("text"))
-            n = batch.num_rows
-            total = np.zeros(n, U64)
-            np.add.at(total, text, mix(h))
-            found = bands(signatures(text, h, weight, n, BANDS * ROWS))
-            has = np.bincount(text, minlength=n) > 0
-            flat = pa.array(found[has].ravel())
-            ends = np.concatenate([[0], np.cumsum(has * BANDS)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(order.view(np.int64)), pa.array(total.view(np.int64)), lists],
-                ["id", "high", "low", "bands"],
-            )
+SIGNED_SCHEMA = "id long, high long, low long, bands array<long>, registers binary"
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, TEXTS):
-            batch = whole.slice(at, TEXTS)
-            sides = []
-            for name in ("text_a", "text_b"):
-                text, h, weight, _ = shingles(batch.column(name))
-                cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
-                sides.append((h, weight, cuts))
-            (ha, wa, ca), (hb, wb, cb) = sides
-            found = [
-                probability_jaccard(ha[ca[k] : ca[k + 1]], wa[ca[k] : ca[k + 1]], hb[cb[k] : cb[k + 1]], wb[cb[k] : cb[k + 1]])
-                for k in range(batch.num_rows)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], ["a", "b", "similarity"])
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches):
+        text, h, weight, order = shingles(batch.column("text"))
+        n = batch.num_rows
+        total = np.zeros(n, U64)
+        np.add.at(total, text, mix(h))
+        first = signatures(text, h, weight, n, BANDS * ROWS)
+        has = np.bincount(text, minlength=n) > 0
+        ends = np.concatenate([[0], np.cumsum(has * BANDS)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands(first)[has].ravel()))
+        registers = (mix(first) & U64(255)).astype(np.uint8)  # as much of a register as tells most others apart
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.array(order.view(np.int64)), pa.array(total.view(np.int64)), lists, pa.array([r.tobytes() for r in registers])],
+            ["id", "high", "low", "bands", "registers"],
+        )
+
+
+def _alike(least: int):
+    """The pairs that agree on at least least registers."""
+    numbers = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = (numbers(batch.column("registers_a")) == numbers(batch.column("registers_b"))).sum(1)
+                yield batch.select(["a", "b"]).filter(pa.array(same >= least))
+
+    return run
+
+
+def _similar(least: float):
+    """(a, b, similarity) of hubs a and the texts b that come after them. Rows come sorted by hub and chunk, the hub's
+    own text first; a hub's text may be in an earlier slice than those that it is compared with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, U64), np.zeros(0)
+        last = None
+        for batch in text_slices(batches):
+            text, h, weight, _ = shingles(batch.column("text"))
+            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            found = []
+            for k, (a, chunk, member, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "member", "id")))):
+                row = a, chunk, member, b
+                own = h[cuts[k] : cuts[k + 1]], weight[cuts[k] : cuts[k + 1]]
+                if not member:
+                    hub = own
+                elif row != last and (got := probability_jaccard(*hub, *own)) >= least:
+                    found.append((a, b, got))
+                last = row
+            cols = list(zip(*found)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+
+    return run
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -140,9 +175,8 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, np.int64)
-    for whole in batches:
-        for at in range(0, whole.num_rows, TEXTS):
-            np.add.at(total, _slots(shingles(whole.slice(at, TEXTS).column("text"))[1]), 1)
+    for batch in text_slices(batches):
+        np.add.at(total, _slots(shingles(batch.column("text"))[1]), 1)
     slot = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
 
@@ -151,20 +185,18 @@ def _prefixes(counts, least: float):
     """Of each text its rarest shingles, up to the first by which more than 1 - least of its weight is reached."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(at, TEXTS)
-                text, h, weight, _ = shingles(batch.column("text"))
-                share = weight / np.bincount(text, weight, batch.num_rows)[text]
-                order = np.lexsort((h, counts.value[_slots(h)], text))
-                text, h, share = text[order], h[order], share[order]
-                before = share.cumsum() - share
-                before -= before[np.searchsorted(text, text)]
-                text, h = text[before <= 1 - least + 1e-6], h[before <= 1 - least + 1e-6]
-                rows = pa.array(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), batch.column("id").take(rows), batch.column("component").take(rows)], ["shingle", "id", "component"]
-                )
+        for batch in text_slices(batches):
+            text, h, weight, _ = shingles(batch.column("text"))
+            share = weight / np.bincount(text, weight, batch.num_rows)[text]
+            order = np.lexsort((h, counts.value[_slots(h)], text))
+            text, h, share = text[order], h[order], share[order]
+            before = share.cumsum() - share
+            before -= before[np.searchsorted(text, text)]
+            text, h = text[before <= 1 - least + 1e-6], h[before <= 1 - least + 1e-6]
+            rows = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.view(np.int64)), batch.column("id").take(rows), batch.column("component").take(rows)], ["shingle", "id", "component"]
+            )
 
     return found
 
@@ -187,89 +219,114 @@ def rare_pairs(members: DataFrame, texts: DataFrame, least: float = LEAST) -> Da
     counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     marks = held.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), least), "shingle long, id long, component long")
     marks = workspace.stage(marks, "prefixes")
+    workspace.drop(held)
     sizes = marks.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     lists = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("k")).filter("k > 1")
-    several = workspace.stage(marks.join(lists.drop("k"), "shingle"), "shared-shingles")
+    shared = workspace.stage(lists.drop("k"), "majors")  # written, so that Spark can split a shingle that very many texts have
+    several = workspace.stage(marks.join(shared, "shingle"), "shared-shingles")
+    workspace.drop(shared)
     workspace.drop(marks)
     minor = several.filter("component <> major").select("shingle", F.col("id").alias("other"), F.col("component").alias("component_b"))
     pairs = several.join(minor, "shingle").filter("component <> component_b")
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b) of ids; texts: (id, text), one row for each id. Only the texts that a pair
-    names are moved."""
-    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = workspace.stage(texts.join(named, "id", "left_semi"), "texts")
-    side = lambda x: wanted.select(F.col("id").alias(x), F.col("text").alias("text_" + x))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar, "a long, b long, similarity double")
+def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) of ids with a similarity of least or more. classes: (id, registers), texts:
+    (id, text), one row for each id of both.
 
-
-def _labelled(rows: DataFrame, components: DataFrame) -> DataFrame:
-    """rows with the component of their id, its own id where it has no links."""
-    found = rows.join(components.withColumnsRenamed({"node": "id"}), "id", "left")
-    return found.withColumn("component", F.coalesce("component", "id"))
-
-
-def _live(entries: DataFrame, components: DataFrame) -> DataFrame:
-    """Entries with their component and n, the number in their bucket, where the bucket has several components."""
-    labelled = _labelled(entries, components)
-    sizes = labelled.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")
-    )
-    return labelled.join(sizes.filter("c0 <> c1").drop("c0", "c1"), "key")
+    Pairs that agree on too few registers go before any text is moved. Then each b's text moves to its hub a, which is
+    shingled once for CHUNK of them or fewer, so that no hub's pairs must be in one task.
+    """
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("registers").alias("registers_" + x))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "registers_a", "registers_b")
+    near = workspace.stage(near.mapInArrow(_alike(enough(least)), "a long, b long"), "alike")
+    crowded = workspace.stage(near.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).filter("chunks > 1"), "crowded")
+    chunk = F.coalesce(F.pmod(F.xxhash64("b"), F.col("chunks")), F.lit(0)).cast("int")
+    dealt = near.join(crowded, "a", "left").select("a", chunk.alias("chunk"), "b")
+    hubs = dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("member"), F.col("a").alias("id"))
+    wanted = hubs.unionByName(dealt.select("a", "chunk", F.lit(1).alias("member"), F.col("b").alias("id")))
+    wanted = workspace.stage(wanted, "wanted")  # written, so that its size tells whether it is broadcast
+    rows = wanted.join(texts, "id").select("a", "chunk", "member", "id", "text")
+    rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "member", "id")
+    found = workspace.stage(rows.mapInArrow(_similar(least - 1e-9), "a long, b long, similarity double"), "links")
+    for made in (near, crowded, wanted):
+        workspace.drop(made)
+    return found
 
 
-def _candidates(live: DataFrame, level: int) -> DataFrame:
-    """a, b: the pairs, a < b, to compare. A bucket of up to FEW members gives all of different components; a larger one
-    pairs each member with the first members of up to HUBS other components, not the same ones at every level."""
-    small = live.filter(F.col("n") <= FEW).select("key", "id", "component")
-    other = small.withColumnsRenamed({"id": "b", "component": "component_b"})
-    near = small.join(other, "key").filter("id < b AND component <> component_b")
-    large = live.filter(F.col("n") > FEW).select("key", "id", "component")
+def _open(entries: DataFrame, components: DataFrame) -> DataFrame:
+    """Entries (key, id, n, lo) with the component of their id, its own id where it has no links, of the buckets that
+    have several components."""
+    found = entries.drop("component").join(components.withColumnsRenamed({"node": "id"}), "id", "left")
+    labelled = workspace.stage(found.withColumn("component", F.coalesce("component", "id")), "labelled")
+    several = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
+    several = workspace.stage(several, "several")  # written, so that Spark can split a bucket of very many members
+    opened = workspace.stage(labelled.join(several, "key"), "entries")
+    workspace.drop(labelled)
+    workspace.drop(several)
+    return opened
+
+
+def _small(opened: DataFrame) -> DataFrame:
+    """a, b: the pairs, a < b, of different components in buckets of up to FEW members but for those with the bucket's
+    first member, which were compared at first."""
+    few = opened.filter(F.col("n") <= FEW)
+    other = few.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"))
+    left = few.filter("id <> lo").select("key", F.col("id").alias("a"), "component")
+    return left.join(other, "key").filter("a < b AND component <> component_b").select("a", "b")
+
+
+def _hubs(opened: DataFrame, level: int) -> DataFrame:
+    """a, b: hubs of up to HUBS components in a bucket of over FEW members, not the same ones at every level, and the
+    members of other components whose largest bucket it is."""
+    large = opened.filter(F.col("n") > FEW).select("key", "id", "component", "n")
     turn = F.xxhash64("component", F.lit(level))
-    hubs = large.groupBy("key", F.pmod(turn, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(turn.alias("turn"), "component", "id")).alias("h"))
-    hubs = hubs.select("key", F.col("h.component").alias("hub_component"), F.col("h.id").alias("hub"))
-    far = large.join(hubs, "key").filter("component <> hub_component")
-    return near.select(F.col("id").alias("a"), "b").unionByName(far.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct()
+    first = large.groupBy("key", F.pmod(turn, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(turn.alias("turn"), "component", "id")).alias("h"))
+    first = workspace.stage(first.select("key", F.col("h.component").alias("hub_component"), F.col("h.id").alias("a")), "hubs")
+    members = large.groupBy("id", "component").agg(F.max(F.struct("n", "key")).alias("m")).select(F.col("id").alias("b"), "component", F.col("m.key").alias("key"))
+    return members.join(first, "key").filter("component <> hub_component").select("a", "b")
 
 
 def links(classes: DataFrame, texts: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(a, b, similarity) of verified pairs of classes (id, bands), and the components that they make (node, component).
+    """(a, b, similarity) of verified pairs of classes (id, bands, registers), and the components that they make (node,
+    component).
 
-    A bucket of few classes is compared pair by pair. In a larger one members meet the hubs of components in the bucket,
-    which makes one component of a cluster of near copies at little cost. The members of buckets that have several
-    components even then are paired by rare_pairs(), which misses no similar pair; so each pair that shares a band is
-    compared or in one component.
+    At first all members of a bucket meet its first one, which makes one component of a cluster of near copies at the
+    cost of one pair a member. Buckets that have several components then are compared pair by pair if they are small; in
+    larger ones members meet the hubs of a few components, and what is in several components even then is paired by
+    rare_pairs(), which misses no similar pair. So each similar pair that shares a band is compared or in one component.
     """
     spark = classes.sparkSession
-    entries = classes.select("id", F.explode("bands").alias("key"))
-    made, tested = None, None
+    every = classes.select("id", F.explode("bands").alias("key"))
+    buckets = workspace.stage(every.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo")).filter("n > 1"), "buckets")
+    entries = workspace.stage(every.join(buckets, "key"), "entries")
+    workspace.drop(buckets)
+    made: list[DataFrame] = []
     components = spark.createDataFrame([], "node long, component long")
-    for level in range(ROUNDS + 1):
-        live = workspace.stage(_live(entries, components), "live")
-        # a bucket of few classes was compared whole at the first level
-        entries = live.filter(F.col("n") > FEW).select("key", "id")
-        if level < ROUNDS:
-            found = _candidates(live, level)
+    for level in range(ROUNDS + 2):
+        if not level:
+            found = entries.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
         else:
-            members = workspace.stage(live.select("id", "component").distinct(), "members")
-            if members.isEmpty():
-                break
-            found = rare_pairs(members, texts, least)
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        pairs = workspace.stage(found, "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = workspace.stage(verify(pairs, texts).filter(F.col("similarity") >= least - 1e-9), "links")
-        if not new.isEmpty():
-            made = new if made is None else made.unionByName(new)
-            components = workspace.stage(graph.components(made.select("a", "b")), "components")
-    if made is None:
-        made = spark.createDataFrame([], "a long, b long, similarity double")
-    return made, components
+            before, entries = entries, _open(entries, components)
+            workspace.drop(before)
+            if level <= ROUNDS:
+                found = _hubs(entries, level)
+                found = found.unionByName(_small(entries)) if level == 1 else found
+            else:
+                found = rare_pairs(entries.select("id", "component").distinct(), texts, least)
+        pairs = workspace.stage(found.distinct(), "pairs")
+        entries = entries.filter(F.col("n") > FEW) if level else entries  # smaller buckets were compared whole at level 1
+        if not pairs.isEmpty():
+            made.append(verify(pairs, classes, texts, least))
+            if not made[-1].isEmpty():
+                components = workspace.stage(graph.components(reduce(DataFrame.unionByName, made).select("a", "b")), "components")
+        workspace.drop(pairs)
+        if level and entries.isEmpty():
+            break
+    if not made:
+        made.append(spark.createDataFrame([], "a long, b long, similarity double"))
+    return reduce(DataFrame.unionByName, made), components
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -283,20 +340,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     signed = workspace.stage(rows.mapInArrow(_signed, SIGNED_SCHEMA), "signatures")
-    good = signed.filter(F.col("id").isNotNull() & (F.size("bands") > 0))
-    copies = good.groupBy("high", "low").agg(F.min("id").alias("first"), F.first("bands").alias("bands"))
-    copies = workspace.stage(copies, "copies")
-    classes = copies.groupBy("first").agg(F.first("bands").alias("bands")).withColumnRenamed("first", "id")
-    of_class = rows.filter(F.col("id").isNotNull()).join(classes.select("id"), "id", "left_semi")
-    texts = of_class.groupBy("id").agg(F.max("text").alias("text"))
-    _, components = links(workspace.stage(classes, "classes"), texts, least)
-    named = copies.join(components.withColumnRenamed("node", "first"), "first", "left").select(
-        "high", "low", F.coalesce("component", "first").alias("class")
-    )
-    out = signed.withColumn("good", F.col("id").isNotNull() & (F.size("bands") > 0)).join(
-        named.withColumn("good", F.lit(True)), ["high", "low", "good"], "left"
-    )
-    class_id = F.coalesce("class", "id")
-    return out.select(
-        F.col("id").alias(key), class_id.alias("class_id"), F.coalesce(F.col("id") == class_id, F.lit(False)).alias("kept")
-    )
+    usable = F.col("id").isNotNull() & (F.size("bands") > 0)
+    good = signed.filter(usable)
+    copies = workspace.stage(good.groupBy("high", "low").agg(F.min("id").alias("first")), "copies")
+    one = copies.groupBy("first").agg(F.min(F.struct("high", "low")).alias("x")).select(F.col("first").alias("id"), "x.high", "x.low")
+    classes = good.join(one, ["id", "high", "low"], "left_semi").dropDuplicates(["id", "high", "low"])
+    classes = workspace.stage(classes.select("id", "bands", "registers"), "classes")
+    texts = rows.filter(F.col("id").isNotNull())
+    if not good.groupBy("id").count().filter("count > 1").isEmpty():  # of a repeated key one row is to be compared
+        texts = texts.groupBy("id").agg(F.max("text").alias("text"))
+    _, components = links(classes, texts, least)
+    named = copies.join(components.withColumnRenamed("node", "first"), "first", "left")
+    named = workspace.stage(named.select("high", "low", F.coalesce("component", "first").alias("class_id")), "named")
+    narrow = "id", "high", "low"
+    rest = signed.filter(~usable).select("id", F.col("id").alias("class_id"))  # without words: no key to join by
+    out = good.select(*narrow).join(named, ["high", "low"], "left").select("id", "class_id").unionByName(rest)
+    kept = F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("kept")
+    out = workspace.stage(out.select(F.col("id").alias(key), "class_id", kept), "near-copies")
+    for done in (signed, copies, classes, named):
+        workspace.drop(done)
+    return out

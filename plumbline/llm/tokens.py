@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def slices(batch: pa.RecordBatch, weights: np.ndarray, most: int, rows: int = 1 << 31) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of rows rows at most, of which each weighs no more than most or is one row."""
+    upto = np.concatenate([[0], weights.cumsum()])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, min(at + rows, int(np.searchsorted(upto, upto[at] + most, side="right")) - 1))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Pieces of some most bytes of text: what tokens and shingles take, about 100 bytes for each of text, is bounded but
+    for a single text that is longer."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+        yield from slices(batch, sizes, most, rows)
+
+
 @dataclass
 class Tokens:
     """offsets: where each text's tokens begin and, at last, end; words: a number for each token; distinct: the hash of

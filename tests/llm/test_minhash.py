@@ -97,11 +97,30 @@ def test_crowded_bucket(spark):
     rows = [(order[k], t) for k, t in enumerate(texts)]
     assert set(brute(rows).values()) == {0}
     df = spark.createDataFrame(rows, "id long, text string")
-    classes = spark.createDataFrame([(k, [5] + [100 * (k + 1) + b for b in range(1, M.BANDS)]) for k in range(40)], "id long, bands array<long>")
+    rows = [(k, [5] + [100 * (k + 1) + b for b in range(1, M.BANDS)], bytearray(M.BANDS * M.ROWS)) for k in range(40)]
+    classes = spark.createDataFrame(rows, "id long, bands array<long>, registers binary")
     _, components = M.links(classes, df)
     assert {r.node: r.component for r in components.collect()} == dict.fromkeys(range(40), 0)
 
 
+def test_enough_registers():
+    """Pairs at 0.8 that agree on fewer registers than asked for are as rare as stated."""
+    k = M.enough(0.8)
+    draws = np.random.default_rng(5).binomial(M.BANDS * M.ROWS, 0.8, 2_000_000)
+    assert 50 <= k <= 60 and (draws < k).sum() <= 5
+    assert M.enough(1.0) == M.BANDS * M.ROWS
+
+
+def test_one_hub_in_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK", 3)
+    base = [f"c{k}" for k in range(120)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(40)]
+    texts += [" ".join(base[60:] + [f"y{k}{j}" for j in range(60)]) for k in range(5)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_rare_pairs(spark):
     texts = made(random.Random(4), 200)
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")

@@ -22,7 +22,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .tokens import slices, text_slices
+from . import workspace
+from .tokens import give_back, slices, text_slices
 
 #: White space as Unicode has it (str.split() also splits at U+001C to U+001F).
 SPACES = "\t-\r \x85\xa0  -     　"
@@ -32,9 +33,9 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 LAST = 0xE000
 #: Pieces of letters whose tokens an encoder keeps: so many characters of new ones before those go that were not met
 #: again since the last time, and none longer than this.
-CACHED_CHARS, CACHED_LENGTH = 1_500_000, 64
+CACHED_CHARS, CACHED_LENGTH = 1_000_000, 64
 #: Bytes of text, about, and texts that are encoded at once, and tokens that are decoded at once.
-SLICE_BYTES, SLICE_TEXTS, SLICE_TOKENS = 4 << 20, 10_000, 2_000_000
+SLICE_BYTES, SLICE_TEXTS, SLICE_TOKENS = 4 << 20, 10_000, 1_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -279,6 +280,7 @@ class Shared:
 
 def load(spark: SparkSession, path: str) -> Shared:
     """The tokenizer file at path (on the driver), broadcast."""
+    workspace.small_batches(spark)
     with open(path, encoding="utf-8") as f:
         tables = Tables(f.read())
     return Shared(spark.sparkContext.broadcast(tables), spark.sparkContext.broadcast(tables.names))
@@ -312,5 +314,6 @@ def decode(df: DataFrame, shared: Shared, ids: str = "ids", text: str = "decoded
             for batch in slices(whole, n, SLICE_TOKENS):
                 made = decoder.decode_all(batch.column(ids)).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, made], [*keep, text])
+            give_back()
 
     return df.mapInArrow(run, schema)

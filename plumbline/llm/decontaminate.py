@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
 
+from . import workspace
 from .tokens import NOT_WORD, Tokens, runs, text_slices, tokenise
 
 #: Tokens of a tile, share of an item's tokens that tiles must cover.
@@ -201,6 +202,7 @@ def blocks(benchmark: DataFrame, least: int = LEAST) -> Iterator:
     """The benchmark (item_id, text), a stated query set, as broadcast blocks of some BLOCK_BYTES of text; each is one
     more step over the documents, so its size is no limit. Items with a null id or text are left out."""
     spark = benchmark.sparkSession
+    workspace.small_batches(spark)
     asked = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
     held = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-held // BLOCK_BYTES) or 1

@@ -186,6 +186,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     or whose key is null, link with nothing and are their own component. Repeated rows are copies of each other. Further
     columns are left out.
     """
+    workspace.small_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
     good = usable(F.col("vector")) & F.col("key").isNotNull()
     classes = rows.filter(good).groupBy("vector").agg(F.min("key").alias("id"), F.count("*").alias("n"))

@@ -340,6 +340,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_fold
     row to learn from the score is that of the uniform share. doc_id must be an integer.
     """
     spark = docs.sparkSession
+    workspace.small_batches(spark)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     source = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),

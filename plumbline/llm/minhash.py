@@ -338,6 +338,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     class, with the key as class_id. Repeated rows are copies; of a key with several texts one counts for links.
     Further columns are left out.
     """
+    workspace.small_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     signed = workspace.stage(rows.mapInArrow(_signed, SIGNED_SCHEMA), "signatures")
     usable = F.col("id").isNotNull() & (F.size("bands") > 0)

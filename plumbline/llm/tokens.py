@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,12 +32,21 @@ def slices(batch: pa.RecordBatch, weights: np.ndarray, most: int, rows: int = 1
         at = end
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns freed memory to the system. A Python worker outlives its tasks and would keep what the largest of them
+    took, while other workers of the executor need it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Pieces of some most bytes of text: what tokens and shingles take, about 100 bytes for each of text, is bounded but
     for a single text that is longer."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
         yield from slices(batch, sizes, most, rows)
+        give_back()
 
 
 @dataclass

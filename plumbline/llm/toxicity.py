@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import workspace
+from .tokens import give_back
 
 #: Bound of the sample of labelled rows that voters, label model and classifier are fitted on, chosen by a hash of the
 #: id. The driver gets the names of the voters and each row's votes.
@@ -88,7 +89,7 @@ class Lexicon:
         for word in words:
             terms = known.get(word)
             if terms is None:
-                if len(known) > 200_000:
+                if len(known) > 100_000:
                     known.clear()
                 terms = known[word] = tuple(t for t in parts_of(word) if t in self.bases)
             if terms:
@@ -214,6 +215,7 @@ def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Classifier:
     """Voters, label model and classifier from the bounded sample. Without labelled rows of both classes, or without
     voters, every text gets the same low score."""
+    workspace.small_batches(docs.sparkSession)
     picked = workspace.stage(sample(docs, labels, most), "toxicity-sample")
     counts = {int(r.toxic): r["count"] for r in picked.groupBy("toxic").count().collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
@@ -254,12 +256,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Classif
 def score(docs: DataFrame, model: Classifier, text: str = "text", into: str = "score") -> DataFrame:
     """docs with column into, from 0 to 1, of each whole text; a column of that name is replaced. A null text counts as
     empty. Rows are independent of each other: nothing is shuffled."""
+    workspace.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score_of = shared.value.scorer()
         for batch in texts:
             yield pd.Series([score_of(x) for x in batch], dtype="float64")
+            give_back()
 
     scored.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.withColumn(into, F.pandas_udf(scored, "double")(F.col(text)))

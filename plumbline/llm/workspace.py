@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: Spark's limit of the bytes of a batch that goes to Python, its default, and ours: rows here are whole texts.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the limit for the session, as a batch is held several times on its way by each task of an executor. A
+    session that has set a limit keeps it."""
+    if spark.conf.get(BATCH_SETTING, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 

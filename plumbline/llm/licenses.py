@@ -2,67 +2,139 @@
 
 A text is cut into sentences, which are normalised and mapped to identifiers of known licence sentences. The sequence of
 identifiers is then matched against ordered rules, each a run of identifiers that stands for a licence: a rule that
-matches takes its identifiers, so a longer rule comes before those that are part of it.
+matches takes its identifiers, so a longer rule comes before those that are part of it. A sentence that names a licence
+("Licensed under the MIT license", "SPDX-License-Identifier: MIT") has an identifier of its own for each licence, which
+is a rule too, after all others.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import spans
-
-#: Of the SQL only, which takes no sequence from a text without one of these; sentences like "Released under CC BY 4.0."
-#: have none, so scan() does not ask for it.
-TRIGGER = r"(?i)licen[sc]e|spdx|copyright|all rights reserved|permission is|redistribut|without (any )?warranty|creative commons"
+#: Licence families, what they are called besides their own name, and their versions.
+FAMILIES = (
+    ("Apache", (), ("1.0", "1.1", "2.0")), ("GPL", ("general public",), ("1.0", "2.0", "3.0")),
+    ("LGPL", ("lesser general public", "library general public"), ("2.0", "2.1", "3.0")), ("AGPL", ("affero general public",), ("1.0", "3.0")),
+    ("MPL", ("mozilla public",), ("1.0", "1.1", "2.0")), ("EPL", ("eclipse public",), ("1.0", "2.0")), ("EUPL", ("european union public",), ("1.0", "1.1", "1.2")),
+    ("CDDL", ("common development and distribution",), ("1.0", "1.1")), ("CPL", ("common public",), ("1.0",)), ("OFL", ("sil open font", "open font"), ("1.0", "1.1")),
+    ("AFL", ("academic free",), ("1.1", "1.2", "2.0", "2.1", "3.0")), ("OSL", ("open",), ("1.0", "1.1", "2.0", "2.1", "3.0")), ("Artistic", (), ("1.0", "2.0")),
+    ("BSL", ("boost",), ("1.0",)), ("LPPL", ("latex project public",), ("1.0", "1.1", "1.2", "1.3a", "1.3c")), ("PHP", (), ("3.0", "3.01")),
+    ("ZPL", ("zope public",), ("1.1", "2.0", "2.1")), ("PSF", ("python foundation",), ("2.0",)), ("GFDL", ("free documentation",), ("1.1", "1.2", "1.3")),
+    ("ECL", ("educational community",), ("1.0", "2.0")), ("CECILL", ("cecill",), ("1.0", "1.1", "2.0", "2.1")), ("MulanPSL", ("mulan permissive",), ("1.0", "2.0")),
+    ("ODbL", ("open database",), ("1.0",)), ("CC0", ("creative commons zero",), ("1.0",)),
+)
+#: The parts of a Creative Commons licence, their names, and versions.
+CC_PARTS = (("by", "attribution"), ("nc", "noncommercial"), ("nd", "noderivatives"), ("sa", "sharealike"))
+CC_KINDS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+#: Licences without versions and what they are called besides their own name.
+SINGLE = (
+    ("MIT", ("expat", "mit expat")), ("MIT-0", ("mit no attribution",)), ("ISC", ()), ("Zlib", ("zlib libpng",)), ("Unlicense", ()), ("WTFPL", ("do what the fuck you want to public",)),
+    ("0BSD", ("zero clause bsd", "bsd zero clause")), ("BSD-2-Clause", ("2 clause bsd", "simplified bsd", "freebsd", "bsd 2")),
+    ("BSD-3-Clause", ("3 clause bsd", "new bsd", "modified bsd", "revised bsd", "bsd 3")), ("BSD-4-Clause", ("4 clause bsd", "original bsd")), ("BSD", ("berkeley distribution",)),
+    ("NCSA", ("university illinois ncsa open source",)), ("X11", ()), ("curl", ()), ("Ruby", ()), ("PostgreSQL", ()), ("Vim", ()), ("Beerware", ()), ("JSON", ()),
+    ("BlueOak-1.0.0", ("blue oak model 1.0.0",)), ("MS-PL", ("microsoft public",)), ("MS-RL", ("microsoft reciprocal",)), ("Public-Domain", ("public domain",)),
+)
 #: Identifiers of known sentences and what they look like once normalised: lower case, letters, digits and
 #: inner dots only, single blanks. The first that fits is taken.
-_IS = "^(?:this [a-z ]{1,60} is |it is )?(?:licensed|released|distributed|available|published) under (?:the |a )?(?:terms of (?:the )?)?"
+_IT = "(?:program|library|file|software|package)"
+_MODIFY = "you can redistribute it and or modify it under the terms of (?:version [0-9.]+ of )?the gnu "
+_ONE = f"^this {_IT} is free software {_MODIFY}"
 SENTENCES = (
-    ("ApacheRef", _IS + "apache (?:software )?licen[sc]e v?(?:ersion )?2(?:\\.0)?(?: the license)?$"),
-    ("ApacheComply", "^you may not use this file except in compliance with the licen[sc]e$"),
+    ("ApacheComply", "^you may not use this (?:file|work|software) except in compliance with the licen[sc]e$"),
     ("ApacheCopy", "^you may obtain a copy of the licen[sc]e at"),
     ("ApacheAsIs", "^unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis"),
-    ("MitRef", _IS + "mit licen[sc]e$"),
+    ("BoostPermission", "^permission is hereby granted free of charge to any person or organization obtaining a copy"),
     ("MitPermission", "^permission is hereby granted free of charge to any person obtaining a copy"),
-    ("MitNotice", "^the above copyright notice and this permission notice shall be included in all copies"),
+    ("MitNotice", "^the above copyright notice and this permission notice .{0,60}shall be included in all copies"),
     ("AsIs", "^(?:the|this) software is provided .{0,60}as is"),
     ("IscPermission", "^permission to use copy modify and or distribute this software for any purpose"),
-    ("GplRef3", _IS + "(?:gnu )?(?:general public licen[sc]e|gpl) v?(?:ersion )?3"),
-    ("GplRef2", _IS + "(?:gnu )?(?:general public licen[sc]e|gpl) v?(?:ersion )?2"),
-    ("LgplRef", _IS + "(?:gnu )?(?:lesser general public licen[sc]e|lgpl)"),
-    ("GplFree3", "^this program is free software you can redistribute it .{0,160}general public licen[sc]e .{0,80}version 3"),
-    ("GplFree2", "^this program is free software you can redistribute it .{0,160}general public licen[sc]e .{0,80}version 2"),
-    ("GplHope", "^this program is distributed in the hope that it will be useful"),
-    ("CcByNc4", _IS + "(?:cc by nc|creative commons attribution non ?commercial) 4\\.0"),
-    ("CcBySa4", _IS + "(?:cc by sa|creative commons attribution share ?alike) 4\\.0"),
-    ("CcBy4", _IS + "(?:cc by|creative commons attribution) 4\\.0"),
+    ("ZlibPermission", "^permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("ZlibOrigin", "^(?:1\\.? )?the origin of this software must not be misrepresented"),
+    ("ZlibAltered", "^(?:2\\.? )?altered source versions must be plainly marked as such"),
+    ("ZlibNotice", "^(?:3\\.? )?this notice may not be removed or altered from any source distribution"),
+    ("Unencumbered", "^this is free and unencumbered software released into the public domain"),
+    ("AgplOne3", _ONE + "affero general public licen[sc]e .{0,80}version 3"),
+    ("LgplOne3", _ONE + "lesser general public licen[sc]e .{0,80}version 3"),
+    ("LgplOne21", _ONE + "lesser general public licen[sc]e .{0,80}version 2\\.1"),
+    ("GplOne3", _ONE + "general public licen[sc]e .{0,80}version 3"),
+    ("GplOne2", _ONE + "general public licen[sc]e .{0,80}version 2"),
+    ("FreeSoftware", f"^this {_IT} is free software$"),
+    ("AgplModify", "^" + _MODIFY + "affero general public licen[sc]e"),
+    ("LgplModify", "^" + _MODIFY + "(?:lesser|library) general public licen[sc]e"),
+    ("GplModify", "^" + _MODIFY + "general public licen[sc]e"),
+    ("Either3", "^either version 3 of the licen[sc]e"),
+    ("Either21", "^either version 2\\.1 of the licen[sc]e"),
+    ("Either2", "^either version 2 of the licen[sc]e"),
+    ("GplHope", f"^this {_IT} is distributed in the hope that it will be useful"),
     ("BsdUse", "^redistribution and use in source and binary forms with or without modification are permitted"),
     ("BsdSource", "^(?:1\\.? )?redistributions of source code must retain the above copyright notice"),
     ("BsdBinary", "^(?:2\\.? )?redistributions in binary form must reproduce the above copyright notice"),
-    ("BsdEndorse", "^(?:3\\.? )?neither the name .{1,120} may be used to endorse or promote products"),
-    ("MplRef", "^this source code form is subject to the terms of the mozilla public licen[sc]e v\\.? ?2\\.0"),
-    ("SpdxApache", "^spdx license identifier apache 2\\.0$"),
-    ("SpdxMit", "^spdx license identifier mit$"),
-    ("SpdxGpl3", "^spdx license identifier gpl 3\\.0"),
-    ("SpdxBsd3", "^spdx license identifier bsd 3 clause$"),
+    ("BsdAdvertise", "^(?:3\\.? )?all advertising materials mentioning features or use of this software must display"),
+    ("BsdEndorse", "^(?:[34]\\.? )?neither the name .{1,120} may be used to endorse or promote products"),
+    ("MplForm", "^this source code form is subject to the terms of the mozilla public licen[sc]e v\\.?(?:ersion)?$"),
+    ("MplForm2", "^this source code form is subject to the terms of the mozilla public licen[sc]e (?:v\\.? ?|version )2\\.0"),
+    ("Two", "^2\\.0$"),
+    ("MplCopy", "^if a copy of the mpl was not distributed with this file"),
+    ("EplMaterials", "^this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e v?\\.? ?2\\.0"),
+    ("Cc0Waive", "^to the extent possible under law .{1,120} waived all copyright"),
     ("Reserved", "^(?:copyright .{0,80})?all rights reserved$"),
 )
 #: Licences and the runs of identifiers that stand for them, in order.
 RULES = (
-    ("Apache-2.0", ("ApacheRef", "ApacheComply", "ApacheCopy", "ApacheAsIs")), ("Apache-2.0", ("ApacheRef", "ApacheComply")),
-    ("Apache-2.0", ("ApacheRef",)), ("Apache-2.0", ("SpdxApache",)),
-    ("MIT", ("MitPermission", "MitNotice", "AsIs")), ("MIT", ("MitPermission", "MitNotice")), ("MIT", ("MitRef",)), ("MIT", ("SpdxMit",)),
-    ("ISC", ("IscPermission", "AsIs")),
-    ("GPL-3.0", ("GplFree3", "GplHope")), ("GPL-3.0", ("GplFree3",)), ("GPL-3.0", ("GplRef3",)), ("GPL-3.0", ("SpdxGpl3",)),
-    ("GPL-2.0", ("GplFree2", "GplHope")), ("GPL-2.0", ("GplFree2",)), ("GPL-2.0", ("GplRef2",)), ("LGPL", ("LgplRef",)),
-    ("BSD-3-Clause", ("BsdUse", "BsdSource", "BsdBinary", "BsdEndorse")), ("BSD-3-Clause", ("SpdxBsd3",)),
-    ("BSD-2-Clause", ("BsdUse", "BsdSource", "BsdBinary")),
-    ("CC-BY-NC-4.0", ("CcByNc4",)), ("CC-BY-SA-4.0", ("CcBySa4",)), ("CC-BY-4.0", ("CcBy4",)), ("MPL-2.0", ("MplRef",)),
-    ("proprietary", ("Reserved",)),
+    ("Apache-2.0", ("ref:Apache-2.0", "ApacheComply", "ApacheCopy", "ApacheAsIs")), ("Apache-2.0", ("ref:Apache-2.0", "ApacheComply")),
+    ("Apache-2.0", ("ApacheComply", "ApacheCopy")),
+    ("BSL-1.0", ("BoostPermission",)), ("MIT", ("MitPermission", "MitNotice", "AsIs")), ("MIT", ("MitPermission", "MitNotice")), ("MIT-0", ("MitPermission", "AsIs")),
+    ("ISC", ("IscPermission", "AsIs")), ("ISC", ("IscPermission",)),
+    ("Zlib", ("ZlibPermission", "ZlibOrigin", "ZlibAltered", "ZlibNotice")), ("Zlib", ("ZlibPermission",)), ("Unlicense", ("Unencumbered",)),
+    ("AGPL-3.0", ("AgplOne3", "GplHope")), ("AGPL-3.0", ("AgplOne3",)), ("AGPL-3.0", ("FreeSoftware", "AgplModify", "Either3")),
+    ("LGPL-3.0", ("LgplOne3", "GplHope")), ("LGPL-3.0", ("LgplOne3",)), ("LGPL-3.0", ("FreeSoftware", "LgplModify", "Either3")),
+    ("LGPL-2.1", ("LgplOne21", "GplHope")), ("LGPL-2.1", ("LgplOne21",)), ("LGPL-2.1", ("FreeSoftware", "LgplModify", "Either21")),
+    ("GPL-3.0", ("GplOne3", "GplHope")), ("GPL-3.0", ("GplOne3",)), ("GPL-3.0", ("FreeSoftware", "GplModify", "Either3")),
+    ("GPL-2.0", ("GplOne2", "GplHope")), ("GPL-2.0", ("GplOne2",)), ("GPL-2.0", ("FreeSoftware", "GplModify", "Either2", "GplHope")), ("GPL-2.0", ("FreeSoftware", "GplModify", "Either2")),
+    ("BSD-4-Clause", ("BsdUse", "BsdSource", "BsdBinary", "BsdAdvertise", "BsdEndorse")), ("BSD-3-Clause", ("BsdUse", "BsdSource", "BsdBinary", "BsdEndorse")),
+    ("BSD-2-Clause", ("BsdUse", "BsdSource", "BsdBinary")), ("MPL-2.0", ("MplForm", "Two", "MplCopy")), ("MPL-2.0", ("MplForm", "Two")), ("MPL-2.0", ("MplForm2", "MplCopy")),
+    ("MPL-2.0", ("MplForm2",)), ("EPL-2.0", ("EplMaterials",)), ("CC0-1.0", ("Cc0Waive",)), ("proprietary", ("Reserved",)),
 )
+#: How a sentence that names a licence begins, and what its name may hold besides.
+NAMES_IT = "^(?:(?:this|the) [a-z ]{1,60} (?:is|are) |it is |dual )?(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?"
+TAG = "^(?:spdx licen[sc]e identifier|licen[sc]e) "
+FILLERS = r"\b(?:the|an?|terms|of|licen[sc]es?|version|gnu|software|international|unported|only|or (?:at your option )?(?:any )?later)\b"
+#: Words that a line may begin with although it goes on with the sentence of the line before.
+GOES_ON = r"[a-z(]|GNU |General Public |Public Licen[sc]e|Lesser General |Affero General |Free Software Foundation|Software Foundation|Foundation[,; ]|Licen[sc]e[,;. ]|Apache Licen[sc]e|Mozilla Public "
+
+
+def plain(s: str) -> str:
+    """A name as it is in a normalised sentence, without fillers."""
+    s = re.sub(FILLERS, " ", re.sub("[^a-z0-9.]+", " ", s.lower()))
+    return " ".join(s.split())
+
+
+def names() -> dict[str, str]:
+    """Plain names and the licences that they stand for: each family with and without its versions, whose last zero may
+    be left out, and each single licence, under all that they are called."""
+    out = {}
+    families = [(n, (n, *others), versions) for n, others, versions in FAMILIES]
+    words = dict(CC_PARTS)
+    for kind in CC_KINDS:
+        parts = kind.split("-")
+        families.append((f"CC-{kind.upper()}", (f"cc {kind}", "creative commons " + " ".join(words[p] for p in parts), f"creative commons {kind}"), CC_VERSIONS))
+    for family, called, versions in families:
+        for name in called:
+            out.setdefault(plain(name), family)
+            for v in versions:
+                for shown in {v, v.removesuffix(".0")}:
+                    out.setdefault(plain(f"{name} {shown}"), f"{family}-{v}")
+    for licence, called in SINGLE:
+        for name in (licence, *called):
+            out.setdefault(plain(name), licence)
+    return out
+
+
+NAMES = names()
 
 
 def _run(identifiers: tuple[str, ...]) -> str:
@@ -70,11 +142,20 @@ def _run(identifiers: tuple[str, ...]) -> str:
 
 
 def sentences(text: Column) -> Column:
-    """The normalised sentences of a text. A line that goes on in lower case goes on with the sentence."""
-    joined = F.regexp_replace(text, r"[ \t]*\r?\n[ \t#*/;-]*([a-z(])", " $1")
+    """The normalised sentences of a text. A line that goes on in lower case, or with words that stand within licences,
+    goes on with the sentence."""
+    joined = F.regexp_replace(text, rf"[ \t]*\r?\n[ \t#*/;-]*({GOES_ON})", " $1")
     parts = F.split(F.regexp_replace(joined, r"[.;!?][ \t]+", "\n"), r"[\r\n]+")
-    plain = lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9.]+", " ")), r"^[. ]+|[. ]+$", "")
-    return F.filter(F.transform(parts, plain), lambda s: s != "")
+    clean = lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9.]+", " ")), r"^[. ]+|[. ]+$", "")
+    return F.filter(F.transform(parts, clean), lambda s: s != "")
+
+
+def named(sentence: Column, begins: str) -> Column:
+    """The licence that a sentence which begins so names, null if it is not known."""
+    name = F.regexp_replace(F.regexp_replace(sentence, begins, ""), "([ a-z])v ?([0-9])", "$1 $2")
+    name = F.trim(F.regexp_replace(F.regexp_replace(name, FILLERS, " "), " +", " "))
+    table = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
+    return F.try_element_at(table, name)
 
 
 def identifier(sentence: Column) -> Column:
@@ -82,46 +163,53 @@ def identifier(sentence: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
         out = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+    out = F.when(sentence.rlike(TAG), F.concat(F.lit("tag:"), named(sentence, TAG))).otherwise(out)
+    return F.when(sentence.rlike(NAMES_IT), F.concat(F.lit("ref:"), named(sentence, NAMES_IT))).otherwise(out)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with sequence, the identifiers of its licence sentences in order as <A><B>, and licenses, the names that
-    rules find in it, by the order of the rules, comma-joined; both empty where there are none, as for a null text.
-    Columns of these names are replaced. Nothing is shuffled."""
+    """docs with sequence, the identifiers of its licence sentences in order as <A><B>, and licenses, comma-joined: the
+    names that rules find in it, by the order of the rules, then those that are named in what is left, in their order;
+    both empty where there are none, as for a null text. Columns of these names are replaced. Nothing is shuffled."""
     full = F.coalesce(F.col(text), F.lit(""))
     known = F.array_compact(F.transform(sentences(full), identifier))
-    named = F.array_join(F.transform(known, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
+    shown = F.array_join(F.transform(known, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     kept = [c for c in docs.columns if c not in ("sequence", "licenses")]
-    marked = docs.select(*kept, named.alias("sequence"))
+    marked = docs.select(*kept, shown.alias("sequence"))
 
     def step(state: Column, rule: Column) -> Column:
         hit = F.contains(state["left"], rule["run"])
         return F.struct(
             F.replace(state["left"], rule["run"], F.lit("-")).alias("left"),
-            F.when(hit & ~F.array_contains(state["names"], rule["name"]), F.concat(state["names"], F.array(rule["name"]))).otherwise(state["names"]).alias("names"),
-        )
+            F.when(hit, F.concat(state["names"], F.array(rule["name"]))).otherwise(state["names"]).alias("names"),
+        )
 
     rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(_run(ids)).alias("run")) for n, ids in RULES))
     start = F.struct(F.col("sequence").alias("left"), F.array().cast("array<string>").alias("names"))
-    found = F.array_join(F.aggregate(rules, start, step)["names"], ",")
+    end = lambda state: F.concat(state["names"], F.regexp_extract_all(state["left"], F.lit("<(?:ref|tag):([^>]+)>"), F.lit(1)))
+    found = F.array_join(F.array_distinct(F.aggregate(rules, start, step, end)), ",")
     return marked.withColumn("licenses", F.when(F.col("sequence") != "", found).otherwise(""))
 
 
 def duckdb_sql() -> str:
-    """The same over the documents table in DuckDB SQL, from the same fixed values, for texts that TRIGGER lets pass."""
+    """The same over the documents table in DuckDB SQL, from the same fixed values."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    case = "CASE " + " ".join(f"WHEN regexp_matches(s, {quoted(p)}) THEN {quoted(n)}" for n, p in SENTENCES) + " END"
+    bare = lambda begins: rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, {quoted(begins)}, ''), '([ a-z])v ?([0-9])', '\1 \2', 'g'), {quoted(FILLERS)}, ' ', 'g'), ' +', ' ', 'g'))"
+    table = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in NAMES.items()) + "}"
+    look = lambda kind, begins: f"WHEN regexp_matches(s, {quoted(begins)}) THEN '{kind}:' || map_extract(t, {bare(begins)})[1]"
+    case = f"CASE {look('ref', NAMES_IT)} {look('tag', TAG)} " + " ".join(f"WHEN regexp_matches(s, {quoted(p)}) THEN {quoted(n)}" for n, p in SENTENCES) + " END"
     left, tests = "sequence", []
     for name, ids in RULES:
         tests.append(f"CASE WHEN contains({left}, {quoted(_run(ids))}) THEN {quoted(name)} END")
         left = f"replace({left}, {quoted(_run(ids))}, '-')"
-    places = reduce(lambda out, n: out if n in out else [*out, n], (n for n, _ in RULES), [])
-    order = "[" + ", ".join(map(quoted, places)) + "]"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
- j AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '[ \t]*\r?\n[ \t#*/;-]*([a-z(])', ' \1', 'g'), '[.;!?][ \t]+', chr(10), 'g') AS t FROM d),
- s AS (SELECT doc_id, text, list_transform(regexp_split_to_array(t, '[\r\n]+'), lambda x: regexp_replace(trim(regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g')), '^[. ]+|[. ]+$', '', 'g')) AS s FROM j),
- i AS (SELECT doc_id, CASE WHEN regexp_matches(text, {quoted(TRIGGER)}) THEN array_to_string(list_transform(list_filter(list_transform(s, lambda s: {case}), lambda x: x IS NOT NULL), lambda x: '<' || x || '>'), '') ELSE '' END AS sequence FROM s),
- r AS (SELECT doc_id, sequence, [{", ".join(tests)}] AS found FROM i)
-SELECT doc_id, sequence, array_to_string(list_filter({order}, lambda n: list_contains(found, n)), ',') AS licenses FROM r"""
+ j AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t]*\r?\n[ \t#*/;-]*({GOES_ON})', ' \1', 'g'), '[.;!?][ \t]+', chr(10), 'g') AS t FROM d),
+ l AS (SELECT doc_id, list_transform(regexp_split_to_array(t, '[\r\n]+'), lambda x: regexp_replace(trim(regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g')), '^[. ]+|[. ]+$', '', 'g')) AS s FROM j),
+ u AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS k FROM l),
+ n AS (SELECT {table} AS t),
+ c AS (SELECT doc_id, k, {case} AS i FROM u, n),
+ i AS (SELECT doc_id, string_agg('<' || i || '>', '' ORDER BY k) AS sequence FROM c WHERE i IS NOT NULL GROUP BY doc_id),
+ r AS (SELECT d.doc_id, coalesce(sequence, '') AS sequence FROM d LEFT JOIN i USING (doc_id)),
+ f AS (SELECT doc_id, sequence, list_concat(list_filter([{", ".join(tests)}], lambda x: x IS NOT NULL), regexp_extract_all({left}, '<(?:ref|tag):([^>]+)>', 1)) AS found FROM r)
+SELECT doc_id, sequence, array_to_string(list_filter(found, lambda x, k: list_position(found, x) = k), ',') AS licenses FROM f"""

@@ -18,11 +18,16 @@ from pyspark.sql import functions as F
 from . import graph, workspace
 
 LEAST = 0.9
-#: Filters that a vector is in, about. Of random pairs at cosine 0.9 in 64 dimensions about 3 in 1,000 share none, at 0.95
-#: none of 1,500 was missed (tests measure it).
+#: Filters that a pair at the least cosine shares, about. The caps get smaller as the codes grow with the table, and a
+#: vector's share of filters in common with a neighbour with them, so a vector is in more filters of a larger table.
+SHARED = 14.0
+#: Filters that a vector is in, about, at least.
 FILTERS_OF_VECTOR = 40
-#: A vector far from the code words exceeds few thresholds or none: it takes as many of the next best filters.
-FEWEST = 36
+#: A vector far from the code words exceeds few thresholds or none: it takes the next best filters, up to this share of
+#: what others are in.
+FEWEST = 0.9
+#: Bytes of the scores of the vectors that are decoded at once.
+SCORE_BYTES = 64 << 20
 #: Vectors of a filter, about, if they were spread evenly; the codes grow with the table so that this stays.
 VECTORS_OF_FILTER = 8
 BLOCKS = 2
@@ -31,6 +36,29 @@ PIECE = 1024
 SEED = 20_240_101
 
 
+def _coordinate(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """A grid, and the share of random unit vectors whose first coordinate is at least that."""
+    u = np.linspace(-1, 1, 200_001)
+    density = (1 - u**2) ** ((dim - 3) / 2) if dim > 3 else np.ones(len(u))
+    return u, density[::-1].cumsum()[::-1] / density.sum()
+
+
+def cap_of(dim: int, share: float) -> float:
+    """The least cosine with a direction of the random vectors that make up share."""
+    u, above = _coordinate(dim)
+    return float(u[min(np.searchsorted(-above, -share), len(u) - 1)])
+
+
+def in_both(dim: int, cap: float, cosine: float) -> float:
+    """How often a random direction within cap of a vector is within cap of another one that has this cosine with it."""
+    u, above = _coordinate(dim)
+    x = np.linspace(cap, 1, 2001)[:-1]
+    weight = (1 - x**2) ** ((dim - 3) / 2)
+    rest, beyond = _coordinate(dim - 1)
+    need = (cap - cosine * x) / (np.sqrt(1 - cosine**2) * np.sqrt(1 - x**2))
+    return float((weight * np.interp(need, rest, beyond, left=1.0, right=0.0)).sum() / weight.sum())
+
+
 @dataclass
 class Codes:
     """words[b]: the unit code words of block b; turn: a random rotation; threshold: of the sum of a vector's scores."""
@@ -38,24 +66,27 @@ class Codes:
     turn: np.ndarray
     words: list[np.ndarray]
     threshold: float
+    fewest: int
 
     @classmethod
-    def made(cls, dim: int, vectors: int, seed: int = SEED) -> Codes:
+    def made(cls, dim: int, vectors: int, least: float = LEAST, seed: int = SEED) -> Codes:
         rng = np.random.default_rng(seed)
         turn, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
         blocks = min(BLOCKS, dim)
-        filters = max(4096, vectors * FILTERS_OF_VECTOR / VECTORS_OF_FILTER)
-        size = int(np.ceil(filters ** (1 / blocks)))
+        of_vector = float(FILTERS_OF_VECTOR)
+        while True:
+            filters = max(4096, vectors * of_vector / VECTORS_OF_FILTER)
+            size = int(np.ceil(filters ** (1 / blocks)))
+            cap = cap_of(dim, min(1.0, of_vector / size**blocks))
+            if dim <= 4 or of_vector * in_both(dim, cap, least) >= SHARED or of_vector > size**blocks / 4:
+                break
+            of_vector *= 1.1
         words = []
         for part in np.array_split(np.arange(dim), blocks):
             w = rng.standard_normal((size, len(part)))
             words.append(w / np.linalg.norm(w, axis=1, keepdims=True))
-        # the share of random vectors within the cap of a filter, whose direction has the norm of a word of each block
-        u = np.linspace(-1, 1, 200_001)
-        density = (1 - u**2) ** ((dim - 3) / 2) if dim > 3 else np.ones(len(u))
-        above = density[::-1].cumsum()[::-1] / density.sum()
-        cap = u[np.searchsorted(-above, -FILTERS_OF_VECTOR / size**blocks)]
-        return cls(turn, words, float(cap * np.sqrt(blocks)))
+        # a filter's direction has the norm of a word of each block
+        return cls(turn, words, float(cap * np.sqrt(blocks)), int(FEWEST * of_vector))
 
     def scores(self, unit: np.ndarray) -> list[np.ndarray]:
         """Each block's scores of unit vectors (rows)."""
@@ -66,7 +97,7 @@ class Codes:
         return out
 
     def decode(self, unit: np.ndarray) -> Iterator[np.ndarray]:
-        """For each unit vector the numbers of all filters that it exceeds the threshold of, or of its FEWEST best ones
+        """For each unit vector the numbers of all filters that it exceeds the threshold of, or of its fewest best ones
         if those are more."""
         scores = self.scores(unit)
         tops = [s.max(1) for s in scores]
@@ -74,11 +105,11 @@ class Codes:
             of_vector, rests = [s[k] for s in scores], [sum(t[k] for t in tops[b + 1 :]) for b in range(len(tops))]
             threshold = self.threshold
             sums, numbers = self._above(of_vector, rests, threshold)
-            while len(sums) < FEWEST:
+            while len(sums) < self.fewest:
                 threshold -= 0.05
                 sums, numbers = self._above(of_vector, rests, threshold)
             if threshold < self.threshold:
-                numbers = numbers[np.argpartition(-sums, FEWEST - 1)[:FEWEST]]
+                numbers = numbers[np.argpartition(-sums, self.fewest - 1)[: self.fewest]]
             yield numbers
 
     def _above(self, scores: list[np.ndarray], rests: list[float], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -102,9 +133,10 @@ def usable(vector: Column) -> Column:
 def _filters(shared):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes: Codes = shared.value
+        rows = max(1, SCORE_BYTES // (8 * sum(len(w) for w in codes.words)))
         for frame in frames:
-            for at in range(0, len(frame), 2000):
-                part = frame[at : at + 2000]
+            for at in range(0, len(frame), rows):
+                part = frame[at : at + rows]
                 x = np.stack(part["vector"].to_numpy()).astype(float)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 found = list(codes.decode(x))
@@ -163,10 +195,11 @@ def pairs(vectors: DataFrame, least: float = LEAST) -> DataFrame:
         return spark.createDataFrame([], "a long, b long")
     if shape.dim != shape.low:
         raise ValueError(f"vectors of {shape.low} to {shape.dim} components")
-    shared = spark.sparkContext.broadcast(Codes.made(shape.dim, shape.n))
+    shared = spark.sparkContext.broadcast(Codes.made(shape.dim, shape.n, least))
     found = workspace.stage(vectors.mapInPandas(_filters(shared), "filter long, id long"), "filters")
     # a filter with one vector has no pairs; one with many is cut into pieces
     sizes = found.groupBy("filter").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = workspace.stage(sizes, "filter-sizes")  # written, so that Spark can split a filter of very many vectors
     cut = F.ceil(F.col("n") / PIECE).cast("int")
     placed = found.join(sizes, "filter").withColumn("pieces", cut).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")

@@ -57,6 +57,21 @@ def test_recall(spark):
     assert len({(k, k + 1500) for k in range(1500)} & got) >= 1495
 
 
+@pytest.mark.parametrize("vectors", [50_000, 1_000_000, 100_000_000])
+def test_recall_at_any_size(vectors):
+    """The share of pairs at the threshold that have a filter in common does not fall as the codes grow with the table."""
+    rng = np.random.default_rng(6)
+    n = 600
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((n, 64))
+    side -= (side * x).sum(1, keepdims=True) * x
+    y = 0.9005 * x + np.sqrt(1 - 0.9005**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    codes = E.Codes.made(64, vectors)
+    both = [bool(set(a.tolist()) & set(b.tolist())) for a, b in zip(codes.decode(x), codes.decode(y))]
+    assert np.mean(both) >= 0.985
+
+
 def test_driver_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]

@@ -35,7 +35,7 @@ LAST = 0xE000
 #: again since the last time, and none longer than this.
 CACHED_CHARS, CACHED_LENGTH = 1_000_000, 64
 #: Bytes of text, about, and texts that are encoded at once, and tokens that are decoded at once.
-SLICE_BYTES, SLICE_TEXTS, SLICE_TOKENS = 4 << 20, 10_000, 1_000_000
+SLICE_BYTES, SLICE_TEXTS, SLICE_TOKENS = 3 << 20, 10_000, 1_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -138,7 +138,7 @@ class Encoder:
                 made_a, a = ranks[0], self.parts[a][1]
             else:
                 made_b, b = ranks[1], self.parts[b][0]
-        if len(self.compatible) >= 300_000:
+        if len(self.compatible) >= 200_000:
             self.compatible.clear()
         self.compatible[left, right] = good
         return good
@@ -317,3 +317,19 @@ def decode(df: DataFrame, shared: Shared, ids: str = "ids", text: str = "decoded
             give_back()
 
     return df.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, shared: Shared, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode() and decode() of its ids in one pass, so that a task needs one Python worker and the ids don't go back."""
+    keep = [c for c in df.columns if c not in (ids, decoded)]
+    schema = df.select(*keep).schema.add(ids, ArrayType(IntegerType())).add(decoded, "string")
+    tables = shared.tables
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(tables.value), Decoder(tables.value.names)
+        for batch in text_slices(batches, text, SLICE_BYTES, SLICE_TEXTS):
+            made = encoder.encode_all(batch.column(text))
+            back = decoder.decode_all(made).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, made, back], [*keep, ids, decoded])
+
+    return df.mapInArrow(run, schema)

@@ -48,8 +48,7 @@ def tokenizer_path() -> str:
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of each whole text, and of the text that they decode to."""
     shared = bpe.load(spark, tokenizer_path())
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), shared).select("doc_id", "ids")
-    return bpe.decode(ids, shared).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), shared).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),

@@ -77,3 +77,19 @@ def test_stages(spark, folder):
     n = {d: len(library.encode(t or "", add_special_tokens=False).ids) for d, t in rows(hidden)}
     assert {r.doc_id: r.n_tokens for r in P.encode_and_decode(spark, hidden, folder).collect()} == n
     assert P.run(spark, folder).count() == hidden.count()
+
+
+def test_empty_and_clashing(spark, folder, tmp_path):
+    """Empty tables, and columns with the names that the stages use themselves."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    none = str(tmp_path)
+    docs.limit(0).write.parquet(f"{none}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{none}/{name}.parquet")
+    assert P.run(spark, none).collect() == []
+    clash = docs.limit(20).select("*", *(F.lit(7).alias(c) for c in ("score", "coverage", "id", "class_id", "kept", "ids", "pii")))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, clash, folder)
+        assert out.columns == clash.columns, name
+        assert all(r.score == r.coverage == r.id == r.kept == 7 for r in out.collect()), name
+    assert P.STAGES[-1][1](spark, clash, folder).count() == 20

@@ -67,7 +67,7 @@ def slug(text: Column) -> Column:
 
 def titled(text: Column) -> Column:
     """Underscores as blanks and each word's first letter in upper case, the rest as it is."""
-    words = F.transform(F.split(text, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000)))
+    words = F.transform(F.split(text, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
     return F.array_join(words, " ")
 
 
@@ -82,9 +82,9 @@ def padded(number: Column, width: int = 2) -> Column:
 
 
 def signed_percent(x: Column, digits: int = 2) -> Column:
-    """'+1.50%', null where x is not finite."""
+    """'+1.50%'; zero has no sign; null where x is not finite."""
     x = finite(x)
-    return F.concat(F.when(x >= 0, "+").otherwise(""), F.format_number(x, digits), F.lit("%"))
+    return F.concat(F.when(x > 0, "+").otherwise(""), F.format_number(x, digits), F.lit("%"))
 
 
 def compact_amount(x: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .timeline import once, repeated
+
 MONEY = "decimal(38,10)"
 
 
@@ -89,17 +91,19 @@ def fee(notional: Column, rate: Column, minimum: Column, cap: Column) -> Column:
 def replay(holdings: DataFrame, actions: DataFrame, key: str, at: str) -> DataFrame:
     """holdings (key, at, shares, price) with adjusted shares and price: all splits (ratio) of the key after at, in any
     order, and cash: dividends (per share as of then) times the shares held then. Late actions (announced after they take
-    effect) fail and are named in status."""
+    effect) fail and are named in status, as are ratios of 0 or less."""
     a = actions.select(F.col(key).alias("_key"), F.col("effective").alias("_e"), "ratio", "dividend", (F.col("announced") > F.col("effective")).alias("late"))
     line = Window.partitionBy(*holdings.columns).orderBy("_e").rowsBetween(Window.unboundedPreceding, -1)
-    joined = holdings.join(a, (F.col(key) == F.col("_key")) & (F.col("_e") > F.col(at)), "left")
+    joined = once(holdings).join(a, (F.col(key) == F.col("_key")) & (F.col("_e") > F.col(at)), "left")
     factor = F.coalesce(F.col("ratio"), F.lit(1.0))
-    before = F.coalesce(F.exp(F.sum(F.ln(factor)).over(line)), F.lit(1.0))
+    before = F.coalesce(F.product(factor).over(line), F.lit(1.0))
     paid = joined.withColumn("_cash", F.coalesce(F.col("dividend"), F.lit(0.0)) * F.col("shares") * before)
-    out = paid.groupBy(*holdings.columns).agg(F.exp(F.sum(F.ln(factor))).alias("_f"), F.sum("_cash").alias("cash"), F.bool_or(F.coalesce("late", F.lit(False))).alias("_late"))
-    return out.select(
-        *holdings.columns, (F.col("shares") * F.col("_f")).alias("adjusted_shares"), (F.col("price") / F.col("_f")).alias("adjusted_price"), "cash",
-        F.when(F.col("_late"), "late_action").otherwise("ok").alias("status"),
+    out = paid.groupBy(*holdings.columns, "_times").agg(
+        F.product(factor).alias("_f"), F.sum("_cash").alias("cash"), F.bool_or(F.coalesce("late", F.lit(False))).alias("_late"), F.bool_or(factor <= 0).alias("_bad")
+    )
+    return repeated(out).select(
+        *holdings.columns, (F.col("shares") * F.col("_f")).alias("adjusted_shares"), F.try_divide("price", "_f").alias("adjusted_price"), "cash",
+        F.when(F.col("_bad"), "invalid_ratio").when(F.col("_late"), "late_action").otherwise("ok").alias("status"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,24 +14,34 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[ \n\t\r]+"), lambda w: w != "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it, also within lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shingles(text: Column, k: int = 5) -> Column:
-    """The distinct runs of k words; none for a shorter text."""
-    w = words(text)
-    runs = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.array_join(F.slice(w, i + 1, k), " "))
-    return F.when(F.size(w) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """The distinct runs of k words as 64-bit hashes; none for a shorter text."""
+
+    def runs(w: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, k), " ")))
+        return F.when(F.size(w) >= k, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(words(text), runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Null where both are empty."""
-    return F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
+    """Of two arrays without repeated elements; null where both are empty."""
+    return bound(F.size(F.array_intersect(a, b)), lambda n: n / F.nullif(F.size(a) + F.size(b) - n, F.lit(0)))
 
 
 def adjacent_similarity(docs: DataFrame, group: str, order: str, text: str, k: int = 5) -> DataFrame:
     """order, previous and similarity of each text with the one before it in its group. Only neighbours are compared;
-    the group's texts pass a window of one row, so no group is held as a whole."""
+    each text is cut into shingles once, before the shuffle, and the group's sets pass a window of one row, so no group
+    is held as a whole."""
     line = Window.partitionBy(group).orderBy(order)
-    before = docs.select(order, F.col(text).alias("_now"), F.lag(order).over(line).alias("previous"), F.lag(text).over(line).alias("_before"))
-    return before.filter("previous IS NOT NULL").select(order, "previous", jaccard(shingles(F.col("_now"), k), shingles(F.col("_before"), k)).alias("similarity"))
+    sets = docs.select(group, order, shingles(F.col(text), k).alias("_now"))
+    before = sets.select(order, "_now", F.lag(order).over(line).alias("previous"), F.lag("_now").over(line).alias("_before"))
+    return before.filter("previous IS NOT NULL").select(order, "previous", jaccard(F.col("_now"), F.col("_before")).alias("similarity"))
 
 
 def context_windows(docs: DataFrame, key: str, text: str, pattern: str, width: int = 500) -> DataFrame:

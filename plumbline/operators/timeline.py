@@ -20,17 +20,50 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, known: str, valu
     return both.filter("_side = 1").drop("_t", "_side", "_v")
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """The distinct rows with _times, how often each is there, so that repeated rows are not taken for one another's
+    matches."""
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("_times"))
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """The rows as often as _times says."""
+    return rows.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times")
+
+
 def cover(needs: DataFrame, quotes: DataFrame, key: str, need: tuple[str, str], valid: tuple[str, str]) -> DataFrame:
     """needs with n_quotes, the number of quotes of the key that cover the whole half-open need, and status: covered if
     that is one, else missing or ambiguous. Both sides are dealt by key; Spark sees the range as the join's condition."""
     start, stop, since, until = F.col(need[0]), F.col(need[1]), F.col(f"_q.{valid[0]}"), F.col(f"_q.{valid[1]}")
     q = quotes.select(F.col(key).alias("_key"), F.struct(*valid).alias("_q"))
-    joined = needs.join(q, (F.col(key) == F.col("_key")) & (since <= start) & (until >= stop), "left")
+    joined = once(needs).join(q, (F.col(key) == F.col("_key")) & (since <= start) & (until >= stop), "left")
     n = F.count("_q").alias("n_quotes")
-    out = joined.groupBy(*needs.columns).agg(n)
+    out = repeated(joined.groupBy(*needs.columns, "_times").agg(n))
     return out.withColumn("status", F.when(F.col("n_quotes") == 1, "covered").when(F.col("n_quotes") == 0, "missing").otherwise("ambiguous"))
 
 
+def known_as_of(left: DataFrame, right: DataFrame, key: str, at: str, effective: str, available: str, value: str, into: str, mark: str = "future_known") -> DataFrame:
+    """left with into, the value of the right row of its key that is both in effect and available at its time, with the
+    latest effective time (ties: the later available, then the larger value), and mark: whether a row of the key was
+    known before that time but takes effect only after it, which a caller may have to fail on.
+
+    A right row counts from the later of its two times on; what is then the latest in effect is a running maximum, so a
+    key with many rows on both sides is sorted once, not joined row by row.
+    """
+    marks = right.filter(F.col(effective).isNotNull() & F.col(available).isNotNull()).select(
+        F.col(key), F.greatest(effective, available).alias("_t"), F.lit(0).alias("_side"),
+        F.struct(F.col(effective).alias("e"), F.col(available).alias("a"), F.col(value).alias("v")).alias("_v"),
+        F.when(F.col(effective) > F.col(available), 1).otherwise(0).alias("_ahead"),
+    )
+    # from its availability on a row that is not in effect yet is known ahead, until it takes effect
+    ahead = right.filter(F.col(effective) > F.col(available)).select(F.col(key), F.col(available).alias("_t"), F.lit(0).alias("_side"), F.lit(-1).alias("_ahead"))
+    lines = left.withColumn("_t", F.col(at)).withColumn("_side", F.lit(1))
+    both = lines.unionByName(marks, allowMissingColumns=True).unionByName(ahead, allowMissingColumns=True)
+    line = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(into, F.max("_v").over(line)["v"]).withColumn(mark, F.coalesce(F.sum("_ahead").over(line), F.lit(0)) < 0)
+    return found.filter("_side = 1").drop("_t", "_side", "_v", "_ahead")
+
+
 def sweep(spans: DataFrame, key: str, start: str, stop: str) -> DataFrame:
     """The stretches between consecutive boundaries of each key's half-open spans, with depth, the number of spans over
     each: key, start, stop, depth. Depth 0 is a gap; stretches add up to the whole from first start to last stop."""
@@ -71,11 +104,12 @@ def first_after_last_before(marks: DataFrame, quotes: DataFrame, key: str, at: s
     after, before = F.col("_t") >= F.col(at), F.col("_t") <= F.col(at)
     near = (F.col("_t") <= F.col(at) + F.expr(f"INTERVAL {wait}")) & (F.col("_t") >= F.col(at) - F.expr(f"INTERVAL {stale}"))
     q = quotes.select(F.col(key).alias("_key"), F.col(time).alias("_t"), F.col(value).alias("_v"))
-    joined = marks.join(q, (F.col(key) == F.col("_key")) & near, "left")
-    return joined.groupBy(*marks.columns).agg(
+    joined = once(marks).join(q, (F.col(key) == F.col("_key")) & near, "left")
+    found = joined.groupBy(*marks.columns, "_times").agg(
         F.min_by("_v", F.when(after, F.struct("_t", "_v"))).alias("entry"),
         F.max_by("_v", F.when(before, F.struct("_t", "_v"))).alias("exit"),
     )
+    return repeated(found)
 
 
 def gaps(days: DataFrame, spine: DataFrame, key: str, day: str) -> DataFrame:

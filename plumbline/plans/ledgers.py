@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scalars as S
 from ..operators import ledger
 from .registry import Tables, query
 
@@ -48,10 +49,10 @@ def declared_order(t: Tables) -> DataFrame:
     return found.select("number", "event_type", "n")
 
 
-@query("""SELECT p_brand, p_partkey, lpad(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)::VARCHAR, 4, '0') AS number FROM part""")
+@query("""SELECT p_brand, p_partkey, lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INT, '0') AS number FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS n FROM part)""")
 def display_index(t: Tables) -> DataFrame:
     line = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
-    return t.part.select("p_brand", "p_partkey", F.lpad(F.row_number().over(line).cast("string"), 4, "0").alias("number"))
+    return t.part.select("p_brand", "p_partkey", S.padded(F.row_number().over(line), 4).alias("number"))
 
 
 @query("""SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY coalesce(CASE WHEN c_acctbal > 1000 THEN c_acctbal END, 0), c_custkey) AS place FROM customer""")

@@ -16,9 +16,9 @@ def proximity_match(t: Tables) -> DataFrame:
 
 @query("""WITH h AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[0-9]{3,}')) AS hit, generate_subscripts(regexp_extract_all(text, '[0-9]{3,}'), 1) AS k, regexp_split_to_array(text, '[0-9]{3,}') AS g, regexp_extract_all(text, '[0-9]{3,}') AS a FROM documents),
  p AS (SELECT doc_id, text, hit, (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(a[1:k-1], lambda x: length(x))), 0))::INT AS start FROM h)
- SELECT doc_id, start, hit, substr(text, greatest(0, start - 50) + 1, start - greatest(0, start - 50) + length(hit) + 50) AS context FROM p""")
+ SELECT doc_id, start, hit, substr(text, greatest(0, start - 500) + 1, start - greatest(0, start - 500) + length(hit) + 500) AS context FROM p""")
 def context_windows(t: Tables) -> DataFrame:
-    return T.context_windows(t.documents, "doc_id", "text", "[0-9]{3,}", 50)
+    return T.context_windows(t.documents, "doc_id", "text", "[0-9]{3,}")
 
 
 SHINGLES = """w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(text), '[ \\n\\t\\r]+'), lambda x: x <> '') AS w FROM documents),

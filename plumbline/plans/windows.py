@@ -68,17 +68,17 @@ def staged_recurrence(t: Tables) -> DataFrame:
     return samples.select("user_id", F.aggregate("s", start, step).alias("state")).select("user_id", "state.*")
 
 
-@query(f"""WITH {DAILY}, f AS (SELECT *, count(*) OVER w AS n, quantile_cont(nav, 0.5) OVER w AS liquidity, lag(nav, 5) OVER p / lag(nav, 20) OVER p - 1 AS momentum, regr_slope(r, nav) OVER w AS beta FROM d
- WINDOW p AS (PARTITION BY o_orderpriority ORDER BY day), w AS (PARTITION BY o_orderpriority ORDER BY day ROWS 20 PRECEDING))
- SELECT o_orderpriority, day, round(liquidity, 4) AS liquidity, round(momentum, 6) AS momentum, round(greatest(-1, least(1, beta * 1e5)), 4) AS beta FROM f WHERE n = 21 AND momentum IS NOT NULL""")
+@query(f"""WITH {DAILY}, f AS (SELECT *, count(*) OVER w AS n, quantile_cont(nav, 0.5) OVER w AS liquidity, lag(nav, 21) OVER p / lag(nav, 252) OVER p - 1 AS momentum, regr_slope(r, b) OVER y AS beta FROM (SELECT *, avg(r) OVER (PARTITION BY day) AS b FROM d)
+ WINDOW p AS (PARTITION BY o_orderpriority ORDER BY day), w AS (PARTITION BY o_orderpriority ORDER BY day ROWS 20 PRECEDING), y AS (PARTITION BY o_orderpriority ORDER BY day ROWS 251 PRECEDING))
+ SELECT o_orderpriority, day, round(liquidity, 4) AS liquidity, round(momentum, 6) AS momentum, round(beta, 4) AS beta FROM f WHERE n = 21 AND momentum IS NOT NULL""")
 def rolling_liquidity_momentum_beta(t: Tables) -> DataFrame:
     line = Window.partitionBy("o_orderpriority").orderBy("day")
     frame = line.rowsBetween(-20, 0)
-    beta = F.regr_slope("r", "nav").over(frame) * 1e5
-    found = daily(t).select(
+    beta = F.regr_slope("r", "b").over(line.rowsBetween(-251, 0))  # on the day's return of the book, all priorities alike
+    found = daily(t).withColumn("b", F.avg("r").over(Window.partitionBy("day"))).select(
         "o_orderpriority", "day", F.count("*").over(frame).alias("n"), F.round(F.percentile("nav", 0.5).over(frame), 4).alias("liquidity"),
-        F.round(F.lag("nav", 5).over(line) / F.lag("nav", 20).over(line) - 1, 6).alias("momentum"),
-        F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), beta)), 4).alias("beta"),
+        F.round(F.lag("nav", 21).over(line) / F.lag("nav", 252).over(line) - 1, 6).alias("momentum"),
+        F.round(beta, 4).alias("beta"),
     )
     return found.filter("n = 21 AND momentum IS NOT NULL").drop("n")
 

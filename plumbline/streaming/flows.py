@@ -44,17 +44,74 @@ def keyed_insert(target: str, key: str):
     return write
 
 
-def obligations(stream: DataFrame, key: str, kind: str, quantity: str) -> DataFrame:
-    """key, open: what is still owed after each batch; rows of kind 'due' add to it, rows of kind 'fill' take off it,
-    never below zero."""
+def obligations(stream: DataFrame, key: str, kind: str, quantity: str, at: str, lateness: str, term_seconds: int) -> DataFrame:
+    """key, open and status of each key after each batch: rows of kind 'due' add to what is owed, rows of kind 'fill' take
+    off it. The balance is signed, so a fill that comes before its due row counts and the order of rows does not matter;
+    open is never below zero. status is settled, open or, once the watermark is term_seconds past the earliest due row
+    since the key was last settled, overdue; a key that no row reaches any more is reported then by its timer. Rows with
+    a null quantity count for nothing."""
 
     def step(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        owed = state.get[0] if state.exists else 0.0
+        owed, first = state.get if state.exists else (0.0, None)
         for frame in frames:
-            for k, q in zip(frame[kind], frame[quantity]):
-                owed = owed + q if k == "due" else max(0.0, owed - q)
-        state.update((owed,))
-        yield pd.DataFrame({key: [group[0]], "open": [owed]})
+            due = frame[kind] == "due"
+            owed += float(frame[quantity].where(due, -frame[quantity]).sum())
+            if due.any():
+                since = int(frame.loc[due, at].min().timestamp() * 1000)
+                first = since if first is None else min(first, since)
+        first = None if owed <= 0 else first
+        limit = None if first is None else first + term_seconds * 1000
+        now = state.getCurrentWatermarkMs()
+        state.update((owed, first))
+        if limit is not None and limit > now:
+            state.setTimeoutTimestamp(limit)
+        status = "settled" if owed <= 0 else "overdue" if limit is not None and limit <= now else "open"
+        yield pd.DataFrame({key: [group[0]], "open": [max(0.0, owed)], "status": [status]})
+
+    schema = f"{key} {dict(stream.dtypes)[key]}, open double, status string"
+    grouped = stream.withWatermark(at, lateness).groupBy(key)
+    return grouped.applyInPandasWithState(step, schema, "owed double, first long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def chain_heads(stream: DataFrame, key: str, seq: str, before: str, digest: str) -> DataFrame:
+    """key, head_seq, head and broken of each key's chain after each batch. A row links if its number follows the head's
+    and its before is the head's digest (any first row links); broken counts the rows that don't, which leave the head
+    where it is. Rows of a batch are taken by their number, whatever order they come in."""
 
-    schema = f"{key} {dict(stream.dtypes)[key]}, open double"
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "owed double", "update", GroupStateTimeout.NoTimeout)
+    def step(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, head, broken = state.get if state.exists else (None, None, 0)
+        rows = pd.concat(list(frames)).sort_values(seq)
+        for n, b, d in zip(rows[seq].tolist(), rows[before].tolist(), rows[digest].tolist()):
+            if last is None or (n == last + 1 and b == head):
+                last, head = n, d
+            else:
+                broken += 1
+        state.update((last, head, broken))
+        yield pd.DataFrame({key: [group[0]], "head_seq": [last], "head": [head], "broken": [broken]})
+
+    schema = f"{key} {dict(stream.dtypes)[key]}, head_seq long, head string, broken long"
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "head_seq long, head string, broken long", "update", GroupStateTimeout.NoTimeout)
+
+
+def latest_for(stream: DataFrame, key: str, value: str, at: str, lateness: str, keep_seconds: int) -> DataFrame:
+    """key, value and live: the value of the latest row of each key after each batch, held for keep_seconds of event time
+    after it; then one row with a null value and live false tells that it is gone, and its state goes."""
+    kind = dict(stream.dtypes)
+
+    def step(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({key: [group[0]], value: [None], "live": [False]})
+            return
+        held = state.get if state.exists else (None, -1)
+        for frame in frames:
+            row = frame.loc[frame[at].idxmax()]
+            held = max(held, (row[value], int(row[at].timestamp() * 1000)), key=lambda x: x[1])
+        if held[1] + keep_seconds * 1000 > state.getCurrentWatermarkMs():
+            state.update(held)
+            state.setTimeoutTimestamp(held[1] + keep_seconds * 1000)
+            yield pd.DataFrame({key: [group[0]], value: [held[0]], "live": [True]})
+
+    grouped = stream.withWatermark(at, lateness).groupBy(key)
+    schema = f"{key} {kind[key]}, {value} {kind[value]}, live boolean"
+    return grouped.applyInPandasWithState(step, schema, f"{value} {kind[value]}, at long", "update", GroupStateTimeout.EventTimeTimeout)

@@ -107,3 +107,28 @@ def test_texts(spark):
     assert got == {2: pytest.approx(1 / 3), 3: 0.0}  # a null text has no shingles
     hits = text.context_windows(df, "d", "t", "f[a-z]+", 3).collect()
     assert {(r.start, r.hit, r.context) for r in hits if r.d == 1} == {(14, "four", "ee four fi"), (19, "five", "ur five si")}
+
+
+def test_repeated_rows_stay_apart(spark):
+    needs = spark.createDataFrame([("a", 1, 3), ("a", 1, 3)], "k string, s int, e int")
+    quotes = spark.createDataFrame([("a", 0, 5)], "k string, vf int, vu int")
+    assert [(r.n_quotes, r.status) for r in timeline.cover(needs, quotes, "k", ("s", "e"), ("vf", "vu")).collect()] == [(1, "covered")] * 2
+    held = spark.createDataFrame([("a", 1, 10.0, 6.0)] * 2 + [("b", 1, 10.0, 6.0)], "k string, at int, shares double, price double")
+    acts = spark.createDataFrame([("a", 2, 1, 2.0, 1.0), ("a", 3, 1, 3.0, 1.0), ("b", 2, 1, 0.0, 0.0)], "k string, effective int, announced int, ratio double, dividend double")
+    got = sorted((r.k, r.adjusted_shares, r.adjusted_price, r.cash, r.status) for r in X.replay(held, acts, "k", "at").collect() if r.k == "a")
+    assert got == [("a", 60.0, 1.0, 30.0, "ok")] * 2
+    assert [r.status for r in X.replay(held, acts, "k", "at").collect() if r.k == "b"] == ["invalid_ratio"]
+
+
+def test_known_as_of(spark):
+    asked = [("a", t) for t in range(8)] + [("b", 3), ("a", 4)]
+    facts = [("a", 1, 3, 10), ("a", 2, 2, 20), ("a", 6, 4, 60), ("a", 2, 5, 21), ("a", None, 1, 9)]
+    want = []
+    for k, t in asked:
+        seen = [f for f in facts if f[0] == k and f[1] is not None and f[1] <= t and f[2] <= t]
+        ahead = any(f[0] == k and f[1] is not None and f[2] <= t < f[1] for f in facts)
+        want.append((k, t, max(seen, key=lambda f: f[1:])[3] if seen else None, ahead))
+    left = spark.createDataFrame(asked, "k string, t int")
+    right = spark.createDataFrame(facts, "k string, eff int, avail int, v int")
+    got = [tuple(r) for r in timeline.known_as_of(left, right, "k", "t", "eff", "avail", "v", "x").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ def test_files(spark, tmp_path):
 def start(spark, tmp_path, rows, schema):
     (tmp_path / "in").mkdir()
     for k, part in enumerate(rows):
-        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(r) for r in part))
+        file = tmp_path / "in" / f"{k}.json"
+        file.write_text("\n".join(json.dumps(r) for r in part))
+        os.utime(file, (1_700_000_000 + 60 * k,) * 2)  # the stream takes files by their time
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path / "in"))
 
 
@@ -59,9 +62,35 @@ def test_unique_and_insert(spark, tmp_path):
 
 
 def test_obligations(spark, tmp_path):
-    rows = [[{"k": "a", "kind": "due", "q": 5.0}, {"k": "b", "kind": "due", "q": 1.0}], [{"k": "a", "kind": "fill", "q": 2.0}, {"k": "b", "kind": "fill", "q": 9.0}]]
-    got = finish(flows.obligations(start(spark, tmp_path, rows, "k string, kind string, q double"), "k", "kind", "q"), "obligations", "update", tmp_path)
-    assert sorted((r.k, r.open) for r in got.collect()) == [("a", 3.0), ("a", 5.0), ("b", 0.0), ("b", 1.0)]
+    """Fills before their dues count; a late key is overdue when the watermark has passed its term."""
+    at = "2024-01-01T00:%02d:00"
+    first = [("a", "fill", 2.0, 1), ("a", "due", 5.0, 0), ("b", "due", 1.0, 0), ("c", "fill", 4.0, 0)]
+    then = [("b", "fill", 9.0, 30), ("c", "due", 4.0, 31), ("d", "due", 1.0, 59), ("a", "fill", None, 59)]
+    rows = [[{"k": k, "kind": kind, "q": q, "at": at % m} for k, kind, q, m in part] for part in (first, then)]
+    for order in (rows, [x[::-1] for x in rows]):
+        where = tmp_path / str(order is rows)
+        where.mkdir()
+        stream = start(spark, where, order, "k string, kind string, q double, at timestamp")
+        got = finish(flows.obligations(stream, "k", "kind", "q", "at", "0 seconds", 600), "obligations", "update", where).collect()
+        last = {}
+        for r in got:
+            last.setdefault(r.k, []).append((r.open, r.status))
+        assert set(last["b"]) <= {(1.0, "open"), (0.0, "settled"), (1.0, "overdue")} and (0.0, "settled") in last["b"]
+        assert last["a"][-1][0] == 3.0 and (3.0, "overdue") in last["a"]
+        assert last["c"][-1] == (0.0, "settled") and (1.0, "open") in last["d"]
+
+
+def test_chain_heads(spark, tmp_path):
+    rows = [[{"k": "a", "n": 2, "b": "x", "d": "y"}, {"k": "a", "n": 1, "b": None, "d": "x"}, {"k": "b", "n": 1, "b": None, "d": "p"}, {"k": "b", "n": 2, "b": "other", "d": "q"}]]
+    got = finish(flows.chain_heads(start(spark, tmp_path, rows, "k string, n long, b string, d string"), "k", "n", "b", "d"), "heads", "update", tmp_path)
+    assert sorted(map(tuple, got.collect())) == [("a", 2, "y", 0), ("b", 1, "p", 1)]
+
+
+def test_latest_for(spark, tmp_path):
+    rows = [[{"k": "a", "v": 1, "at": "2024-01-01T00:00:00"}, {"k": "a", "v": 2, "at": "2024-01-01T00:00:05"}], [{"k": "b", "v": 3, "at": "2024-01-01T01:00:00"}]]
+    got = finish(flows.latest_for(start(spark, tmp_path, rows, "k string, v long, at timestamp"), "k", "v", "at", "0 seconds", 60), "latest", "update", tmp_path).collect()
+    seen = {(r.k, r.v, r.live) for r in got}
+    assert ("b", 3, True) in seen and ("a", None, False) in seen and ("a", 2, True) in seen
 
 
 def test_windows_and_late(spark, tmp_path):

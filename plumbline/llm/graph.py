@@ -20,17 +20,19 @@ def _large(edges: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
-def _small(edges: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+def _small(edges: DataFrame) -> DataFrame:
     """Links each node and its smaller neighbours with the smallest of these. edges: a < b."""
-    least = workspace.stage(edges.groupBy("b").agg(F.min("a").alias("m")), "least")
-    scratch.append(least)
+    least = edges.groupBy("b").agg(F.min("a").alias("m"))
     moved = edges.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.unionByName(least.select(F.col("m").alias("a"), "b")).filter("a <> b").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is a centre or has one link to a centre. edges: a < b, without repeated ones."""
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("a").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up + down > 1 AND up > 0").isEmpty()
 
 
 def components(edges: DataFrame, least: str = "component") -> DataFrame:
@@ -43,16 +45,11 @@ def components(edges: DataFrame, least: str = "component") -> DataFrame:
     """
     now = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now = workspace.stage(now, "edges")
-    mark = _mark(now)
-    while True:
+    while not _stars(now):
         scratch = [now]
         large = workspace.stage(_large(now, scratch), "edges")
-        scratch.append(large)
-        now = workspace.stage(_small(large, scratch), "edges")
-        for done in scratch:
+        now = workspace.stage(_small(large), "edges")
+        for done in [*scratch, large]:
             workspace.drop(done)
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
     found = now.select(F.col("b").alias("node"), F.col("a").alias(least))
     return found.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias(least)).distinct())

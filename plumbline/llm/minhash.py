@@ -27,7 +27,7 @@ WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 4
 #: A band's bucket with at most so many classes is compared pair by pair; in a larger one members meet hubs of so many
 #: components in so many rounds, and what is in several components then is compared by rare shingles.
-FEW, HUBS, ROUNDS = 16, 4, 2
+FEW, HUBS, ROUNDS = 16, 4, 1
 #: Chance that a pair at least as similar as asked for agrees on too few registers to be verified.
 MISS = 1e-7
 #: Texts that are compared with one hub in one group.
@@ -87,6 +87,9 @@ def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.n
     order of a_j / b_j the maximum is the b-part before i and the a-part from i on. ha, hb: distinct."""
     if not len(ha) or not len(hb):
         return 0.0
+    if wa.max() == 1 == wb.max():  # then it is that of the sets, as for most texts
+        common = np.intersect1d(ha, hb, assume_unique=True).size
+        return common / (len(ha) + len(hb) - common)
     keys = np.unique(np.concatenate([ha, hb]))
     a, b = np.zeros(len(keys)), np.zeros(len(keys))
     a[np.searchsorted(keys, ha)] = wa
@@ -320,7 +323,8 @@ def links(classes: DataFrame, texts: DataFrame, least: float = LEAST) -> tuple[D
         if not pairs.isEmpty():
             made.append(verify(pairs, classes, texts, least))
             if not made[-1].isEmpty():
-                components = workspace.stage(graph.components(reduce(DataFrame.unionByName, made).select("a", "b")), "components")
+                known = components.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+                components = workspace.stage(graph.components(known.unionByName(made[-1].select("a", "b"))), "components")
         workspace.drop(pairs)
         if level and entries.isEmpty():
             break

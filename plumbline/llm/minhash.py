@@ -30,6 +30,8 @@ BANDS, ROWS = 24, 4
 FEW, HUBS, ROUNDS = 16, 4, 1
 #: Chance that a pair at least as similar as asked for agrees on too few registers to be verified.
 MISS = 1e-7
+#: Rows of ids (28 bytes each) that are broadcast to the texts at most.
+BROADCAST_ROWS = 500_000
 #: Texts that are compared with one hub in one group.
 CHUNK = 1000
 #: Texts, about, that shingles are counted on to tell the rare ones, and slots that they are counted in. These only say
@@ -190,20 +192,27 @@ def _prefixes(counts, least: float):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             text, h, weight, _ = shingles(batch.column("text"))
-            share = weight / np.bincount(text, weight, batch.num_rows)[text]
+            total, most = np.bincount(text, weight, batch.num_rows), np.zeros(batch.num_rows)
+            np.maximum.at(most, text, weight)
             order = np.lexsort((h, counts.value[_slots(h)], text))
-            text, h, share = text[order], h[order], share[order]
-            before = share.cumsum() - share
-            before -= before[np.searchsorted(text, text)]
-            text, h = text[before <= 1 - least + 1e-6], h[before <= 1 - least + 1e-6]
+            text, h, weight = text[order], h[order], weight[order]
+            left = weight.cumsum() - weight
+            left = total[text] - (left - left[np.searchsorted(text, text)])
+            early = left >= least * total[text] - 1e-6
+            text, h, left = text[early], h[early], left[early]
             rows = pa.array(text)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), batch.column("id").take(rows), batch.column("component").take(rows)], ["shingle", "id", "component"]
-            )
+            cols = [h.view(np.int64), batch.column("id").take(rows), batch.column("component").take(rows), left, total[text], most[text] <= 1]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], ["shingle", "id", "component", "left", "total", "plain"])
 
     return found
 
 
+def _small_side(staged: DataFrame) -> DataFrame:
+    """A written table of ids as one side of a join with the texts: broadcast if it has few rows, so that the texts
+    stay where they are, else both sides are shuffled."""
+    return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged
+
+
 def rare_pairs(members: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b), a < b: pairs of members (id, component) of different components, among them every pair with a similarity
     of least or more.
@@ -211,16 +220,18 @@ def rare_pairs(members: DataFrame, texts: DataFrame, least: float = LEAST) -> Da
     The similarity is at most the sum of the smaller shares that the two texts' weights give a shingle. So with all
     shingles in one order, a similar pair has a common one in the first of each text that hold more than 1 - least of its
     weight. Rare ones come first, so what many texts have in common brings no pairs. Of a shingle's texts those in the
-    component with most of them are not paired with each other.
+    component with most of them are not paired with each other. If no shingle comes twice in either text, the similarity
+    is that of the sets, and what is left of both from their first common shingle on must hold what they have in common:
+    least / (1 + least) of the two sizes together.
     """
     spark = members.sparkSession
-    held = workspace.stage(texts.join(members, "id").select("id", "component", "text"), "rest")
+    held = workspace.stage(_small_side(workspace.stage(members, "rest-members")).join(texts, "id").select("id", "component", "text"), "rest")
     every = max(1, held.count() // COUNTED)
     some = held.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text")
     found = some.mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
     counts = np.zeros(SLOTS, np.int32)
     counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    marks = held.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), least), "shingle long, id long, component long")
+    marks = held.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), least), "shingle long, id long, component long, left double, total double, plain boolean")
     marks = workspace.stage(marks, "prefixes")
     workspace.drop(held)
     sizes = marks.groupBy("shingle", "component").agg(F.count("*").alias("n"))
@@ -229,8 +240,9 @@ def rare_pairs(members: DataFrame, texts: DataFrame, least: float = LEAST) -> Da
     several = workspace.stage(marks.join(shared, "shingle"), "shared-shingles")
     workspace.drop(shared)
     workspace.drop(marks)
-    minor = several.filter("component <> major").select("shingle", F.col("id").alias("other"), F.col("component").alias("component_b"))
-    pairs = several.join(minor, "shingle").filter("component <> component_b")
+    minor = several.filter("component <> major").select("shingle", F.col("id").alias("other"), *(F.col(c).alias(c + "_b") for c in ("component", "left", "total", "plain")))
+    common = F.least("left", "left_b") >= (F.col("total") + F.col("total_b")) * (least / (1 + least)) - 1e-6
+    pairs = several.join(minor, "shingle").filter(F.col("component") != F.col("component_b")).filter(~(F.col("plain") & F.col("plain_b")) | common)
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
@@ -249,8 +261,8 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: float
     dealt = near.join(crowded, "a", "left").select("a", chunk.alias("chunk"), "b")
     hubs = dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("member"), F.col("a").alias("id"))
     wanted = hubs.unionByName(dealt.select("a", "chunk", F.lit(1).alias("member"), F.col("b").alias("id")))
-    wanted = workspace.stage(wanted, "wanted")  # written, so that its size tells whether it is broadcast
-    rows = wanted.join(texts, "id").select("a", "chunk", "member", "id", "text")
+    wanted = workspace.stage(wanted, "wanted")
+    rows = _small_side(wanted).join(texts, "id").select("a", "chunk", "member", "id", "text")
     rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "member", "id")
     found = workspace.stage(rows.mapInArrow(_similar(least - 1e-9), "a long, b long, similarity double"), "links")
     for made in (near, crowded, wanted):

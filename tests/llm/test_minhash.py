@@ -121,7 +121,7 @@ def test_one_hub_in_several_chunks(spark, monkeypatch):
     assert got == brute(rows)
 
 
-def test_rare_pairs(spark):
+def test_rare_pairs(spark, monkeypatch):
     texts = made(random.Random(4), 200)
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     members = spark.createDataFrame([(k, k) for k in range(200)], "id long, component long")
@@ -129,3 +129,24 @@ def test_rare_pairs(spark):
     ws = [weights(t) for t in texts]
     want = {(i, j) for j in range(200) for i in range(j) if ws[i].keys() & ws[j].keys() and similarity(ws[i], ws[j]) >= 0.8}
     assert want and want <= got and len(got) < 4000
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 0)
+    assert {(r.a, r.b) for r in M.rare_pairs(members, df).collect()} == got
+
+
+def test_rare_pairs_of_a_cluster(spark):
+    """Copies of one text with edits: all pairs at 0.8 or more are there, most of those clearly below are not; also where
+    shingles come twice."""
+    rng = random.Random(7)
+    base, texts = [f"b{k}" for k in range(150)], []
+    for k in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(1, 9)):
+            copy[rng.randrange(150)] = f"e{rng.randrange(10**9)}"
+        texts.append(" ".join(copy + (copy[:12] if k % 10 == 0 else [])))
+    ws = [weights(t) for t in texts]
+    members = spark.createDataFrame([(k, k) for k in range(60)], "id long, component long")
+    got = {(r.a, r.b) for r in M.rare_pairs(members, spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
+    s = {(i, j): similarity(ws[i], ws[j]) for j in range(60) for i in range(j)}
+    assert {p for p, x in s.items() if x >= 0.8} <= got and 100 < len([p for p, x in s.items() if x >= 0.8])
+    below = [p for p, x in s.items() if x < 0.7 and p[0] % 10 and p[1] % 10]
+    assert len(below) > 100 and len([p for p in below if p in got]) < 0.1 * len(below)

@@ -46,12 +46,25 @@ def recall(outstanding: Column, recalled: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(recalled, outstanding))
 
 
-def limits(checks: list[tuple[str, Column, float]]) -> tuple[Column, Column]:
+def borrow_fee(shares: Column, price: Column, rate: Column, days: Column) -> Column:
+    """Simple, actual days over 365."""
+    return shares * price * rate * days / 365
+
+
+def variation_margin(contracts: Column, multiplier: float, before: Column, now: Column) -> Column:
+    """What a change of the settlement price pays; contracts are negative for a short position."""
+    return contracts * multiplier * (now - before)
+
+
+def limits(checks: list[tuple[str, Column, float]], reduces: Column | None = None) -> tuple[Column, Column]:
     """status and reasons for metrics with upper limits: unassessable if a metric is missing, else blocked if one is
-    over its limit; the reasons name them."""
+    over its limit; the reasons name them. Where reduces is true the order only lowers risk: it is reduce_only whatever
+    the metrics are, and the reasons stay."""
     missing = F.array_compact(F.array(*(F.when(m.isNull(), F.lit(f"{n} missing")) for n, m, _ in checks)))
     over = F.array_compact(F.array(*(F.when(m > limit, F.lit(f"{n} over limit")) for n, m, limit in checks)))
     status = F.when(F.size(missing) > 0, "unassessable").when(F.size(over) > 0, "blocked").otherwise("ok")
+    if reduces is not None:
+        status = F.when(reduces & (status != "ok"), "reduce_only").otherwise(status)
     return status, F.array_join(F.concat(missing, over), ",")
 
 
@@ -66,11 +79,14 @@ def roll(now: Column, first_notice: Column, last_trade: Column, window: int) ->
     return F.when(~F.coalesce(known, F.lit(False)), "blocked").when(left < 0, "expired").when(left <= window, "roll").otherwise("hold")
 
 
-def package_units(legs: DataFrame, package: str, size: str, ratio: str, wanted: str, kind: str) -> DataFrame:
-    """package and filled: whole units that every leg's size allows, up to wanted; all or none for kind FOK."""
+def package_units(legs: DataFrame, package: str, size: str, ratio: str, wanted: str, kind: str, debit: str | None = None, most: float = 0.0) -> DataFrame:
+    """package and filled: whole units that every leg's size allows, up to wanted; all or none for kind FOK. With debit,
+    what one unit of a leg's ratio costs (negative: brings in), nothing is filled where a unit's net debit is not known
+    or over most."""
     units = F.min(F.floor(F.col(size) / F.col(ratio)))
-    out = legs.groupBy(package).agg(units.alias("_u"), F.max(wanted).alias("_w"), F.max(kind).alias("_k"))
-    fill = F.least("_u", "_w")
+    net = F.when(F.bool_and(F.col(debit).isNotNull()), F.sum(F.col(ratio) * F.col(debit))) if debit else F.lit(most)
+    out = legs.groupBy(package).agg(units.alias("_u"), F.max(wanted).alias("_w"), F.max(kind).alias("_k"), net.alias("_d"))
+    fill = F.when(F.col("_d") <= most, F.least("_u", "_w")).otherwise(0)
     return out.select(package, F.when((F.col("_k") == "FOK") & (fill < F.col("_w")), 0).otherwise(fill).cast("long").alias("filled"))
 
 
@@ -107,9 +123,11 @@ def replay(holdings: DataFrame, actions: DataFrame, key: str, at: str) -> DataFr
     )
 
 
-def chain_checks(chain: DataFrame, series: list[str]) -> DataFrame:
+def chain_checks(chain: DataFrame, series: list[str], quoted: str | None = None, at: str | None = None, oldest: int = 60, currency: str | None = None) -> DataFrame:
     """chain (strike, bid, ask of calls) with crossed, monotone and convex: asks not below bids, mid prices that do not
-    rise with the strike, and slopes between strikes, evenly spaced or not, that do not fall."""
+    rise with the strike, and slopes between strikes, evenly spaced or not, that do not fall. With quoted and at also
+    stale: not quoted within so many seconds before the time at, or after it; with currency also one_currency: the whole
+    series has one, none missing."""
     line = Window.partitionBy(*series).orderBy("strike")
     mid = (F.col("bid") + F.col("ask")) / 2
     rows = chain.withColumn("_m", mid)
@@ -120,6 +138,13 @@ def chain_checks(chain: DataFrame, series: list[str]) -> DataFrame:
         "monotone": F.coalesce(before <= 0, F.lit(True)),
         "convex": F.coalesce(after >= before - 1e-12, F.lit(True)),
     })
+    if quoted and at:
+        age = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col(quoted).cast("timestamp"))
+        checked = checked.withColumn("stale", ~F.coalesce(age.between(0, oldest * 1_000_000), F.lit(False)))
+    if currency:
+        whole = Window.partitionBy(*series)
+        same = (F.min(currency).over(whole) == F.max(currency).over(whole)) & (F.count(currency).over(whole) == F.count("*").over(whole))
+        checked = checked.withColumn("one_currency", F.coalesce(same, F.lit(False)))
     return checked.drop("_m")
 
 

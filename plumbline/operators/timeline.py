@@ -64,16 +64,29 @@ def known_as_of(left: DataFrame, right: DataFrame, key: str, at: str, effective:
     return found.filter("_side = 1").drop("_t", "_side", "_v", "_ahead")
 
 
-def sweep(spans: DataFrame, key: str, start: str, stop: str) -> DataFrame:
+def sweep(spans: DataFrame, key: str, start: str, stop: str, available: str | None = None) -> DataFrame:
     """The stretches between consecutive boundaries of each key's half-open spans, with depth, the number of spans over
-    each: key, start, stop, depth. Depth 0 is a gap; stretches add up to the whole from first start to last stop."""
-    edges = spans.select(F.col(key), F.col(start).alias("start"), F.lit(1).alias("step")).unionByName(
-        spans.select(F.col(key), F.col(stop).alias("start"), F.lit(-1).alias("step"))
-    )
-    steps = edges.groupBy(key, "start").agg(F.sum("step").alias("step"))
+    each: key, start, stop, depth. Depth 0 is a gap; stretches add up to the whole from first start to last stop.
+
+    With available, the time from which a span is known, that is a boundary too where it falls inside the span, and
+    seen counts the spans over a stretch that are known by then; one without such a time is never known.
+    """
+    edge = lambda at, step, seen: F.struct(at.alias("start"), F.lit(step).alias("step"), F.lit(seen).alias("seen"))
+    since, until = F.col(start), F.col(stop)
+    edges = [edge(since, 1, 0), edge(until, -1, 0)]
+    if available:
+        known = F.col(available) < until
+        edges += [F.when(known, edge(F.greatest(since, F.col(available)), 0, 1)), F.when(known, edge(until, 0, -1))]
+    steps = spans.select(F.col(key), F.inline(F.array_compact(F.array(*edges)))).groupBy(key, "start").agg(F.sum("step").alias("step"), F.sum("seen").alias("seen"))
     line = Window.partitionBy(key).orderBy("start")
-    depth = F.sum("step").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("depth")
-    return steps.select(key, "start", F.lead("start").over(line).alias("stop"), depth).filter("stop IS NOT NULL")
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    counts = [F.sum("step").over(so_far).alias("depth")] + ([F.sum("seen").over(so_far).alias("seen")] if available else [])
+    return steps.select(key, "start", F.lead("start").over(line).alias("stop"), *counts).filter("stop IS NOT NULL")
+
+
+def coverage_label(depth: Column, seen: Column) -> Column:
+    """What holds over a stretch of a sweep."""
+    return F.when(depth == 0, "no_effective_status").when(seen == 0, "status_not_yet_available").otherwise("covered")
 
 
 def by_precedence(rows: DataFrame, key: list[str], rank: Column, available: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import execution as X
 from .registry import Tables, query
@@ -41,20 +42,21 @@ def financing_accrual(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.round(by_basis.cast("double") + 1e-8, 4).alias("interest"))
 
 
-@query("""WITH g AS (SELECT l_orderkey, l_linenumber, least(l_quantity, greatest(coalesce(nullif(l_tax, 0) * 500, 0), 0)) AS granted, l_discount * 300 AS recalled FROM lineitem)
- SELECT l_orderkey, l_linenumber, round(granted, 6) AS granted, round(greatest(0, least(recalled, granted)), 6) AS cover FROM g""")
+@query("""WITH g AS (SELECT l_orderkey, l_linenumber, least(l_quantity, greatest(coalesce(nullif(l_tax, 0) * 500, 0), 0)) AS granted, l_discount * 300 AS recalled, l_discount FROM lineitem)
+ SELECT l_orderkey, l_linenumber, round(granted, 6) AS granted, round(greatest(0, least(recalled, granted)), 6) AS cover, round(granted * l_discount * l_linenumber * 100 * 0.3 / 365, 6) AS fee FROM g""")
 def locate_and_recall(t: Tables) -> DataFrame:
     granted = X.locate(F.col("l_quantity"), F.nullif(F.col("l_tax"), F.lit(0.0)) * 500)
-    return t.lineitem.select(*KEYS, F.round(granted, 6).alias("granted"), F.round(X.recall(granted, F.col("l_discount") * 300), 6).alias("cover"))
+    fee = X.borrow_fee(granted, F.col("l_discount"), F.col("l_linenumber") * 100, F.lit(0.3))
+    return t.lineitem.select(*KEYS, F.round(granted, 6).alias("granted"), F.round(X.recall(granted, F.col("l_discount") * 300), 6).alias("cover"), F.round(fee, 6).alias("fee"))
 
 
-@query("""WITH m AS (SELECT l_suppkey, count(*) / 3.0 AS days, nullif(max(l_tax), 0) AS flow FROM lineitem GROUP BY 1), s AS (SELECT l_suppkey, days / 0.5 AS stressed, flow FROM m)
- SELECT l_suppkey, round(stressed, 6) AS stressed, CASE WHEN flow IS NULL THEN 'unassessable' WHEN stressed > 400 OR flow > 0.07 THEN 'blocked' ELSE 'ok' END AS status,
+@query("""WITH m AS (SELECT l_suppkey, count(*) / 3.0 AS days, nullif(max(l_tax), 0) AS flow, count(*) FILTER (WHERE l_returnflag = 'R') / count(*) AS sells FROM lineitem GROUP BY 1), s AS (SELECT l_suppkey, days / 0.5 AS stressed, flow, sells FROM m)
+ SELECT l_suppkey, round(stressed, 6) AS stressed, CASE WHEN flow <= 0.07 AND stressed <= 400 THEN 'ok' WHEN sells > 0.36 THEN 'reduce_only' WHEN flow IS NULL THEN 'unassessable' ELSE 'blocked' END AS status,
  concat_ws(',', CASE WHEN flow IS NULL THEN 'flow missing' END, CASE WHEN stressed > 400 THEN 'days over limit' END, CASE WHEN flow > 0.07 THEN 'flow over limit' END) AS reasons FROM s""")
 def crowding_gate(t: Tables) -> DataFrame:
-    m = t.lineitem.groupBy("l_suppkey").agg((F.count("*") / 3.0).alias("days"), F.nullif(F.max("l_tax"), F.lit(0.0)).alias("flow"))
+    m = t.lineitem.groupBy("l_suppkey").agg((F.count("*") / 3.0).alias("days"), F.nullif(F.max("l_tax"), F.lit(0.0)).alias("flow"), (F.count_if(F.col("l_returnflag") == "R") / F.count("*")).alias("sells"))
     stressed = X.stressed_days(F.col("days"), F.lit(0.5))
-    status, reasons = X.limits([("days", stressed, 400.0), ("flow", F.col("flow"), 0.07)])
+    status, reasons = X.limits([("days", stressed, 400.0), ("flow", F.col("flow"), 0.07)], F.col("sells") > 0.36)
     return m.select("l_suppkey", F.round(stressed, 6).alias("stressed"), status.alias("status"), reasons.alias("reasons"))
 
 
@@ -67,11 +69,11 @@ def roll_decision(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", X.roll(now, notice, last, 5).alias("decision"))
 
 
-@query("""WITH p AS (SELECT l_orderkey, min(floor(l_quantity / (1 + l_linenumber % 3)))::BIGINT AS u, 10 AS w, CASE WHEN l_orderkey % 2 = 0 THEN 'FOK' ELSE 'IOC' END AS k FROM lineitem GROUP BY l_orderkey)
- SELECT l_orderkey, CASE WHEN k = 'FOK' AND least(u, w) < w THEN 0 ELSE least(u, w) END AS filled FROM p""")
+@query("""WITH p AS (SELECT l_orderkey, min(floor(l_quantity / (1 + l_linenumber % 3)))::BIGINT AS u, 10 AS w, CASE WHEN l_orderkey % 2 = 0 THEN 'FOK' ELSE 'IOC' END AS k, sum((1 + l_linenumber % 3) * CASE l_returnflag WHEN 'R' THEN -l_extendedprice ELSE l_extendedprice END) AS d FROM lineitem GROUP BY l_orderkey)
+ SELECT l_orderkey, CASE WHEN d > 250000.001 THEN 0 WHEN k = 'FOK' AND least(u, w) < w THEN 0 ELSE least(u, w) END AS filled FROM p""")
 def package_fill(t: Tables) -> DataFrame:
-    legs = t.lineitem.select("l_orderkey", "l_quantity", (1 + F.col("l_linenumber") % 3).alias("ratio"), F.lit(10).alias("wanted"), F.when(F.col("l_orderkey") % 2 == 0, "FOK").otherwise("IOC").alias("kind"))
-    return X.package_units(legs, "l_orderkey", "l_quantity", "ratio", "wanted", "kind")
+    legs = t.lineitem.select("l_orderkey", "l_quantity", (1 + F.col("l_linenumber") % 3).alias("ratio"), F.lit(10).alias("wanted"), F.when(F.col("l_orderkey") % 2 == 0, "FOK").otherwise("IOC").alias("kind"), F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).alias("debit"))
+    return X.package_units(legs, "l_orderkey", "l_quantity", "ratio", "wanted", "kind", "debit", 250000.001)
 
 
 @query("""WITH c AS (SELECT l_suppkey, l_linenumber % 4 AS scenario, sum(CASE l_returnflag WHEN 'R' THEN -l_extendedprice ELSE l_extendedprice / 4 END) AS p FROM lineitem GROUP BY ALL)
@@ -92,13 +94,24 @@ def fee_assessment(t: Tables) -> DataFrame:
 def split_dividend_replay(t: Tables) -> DataFrame:
     """Parts held since a customer's first order; each return of a part is an action on it."""
     holdings = t.part.select("p_partkey", F.lit("1994-01-01").cast("date").alias("at"), F.col("p_size").cast("double").alias("shares"), F.col("p_retailprice").alias("price"))
-    actions = t.lineitem.filter("l_returnflag = 'R' AND l_linenumber = 1").select(
+    actions = t.lineitem.filter("l_returnflag = 'R'").select(
         F.col("l_partkey").alias("p_partkey"), F.col("l_shipdate").cast("date").alias("effective"), F.date_sub(F.col("l_shipdate").cast("date"), 10).alias("announced"),
         F.when(F.col("l_quantity") > 25, 2.0).otherwise(1.0).alias("ratio"), F.col("l_tax").alias("dividend"),
     )
     return X.replay(holdings, actions, "p_partkey", "at")
 
 
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN -l_quantity ELSE l_quantity END AS n, l_extendedprice / l_quantity AS s, lag(l_extendedprice / l_quantity) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS b FROM lineitem)
+ SELECT l_orderkey, l_linenumber, round(n * 50.0::DOUBLE * (s - b), 4) + 0 AS margin FROM p WHERE b IS NOT NULL""")
+def variation_margin(t: Tables) -> DataFrame:
+    """Between consecutive trades of a part; the first has no price before it."""
+    side = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    before = F.lag(price).over(Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber"))
+    rows = t.lineitem.select(*KEYS, side.alias("n"), price.alias("s"), before.alias("b")).filter("b IS NOT NULL")
+    return rows.select(*KEYS, (F.round(X.variation_margin(F.col("n"), 50.0, F.col("b"), F.col("s")), 4) + 0.0).alias("margin"))
+
+
 @query()
 def chain_checks(t: Tables) -> DataFrame:
     chain = t.part.select("p_brand", F.col("p_partkey").cast("double").alias("strike"), (2000 - F.col("p_retailprice")).alias("bid"), (2010 - F.col("p_retailprice")).alias("ask"))

@@ -182,8 +182,7 @@ def body_decode(t: Tables) -> DataFrame:
     return t.events.select("event_id", *(v.alias(k) for k, v in fields.items()))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice >= 1e6 THEN printf('%.1fM', o_totalprice / 1e6) WHEN o_totalprice >= 1e3 AND o_totalprice / 1e3 = floor(o_totalprice / 1e3) THEN printf('%dK', (o_totalprice / 1e3)::BIGINT)
- WHEN o_totalprice >= 1e3 THEN printf('%.1fK', o_totalprice / 1e3) ELSE printf('%.0f', o_totalprice) END AS shown, lpad(o_orderkey::VARCHAR, greatest(2, length(o_orderkey::VARCHAR))::INT, '0') AS number FROM orders WHERE (o_totalprice * 100)::BIGINT % 100 NOT IN (50, 0)""")
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice >= 1e6 THEN printf('%.1fM', floor(o_totalprice / 1e5 + 0.5) / 10) WHEN o_totalprice >= 1e3 AND o_totalprice / 1e3 = floor(o_totalprice / 1e3) THEN printf('%dK', (o_totalprice / 1e3)::BIGINT)
+ WHEN o_totalprice >= 1e3 THEN printf('%.1fK', floor(o_totalprice / 100 + 0.5) / 10) ELSE printf('%.0f', floor(o_totalprice + 0.5)) END AS shown, lpad(o_orderkey::VARCHAR, greatest(2, length(o_orderkey::VARCHAR))::INT, '0') AS number FROM orders""")
 def amount_format(t: Tables) -> DataFrame:
-    exact = t.orders.filter(~(F.round(F.col("o_totalprice") * 100).cast("long") % 100).isin(50, 0))
-    return exact.select("o_orderkey", S.compact_amount(F.col("o_totalprice")).alias("shown"), S.padded(F.col("o_orderkey")).alias("number"))
+    return t.orders.select("o_orderkey", S.compact_amount(F.col("o_totalprice")).alias("shown"), S.padded(F.col("o_orderkey")).alias("number"))

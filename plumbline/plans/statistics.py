@@ -85,10 +85,17 @@ def stressed_correlation(t: Tables) -> DataFrame:
     return returns(t).join(bad, "day").groupBy("sleeve").agg(F.count("*").alias("n"), F.round(stats.correlation(F.col("r"), F.col("book")), 6).alias("rho")).filter("n > 2")
 
 
-@query(f"""WITH {BOOK} SELECT sleeve, round(avg(0.9 * book + 0.1 * r) / stddev_samp(0.9 * book + 0.1 * r) * sqrt(252) - avg(book) / stddev_samp(book) * sqrt(252), 6) AS delta FROM s JOIN k USING (day) GROUP BY 1""")
+@query(f"""WITH {BOOK}, m AS (SELECT sleeve, avg(r) AS mu FROM s GROUP BY 1) SELECT sleeve, round(avg(0.9 * book + 0.1 * r) / stddev_samp(0.9 * book + 0.1 * r) * sqrt(252) - avg(book) / stddev_samp(book) * sqrt(252), 6) AS delta,
+ round(avg(0.9 * book + 0.1 * (r - mu)) / stddev_samp(0.9 * book + 0.1 * (r - mu)) * sqrt(252) - avg(book) / stddev_samp(book) * sqrt(252), 6) AS control FROM s JOIN k USING (day) JOIN m USING (sleeve) GROUP BY 1""")
 def book_delta(t: Tables) -> DataFrame:
-    mixed = 0.9 * F.col("book") + 0.1 * F.col("r")
-    return returns(t).join(book(t), "day").groupBy("sleeve").agg(F.round(stats.sharpe(mixed) - stats.sharpe(F.col("book")), 6).alias("delta"))
+    """control: the same with the sleeve's mean taken off, which leaves what comes of its risk alone."""
+    r = F.col("r")
+    mixed = 0.9 * F.col("book") + 0.1 * r
+    # taking off a mean shifts the mix's mean and leaves its deviation, so no second pass is needed
+    without = (F.avg(mixed) - 0.1 * F.avg(r)) / F.stddev_samp(mixed) * F.sqrt(F.lit(252.0))
+    return returns(t).join(book(t), "day").groupBy("sleeve").agg(
+        F.round(stats.sharpe(mixed) - stats.sharpe(F.col("book")), 6).alias("delta"), F.round(without - stats.sharpe(F.col("book")), 6).alias("control")
+    )
 
 
 @query(f"""WITH {BOOK}, q AS (SELECT sleeve, quantile_cont(r, 0.05) AS cut FROM s GROUP BY 1)

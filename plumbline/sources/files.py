@@ -46,7 +46,7 @@ def lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame
 def colon_pairs(spark: SparkSession, path: str) -> DataFrame:
     """name, title and pairs of files with a title line and 'key: value' lines."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.split("value", "\r?\n").alias("l"))
-    kept = F.filter(F.slice("l", 2, 1_000_000), lambda x: F.contains(x, F.lit(":")))
+    kept = F.filter(F.slice("l", F.lit(2), F.size("l")), lambda x: F.contains(x, F.lit(":")))
     pair = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.regexp_replace(x, "^[^:]*:", "")))
     return whole.select("name", F.element_at("l", 1).alias("title"), F.map_from_entries(F.transform(kept, pair)).alias("pairs"))
 

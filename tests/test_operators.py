@@ -132,3 +132,35 @@ def test_known_as_of(spark):
     right = spark.createDataFrame(facts, "k string, eff int, avail int, v int")
     got = [tuple(r) for r in timeline.known_as_of(left, right, "k", "t", "eff", "avail", "v", "x").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_sweep_of_what_is_available(spark):
+    spans = spark.createDataFrame([("a", 0, 4, 2), ("a", 3, 6, None), ("a", 7, 9, 12), ("a", 10, 11, 1), ("a", 10, 11, 1)], "k string, s int, e int, v int")
+    rows = spans.collect()
+    found = timeline.sweep(spans, "k", "s", "e", "v").withColumn("label", timeline.coverage_label(F.col("depth"), F.col("seen"))).collect()
+    assert sorted((r.start, r.stop) for r in found) == [(0, 2), (2, 3), (3, 4), (4, 6), (6, 7), (7, 9), (9, 10), (10, 11)]
+    for r in found:
+        over = [x for x in rows if x.s <= r.start and r.stop <= x.e]
+        known = [x for x in over if x.v is not None and x.v <= r.start]
+        assert (r.depth, r.seen) == (len(over), len(known))
+        assert r.label == ("covered" if known else "status_not_yet_available" if over else "no_effective_status")
+
+
+def test_orders_that_lower_risk_and_packages_with_a_limit(spark):
+    lit = lambda x: F.lit(x).cast("double")
+    status, reasons = X.limits([("flow", F.lit(None).cast("double"), 1.0), ("days", lit(6), 5.0)], F.lit(True))
+    calm, _ = X.limits([("days", lit(4), 5.0)], F.lit(True))
+    unknown, _ = X.limits([("days", lit(6), 5.0)], F.lit(None).cast("boolean"))
+    r = one(spark, status=status, reasons=reasons, calm=calm, unknown=unknown, fee=X.borrow_fee(lit(100), lit(20), lit(0.05), lit(73)), gain=X.variation_margin(lit(-3), 50, lit(10), lit(9)))
+    assert (r.status, r.reasons, r.calm, r.unknown) == ("reduce_only", "flow missing,days over limit", "ok", "blocked")
+    assert (r.fee, r.gain) == (pytest.approx(20.0), 150.0)
+    legs = spark.createDataFrame([(1, 9.0, 2, 3, "IOC", 5.0), (1, 9.0, 1, 3, "IOC", -4.0), (2, 9.0, 2, 3, "IOC", 5.0), (3, 9.0, 1, 3, "IOC", None), (3, 9.0, 1, 3, "IOC", 1.0)], "p int, size double, ratio int, wanted int, kind string, debit double")
+    assert {(r.p, r.filled) for r in X.package_units(legs, "p", "size", "ratio", "wanted", "kind", "debit", 6.0).collect()} == {(1, 3), (2, 0), (3, 0)}
+
+
+def test_stale_quotes_and_currencies(spark):
+    t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    rows = [("x", 1.0, t(10), "USD"), ("x", 2.0, t(50), "USD"), ("x", 3.0, t(59), "USD"), ("y", 1.0, t(40), "USD"), ("y", 2.0, None, "EUR"), ("z", 1.0, t(40), None)]
+    chain = spark.createDataFrame(rows, "s string, strike double, q timestamp_ntz, c string").withColumns({"bid": F.lit(1.0), "ask": F.lit(2.0), "now": F.lit(t(55))})
+    got = {(r.s, r.strike): (r.stale, r.one_currency) for r in X.chain_checks(chain, ["s"], "q", "now", 30, "c").collect()}
+    assert got == {("x", 1.0): (True, True), ("x", 2.0): (False, True), ("x", 3.0): (True, True), ("y", 1.0): (False, False), ("y", 2.0): (True, False), ("z", 1.0): (False, False)}

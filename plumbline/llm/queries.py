@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, licenses, lm, minhash, pii, secrets, toxicity, warc
+from . import bpe, decontaminate, embeddings, licenses, lm, minhash, pii, secrets, token_files, toxicity, warc, workspace
 from .workspace import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op2_license_scan"] = licenses.duckdb_sql()
+
+
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back: where each document's ids lie, and their digest."""
+    path = workspace.new_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_files.with_crc(token_files.read(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")

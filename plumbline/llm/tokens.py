@@ -100,7 +100,7 @@ def runs(tokens: Tokens, k: int, short: bool = False) -> tuple[np.ndarray, np.nd
     text, n = tokens.text_of(), len(h)
     left = tokens.offsets[1:][text] - np.arange(n)  # tokens from here to the end of the text
     total, weight = np.zeros(n, U64), 1
-    for j in range(k):
+    for j in range(min(k, n)):  # no text is longer than all of them
         moved = np.zeros(n, U64)
         moved[: n - j] = h[j:]
         total += np.where(left > j, moved * U64(weight % 2**64), U64(0))

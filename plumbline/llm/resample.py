@@ -62,15 +62,15 @@ def _after(length: int) -> np.ndarray:
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words of each text, the bucket of each feature, the text that it is in). A null text has none. A pair's checksum
     is put together from those of its words, so only distinct words are looked at one by one."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = pc.ascii_lower(pc.fill_null(texts, ""))  # not cast: a slice that is cast to long offsets is lowered wrongly
     n = len(texts)
     none = np.zeros(0, np.int64)
     if not n or not (held := pc.sum(pc.binary_length(texts)).as_py()):
         return np.zeros(n, np.int64), none, none
     _, offsets, data = texts.buffers()
-    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(data, np.uint8)[ends[0] : ends[0] + held]
-    ends = ends - ends[0]
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
     inside = _WORD[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]

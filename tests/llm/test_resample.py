@@ -59,6 +59,14 @@ def test_features():
     assert sorted(bucket[text == 1].tolist()) == sorted(zlib.crc32(f.encode()) for f in plain_features(ODD[4])[1])
 
 
+def test_slices_of_a_batch():
+    texts = [f"Text {k} of " + "words " * k for k in range(300)] + ODD
+    whole = pa.array(texts, pa.string())
+    for at in range(0, len(texts), 37):
+        words, _, _ = resample.features(whole.slice(at, 37))
+        assert words.tolist() == [plain_features(x)[0] for x in texts[at : at + 37]]
+
+
 def test_tournament():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 5, 8, 13):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, licenses, lm, minhash, pii, resample, secrets, token_files, toxicity, warc, workspace
+from . import bpe, decontaminate, embeddings, licenses, lm, minhash, pii, prefix_trie, resample, secrets, token_files, toxicity, warc, workspace
 from .workspace import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,9 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their weights towards the benchmark's texts, and the ranks of the drawn quarter."""
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))

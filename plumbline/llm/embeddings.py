@@ -216,12 +216,12 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     Two rows are linked if their vectors' cosine is least or more; n_links counts the other rows linked with a row,
     component_id is the smallest key reachable by links, kept whether that is the row's own. Equal vectors make one
     class, so copies are counted but not paired. Rows whose vector is null, zero or has null or non-finite components,
-    or whose key is null, link with nothing and are their own component. Repeated rows are copies of each other. Further
-    columns are left out.
+    or whose key is null, link with nothing and are their own component. Repeated rows are copies of each other. Vectors
+    must have one length: those of several are an error. Further columns are left out.
     """
     workspace.small_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
-    good = usable(F.col("vector")) & F.col("key").isNotNull()
+    good = F.coalesce(usable(F.col("vector")) & F.col("key").isNotNull(), F.lit(False))
     classes = rows.filter(good).groupBy("vector").agg(F.min("key").alias("id"), F.count("*").alias("n"))
     classes = workspace.stage(classes, "vector-classes")
     linked = workspace.stage(pairs(classes.select("id", "vector"), least), "vector-pairs")
@@ -235,11 +235,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             "vector",
             (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
             F.coalesce("component", "id").alias("component_id"),
-            F.lit(True).alias("good"),
         )
     )
-    joined = rows.withColumn("good", good).join(named, ["vector", "good"], "left")
-    component = F.when(F.col("good"), F.col("component_id")).otherwise(F.col("key"))
+    alone = rows.filter(~good).select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
+    joined = rows.filter(good).join(named, "vector", "left").select("key", "n_links", "component_id").unionByName(alone)
+    component = F.col("component_id")
     return joined.select(
         F.col("key").alias(key),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

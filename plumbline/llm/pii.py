@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import spans
+from . import spans, workspace
 
 ROUNDS = 8
 #: Days of the 400-year Gregorian cycle from 1800-01-01 to 2199-12-31.
@@ -217,23 +217,24 @@ def pseudonymise(docs: DataFrame, secret: str, text: str = "text", counts: str |
     hits = F.regexp_extract_all(full, F.lit(ANY), 0)
     pairs = F.transform(hits, lambda m: F.struct(m.alias("old"), one(m).alias("new"), kind_of(m).alias("kind")))
     none = F.array().cast("array<struct<old:string,new:string,kind:string>>")
-    held = docs.drop(counts).withColumn("_pairs", F.when(due & full.rlike(ANY), pairs).otherwise(none))
+    [held_in] = workspace.free(docs.withColumn(counts, F.lit(0)), "pairs")
+    held = docs.drop(counts).withColumn(held_in, F.when(due & full.rlike(ANY), pairs).otherwise(none))
     gaps = F.split(full, ANY, -1)
     joined = spans.bound(
         gaps,
         lambda g: F.concat(
-            F.array_join(F.zip_with(F.slice(g, F.lit(1), F.size("_pairs")), F.col("_pairs"), lambda x, p: F.concat(x, p["new"])), ""),
+            F.array_join(F.zip_with(F.slice(g, F.lit(1), F.size(held_in)), F.col(held_in), lambda x, p: F.concat(x, p["new"])), ""),
             F.element_at(g, -1),
         ),
     )
-    real = F.filter("_pairs", lambda p: p["old"] != p["new"])
+    real = F.filter(held_in, lambda p: p["old"] != p["new"])
     tally = F.map_from_arrays(
         F.array(*(F.lit(k) for k in KINDS)),
         F.array(*(_count(real, k) for k in KINDS)),
     )
     return held.withColumn(counts, F.map_filter(tally, lambda _, n: n > 0)).withColumn(
-        text, F.when(F.size("_pairs") > 0, joined).otherwise(full)
-    ).drop("_pairs")
+        text, F.when(F.size(held_in) > 0, joined).otherwise(full)
+    ).drop(held_in)
 
 
 def _count(pairs: Column, kind: str) -> Column:

@@ -16,7 +16,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import spans
+from . import spans, workspace
 
 #: More alternatives than this, of strings or clauses, are given up for a weaker query, never a wrong one.
 MOST = 48
@@ -163,16 +163,21 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", i
     """docs with column into: array<struct<kind, start, stop, found>> of the secrets in the whole text, in code points.
 
     A null text counts as empty and has none. Repeated rows stay, each with its finds; a column named like into is
-    replaced. Copies of a text share a key of the join with its candidates: Spark splits a skewed partition of it.
+    replaced, columns of any other name stay. Texts are scanned whole, however long. Copies of a text share a key of the
+    join with its candidates: Spark splits a skewed partition of it. Texts too short for a trigram, such as empty ones,
+    are in no posting and are spread.
     """
     indexed = tuple(r for r in rules if trigram_query(r.pattern) != ALWAYS)
     full = F.coalesce(F.col(text), F.lit(""))
-    keys = candidates(docs.select(full.alias("text")), indexed).withColumnsRenamed({"text_key": "_key", "kinds": "_kinds"})
-    with_kinds = docs.drop(into).withColumn("_key", _key(full)).join(keys, "_key", "left").drop("_key")
+    key, kinds = workspace.free(docs.withColumn(into, F.lit(0)), "key", "kinds")
+    keys = candidates(docs.select(full.alias("text")), indexed).withColumnsRenamed({"text_key": key, "kinds": kinds})
+    own = F.when(F.length(full) < 3, F.xxhash64(F.monotonically_increasing_id())).otherwise(_key(full))
+    kept = docs.drop(into) if text != into else docs
+    with_kinds = kept.withColumn(key, own).join(keys, key, "left").drop(key)
     none = F.array().cast("array<struct<kind:string,start:bigint,stop:bigint,found:string>>")
     labelled = lambda rule: F.transform(
         _found(full, rule), lambda x: F.struct(F.lit(rule.kind).alias("kind"), x["start"], x["stop"], x["found"])
     )
-    asked = lambda r: F.coalesce(F.array_contains("_kinds", r.kind), F.lit(False)) if r in indexed else F.lit(True)
+    asked = lambda r: F.coalesce(F.array_contains(kinds, r.kind), F.lit(False)) if r in indexed else F.lit(True)
     parts = [F.when(asked(rule), labelled(rule)).otherwise(none) for rule in rules]
-    return with_kinds.withColumn(into, reduce(F.concat, parts)).drop("_kinds")
+    return with_kinds.withColumn(into, reduce(F.concat, parts)).drop(kinds)

@@ -11,10 +11,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (local runs and tests), one of our own."""
+    """The folder in spark.checkpoint.dir; where it is unset, one of our own in local runs and tests. A cluster must set
+    it: its executors don't see a folder of the driver's machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-plumbline-")
@@ -58,5 +61,16 @@ def drop(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, in any case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -28,16 +28,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest doc_id; of repeated rows one. Documents without an id
-    or without words have no near copies."""
-    classes = minhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = classes.filter("kept").select("doc_id").distinct()
-    return (
-        docs.join(kept, "doc_id", "left_semi")
-        .dropDuplicates(["doc_id", "text"])
-        .select(*docs.columns)
-        .unionByName(docs.filter(F.col("doc_id").isNull()))
-    )
+    """Of each class of near copies the document with the smallest doc_id, and of repeated rows one. Documents without an
+    id or without words have no near copies: those without an id all stay.
+
+    Rows are told apart by doc_id. Where one stands on several rows they are told apart by a hash of id and text, so a
+    copy of another document goes even if its namesake stays."""
+    known = docs.filter(F.col("doc_id").isNotNull())
+    nameless = docs.filter(F.col("doc_id").isNull())
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = minhash.near_duplicates(known.select("doc_id", "text")).filter("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(nameless)
+    row = unused(docs, "row")
+    keyed = known.withColumn(row, F.xxhash64("doc_id", "text"))
+    classes = minhash.near_duplicates(keyed.select(row, "text"), key=row).select(row, "class_id")
+    least = keyed.select(row, "doc_id").distinct().join(classes.distinct(), row).groupBy("class_id").agg(F.min_by(row, F.struct("doc_id", row)).alias(row))
+    return keyed.join(least.select(row), row, "left_semi").dropDuplicates([row]).select(*docs.columns).unionByName(nameless)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,8 +81,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over documents, each one's result written to the shared folder."""
-    docs = workspace.table(spark, sf_dir, "documents")
+    """The stages one after the other over documents, each one's result written to the shared folder; it goes when the
+    next one is there."""
+    docs, held = workspace.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = workspace.stage(stage(spark, docs, sf_dir), name)
+        if held is not None:
+            workspace.drop(held)
+        held = docs
     return docs

@@ -93,3 +93,15 @@ def test_empty_and_clashing(spark, folder, tmp_path):
         assert out.columns == clash.columns, name
         assert all(r.score == r.coverage == r.id == r.kept == 7 for r in out.collect()), name
     assert P.STAGES[-1][1](spark, clash, folder).count() == 20
+
+
+def test_copies_under_a_repeated_id(spark):
+    """Rows, not ids, are kept or dropped; rows without an id stay, of repeated rows one."""
+    a, b = "one two three four five six seven eight nine ten", "quite another text that is nowhere near the first one here"
+    given = [(1, a), (2, b), (2, a), (3, a + " "), (4, ""), (4, ""), (4, None), (None, a), (None, a), (5, b)]
+    docs = spark.createDataFrame([(d, t, "kept") for d, t in given], "doc_id long, text string, row string")
+    out = P.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(1, a), (2, b), (4, ""), (4, None), (None, a), (None, a)]
+    assert sorted(rows(out), key=str) == sorted(want, key=str)
+    assert rows(P.drop_near_copies(spark, docs.limit(0), "")) == []

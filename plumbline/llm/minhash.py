@@ -207,7 +207,7 @@ def _prefixes(counts, least: float):
     return found
 
 
-def _small_side(staged: DataFrame) -> DataFrame:
+def small_side(staged: DataFrame) -> DataFrame:
     """A written table of ids as one side of a join with the texts: broadcast if it has few rows, so that the texts
     stay where they are, else both sides are shuffled."""
     return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged
@@ -225,7 +225,7 @@ def rare_pairs(members: DataFrame, texts: DataFrame, least: float = LEAST) -> Da
     least / (1 + least) of the two sizes together.
     """
     spark = members.sparkSession
-    held = workspace.stage(_small_side(workspace.stage(members, "rest-members")).join(texts, "id").select("id", "component", "text"), "rest")
+    held = workspace.stage(small_side(workspace.stage(members, "rest-members")).join(texts, "id").select("id", "component", "text"), "rest")
     every = max(1, held.count() // COUNTED)
     some = held.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text")
     found = some.mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
@@ -262,7 +262,7 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: float
     hubs = dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("member"), F.col("a").alias("id"))
     wanted = hubs.unionByName(dealt.select("a", "chunk", F.lit(1).alias("member"), F.col("b").alias("id")))
     wanted = workspace.stage(wanted, "wanted")
-    rows = _small_side(wanted).join(texts, "id").select("a", "chunk", "member", "id", "text")
+    rows = small_side(wanted).join(texts, "id").select("a", "chunk", "member", "id", "text")
     rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "member", "id")
     found = workspace.stage(rows.mapInArrow(_similar(least - 1e-9), "a long, b long, similarity double"), "links")
     for made in (near, crowded, wanted):

@@ -34,15 +34,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are told apart by doc_id. Where one stands on several rows they are told apart by a hash of id and text, so a
     copy of another document goes even if its namesake stays."""
     known = docs.filter(F.col("doc_id").isNotNull())
-    nameless = docs.filter(F.col("doc_id").isNull())
     if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = minhash.near_duplicates(known.select("doc_id", "text")).filter("kept").select("doc_id")
-        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(nameless)
+        copies = minhash.near_duplicates(known.select("doc_id", "text")).filter("NOT kept").select("doc_id")
+        copies = minhash.small_side(workspace.stage(copies, "copies"))
+        return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
     row = unused(docs, "row")
     keyed = known.withColumn(row, F.xxhash64("doc_id", "text"))
     classes = minhash.near_duplicates(keyed.select(row, "text"), key=row).select(row, "class_id")
     least = keyed.select(row, "doc_id").distinct().join(classes.distinct(), row).groupBy("class_id").agg(F.min_by(row, F.struct("doc_id", row)).alias(row))
-    return keyed.join(least.select(row), row, "left_semi").dropDuplicates([row]).select(*docs.columns).unionByName(nameless)
+    kept = keyed.join(minhash.small_side(workspace.stage(least.select(row), "kept")), row, "left_semi").dropDuplicates([row])
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

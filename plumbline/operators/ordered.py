@@ -31,10 +31,6 @@ def laid(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], keep
     return shared.written(dealt.select(*(keep or df.columns), F.spark_partition_id().alias(PART), place.alias(PLACE)), "laid")
 
 
-def _same(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> Column:
-    return reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in columns])
-
-
 def _with_edges(rows: DataFrame, keys: Sequence[str], found: Sequence[Column], carried: Sequence[Column]) -> DataFrame:
     """rows with found, aggregates of each part and key, and carried, columns of those of earlier parts of the key."""
     edges = rows.groupBy(PART, *keys).agg(*found)
@@ -81,3 +77,13 @@ def running_total(df: DataFrame, order: Sequence[Column | str], value: str, into
     both = _with_edges(rows, keys, [F.coalesce(F.sum(value), F.lit(0)).alias("_sum")], [carried])
     inside = Window.partitionBy(PART, *keys).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(into, F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("_before")).drop(PART, PLACE, "_before")
+
+
+def carried(df: DataFrame, order: Sequence[Column | str], value: str, into: str, keys: Sequence[str] = ()) -> DataFrame:
+    """df with column into: the last value that is not null among the key's rows up to and with this one."""
+    rows = laid(df, keys, order)
+    last = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(PLACE))).alias("_last")
+    before = F.last("_last", ignorenulls=True).over(_earlier(keys)).alias("_before")
+    both = _with_edges(rows, keys, [last], [before])
+    inside = Window.partitionBy(PART, *keys).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(into, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_before"))).drop(PART, PLACE, "_before")

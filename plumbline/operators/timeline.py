@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import intervals, ordered
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, known: str, value: str, into: str) -> DataFrame:
     """left with column into: the value of the right row of the same key with the latest time known that is not after at.
@@ -33,12 +35,12 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 def cover(needs: DataFrame, quotes: DataFrame, key: str, need: tuple[str, str], valid: tuple[str, str]) -> DataFrame:
     """needs with n_quotes, the number of quotes of the key that cover the whole half-open need, and status: covered if
-    that is one, else missing or ambiguous. Both sides are dealt by key; Spark sees the range as the join's condition."""
-    start, stop, since, until = F.col(need[0]), F.col(need[1]), F.col(f"_q.{valid[0]}"), F.col(f"_q.{valid[1]}")
-    q = quotes.select(F.col(key).alias("_key"), F.struct(*valid).alias("_q"))
-    joined = once(needs).join(q, (F.col(key) == F.col("_key")) & (since <= start) & (until >= stop), "left")
-    n = F.count("_q").alias("n_quotes")
-    out = repeated(joined.groupBy(*needs.columns, "_times").agg(n))
+    that is one, else missing or ambiguous. A need meets the quotes in its start's cells of a grid, so a key with many
+    rows on both sides is no cross of them. A need or quote without a key or an end covers nothing and is not covered."""
+    q = quotes.select(F.col(key).alias("_key"), F.col(valid[0]).alias("_since"), F.col(valid[1]).alias("_until"))
+    whole = (F.col("_since") <= F.col(need[0])) & (F.col("_until") >= F.col(need[1]))
+    joined = intervals.stabbed(once(needs), need[0], q, "_since", "_until", {key: "_key"}, whole)
+    out = repeated(joined.groupBy(*needs.columns, "_times").agg(F.count("_since").alias("n_quotes")))
     return out.withColumn("status", F.when(F.col("n_quotes") == 1, "covered").when(F.col("n_quotes") == 0, "missing").otherwise("ambiguous"))
 
 
@@ -113,20 +115,27 @@ def reconcile(official: DataFrame, vendor: DataFrame, key: list[str], fields: li
 
 def first_after_last_before(marks: DataFrame, quotes: DataFrame, key: str, at: str, time: str, value: str, wait: str, stale: str) -> DataFrame:
     """marks with entry, the value of the first quote within wait after at (at it included), and exit, that of the last
-    quote within stale before at (at it included); null where there is none."""
-    after, before = F.col("_t") >= F.col(at), F.col("_t") <= F.col(at)
-    near = (F.col("_t") <= F.col(at) + F.expr(f"INTERVAL {wait}")) & (F.col("_t") >= F.col(at) - F.expr(f"INTERVAL {stale}"))
-    q = quotes.select(F.col(key).alias("_key"), F.col(time).alias("_t"), F.col(value).alias("_v"))
-    joined = once(marks).join(q, (F.col(key) == F.col("_key")) & near, "left")
-    found = joined.groupBy(*marks.columns, "_times").agg(
-        F.min_by("_v", F.when(after, F.struct("_t", "_v"))).alias("entry"),
-        F.max_by("_v", F.when(before, F.struct("_t", "_v"))).alias("exit"),
-    )
-    return repeated(found)
+    quote within stale before at (at it included); null where there is none. Of quotes at one time the smaller value is
+    first and the larger last.
+
+    Marks and quotes are put in one order and the nearest quote is carried to each mark, from part to part of the
+    order, so no pairs are made and no key must be in one task.
+    """
+    q = quotes.filter(F.col(time).isNotNull()).select(F.col(key), F.col(time).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("_q"))
+    lines = marks.withColumn("_t", F.col(at)).withColumn("_side", F.lit(1)).unionByName(q, allowMissingColumns=True)
+    place = F.col("_q")["v"]
+    before = ordered.carried(lines, ["_t", "_side", place.asc_nulls_first()], "_q", "_exit", [key])
+    both = ordered.carried(before, [F.col("_t").desc(), "_side", place.desc_nulls_first()], "_q", "_entry", [key]).filter("_side = 1")
+    late, early = F.col(at) + F.expr(f"INTERVAL {wait}"), F.col(at) - F.expr(f"INTERVAL {stale}")
+    found = F.when(F.col(key).isNotNull() & (F.col("_entry")["t"] <= late), F.col("_entry")["v"])
+    left = F.when(F.col(key).isNotNull() & (F.col("_exit")["t"] >= early), F.col("_exit")["v"])
+    return both.select(*marks.columns, found.alias("entry"), left.alias("exit"))
 
 
 def gaps(days: DataFrame, spine: DataFrame, key: str, day: str) -> DataFrame:
-    """Days of the spine between a key's first and last day that the key does not have."""
-    ends = days.groupBy(key).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
-    inside = spine.select(day).distinct().join(ends, F.col(day).between(F.col("_lo"), F.col("_hi"))).select(key, day)
+    """Days of the spine between a key's first and last day that the key does not have. day: a date; each key's days are
+    counted out, so the spine is met by equality."""
+    ends = days.groupBy(key).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi")).filter("_lo IS NOT NULL")
+    every = ends.select(key, F.explode(F.sequence("_lo", "_hi")).alias(day))
+    inside = every.join(spine.select(day).distinct(), day).select(key, day)
     return inside.join(days.select(key, day), [key, day], "left_anti")

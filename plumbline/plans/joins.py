@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import timeline
+from ..operators import intervals, ordered, timeline
 from .registry import Tables, query
 
 
@@ -92,8 +92,8 @@ def reconcile_sources(t: Tables) -> DataFrame:
 @query("""WITH p AS (SELECT source, doc_id, lag(doc_id) OVER w AS previous, lag(n_chars) OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))
  SELECT doc_id, previous, CASE WHEN previous IS NULL THEN 'first' WHEN n < 300 THEN 'unusable' ELSE 'pair' END AS status FROM p""")
 def predecessor_pairs(t: Tables) -> DataFrame:
-    line = Window.partitionBy("source").orderBy("doc_id")
-    before = t.documents.select("doc_id", F.lag("doc_id").over(line).alias("previous"), F.lag("n_chars").over(line).alias("n"))
+    rows = t.documents.select("source", "doc_id", "n_chars")
+    before = ordered.with_previous(rows, ["doc_id"], ["doc_id", "n_chars"], ["previous", "n"], ["source"])
     return before.select("doc_id", "previous", F.when(F.col("previous").isNull(), "first").when(F.col("n") < 300, "unusable").otherwise("pair").alias("status"))
 
 
@@ -102,8 +102,10 @@ def predecessor_pairs(t: Tables) -> DataFrame:
  FROM supplier s LEFT JOIN q ON q.g = s.s_nationkey AND s.s_acctbal >= q.lo AND s.s_acctbal < q.hi GROUP BY 1""")
 def containment_mapping(t: Tables) -> DataFrame:
     bands = t.customer.select("c_custkey", F.col("c_acctbal").alias("lo"), (F.col("c_acctbal") + 50).alias("hi"), F.col("c_nationkey").alias("g"))
-    inside = (F.col("g") == F.col("s_nationkey")) & (F.col("s_acctbal") >= F.col("lo")) & (F.col("s_acctbal") < F.col("hi"))
-    n = t.supplier.join(bands, inside, "left").groupBy("s_suppkey").agg(F.count("c_custkey").alias("n"))
+    inside = (F.col("s_acctbal") >= F.col("lo")) & (F.col("s_acctbal") < F.col("hi"))
+    suppliers = t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
+    met = intervals.stabbed(suppliers, "s_acctbal", bands, "lo", "hi", {"s_nationkey": "g"}, inside)
+    n = met.groupBy("s_suppkey").agg(F.count("c_custkey").alias("n"))
     return n.withColumn("status", F.when(F.col("n") == 1, "mapped").when(F.col("n") == 0, "missing").otherwise("ambiguous"))
 
 

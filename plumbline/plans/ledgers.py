@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from ..operators import ledger
+from ..operators import ledger, ordered
 from .registry import Tables, query
 
 
@@ -20,14 +19,10 @@ def kill_ledger_union(t: Tables) -> DataFrame:
     killed = t.orders.filter("o_orderpriority = '1-URGENT'").select("o_orderkey", F.col("o_totalprice").alias("amount"), F.lit("KILLED").alias("verdict"), keep)
     screen = t.orders.filter("o_orderpriority = '5-LOW'").select("o_orderkey", (F.col("o_totalprice") / 2).alias("amount"), F.lit("SCREEN").alias("verdict"), keep)
     both = ledger.tagged_union({"killed": killed, "screen": screen})
-    counts = both.groupBy("segment").agg(F.count("*").alias("n_segment"), F.count_if("keep").alias("n_keep"))
-    # the place in the whole ledger: each segment is numbered by itself and begins where those before it end
-    within = Window.partitionBy("segment").orderBy(F.desc("keep"), F.desc("amount"), "o_orderkey")
-    starts = counts.join(both.select("segment", "segment_order").distinct(), "segment").select(
-        "segment", "n_segment", "n_keep", (F.sum("n_segment").over(Window.orderBy("segment_order")) - F.col("n_segment")).alias("start")
-    )  # a row for each segment
-    numbered = both.withColumn("k", F.row_number().over(within)).join(F.broadcast(starts), "segment")
-    return numbered.select("o_orderkey", F.round("amount", 6).alias("amount"), "verdict", "segment", "segment_order", (F.col("start") + F.col("k")).alias("place"), "n_segment", "n_keep")
+    counts = both.groupBy("segment").agg(F.count("*").alias("n_segment"), F.count_if("keep").alias("n_keep"))  # a row for each segment
+    line = "segment_order", F.desc("keep"), F.desc("amount"), "o_orderkey"
+    numbered = ordered.numbered(both, line, into="place").join(F.broadcast(counts), "segment")
+    return numbered.select("o_orderkey", F.round("amount", 6).alias("amount"), "verdict", "segment", "segment_order", "place", "n_segment", "n_keep")
 
 
 @query("""SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice, k AS rank, greatest(0, n - 15) AS more FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE k <= 15""")
@@ -51,15 +46,15 @@ def declared_order(t: Tables) -> DataFrame:
 
 @query("""SELECT p_brand, p_partkey, lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INT, '0') AS number FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS n FROM part)""")
 def display_index(t: Tables) -> DataFrame:
-    line = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
-    return t.part.select("p_brand", "p_partkey", S.padded(F.row_number().over(line), 4).alias("number"))
+    rows = ordered.numbered(t.part.select("p_brand", "p_partkey", "p_retailprice"), [F.desc("p_retailprice"), "p_partkey"], ["p_brand"])
+    return rows.select("p_brand", "p_partkey", S.padded(F.col("number"), 4).alias("number"))
 
 
 @query("""SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY coalesce(CASE WHEN c_acctbal > 1000 THEN c_acctbal END, 0), c_custkey) AS place FROM customer""")
 def null_as_zero_sort(t: Tables) -> DataFrame:
     known = F.when(F.col("c_acctbal") > 1000, F.col("c_acctbal"))
-    line = Window.partitionBy("c_mktsegment").orderBy(F.coalesce(known, F.lit(0.0)), "c_custkey")
-    return t.customer.select("c_mktsegment", "c_custkey", F.row_number().over(line).cast("long").alias("place"))
+    rows = t.customer.select("c_mktsegment", "c_custkey", F.coalesce(known, F.lit(0.0)).alias("balance"))
+    return ordered.numbered(rows, ["balance", "c_custkey"], ["c_mktsegment"], into="place", keep=["c_mktsegment", "c_custkey"])
 
 
 @query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15""")

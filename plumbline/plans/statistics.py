@@ -158,7 +158,8 @@ def rank_ic(t: Tables) -> DataFrame:
 def calendar_complete(t: Tables) -> DataFrame:
     r = returns(t)
     ends = r.groupBy("sleeve").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    spine = r.select("day").distinct().join(F.broadcast(ends), F.col("day").between(F.col("lo"), F.col("hi"))).select("sleeve", "day")
+    own = ends.select("sleeve", F.explode(F.sequence("lo", "hi")).alias("day"))  # met by equality, not by a range
+    spine = own.join(r.select("day").distinct(), "day").select("sleeve", "day")
     return spine.join(r, ["sleeve", "day"], "left").groupBy("sleeve").agg(
         F.count("*").alias("sessions"), F.count_if(F.col("r").isNull()).alias("inactive"), F.round(F.avg(F.coalesce("r", F.lit(0.0))), 6).alias("mean")
     )

@@ -47,6 +47,7 @@ def keyed_insert(target: str, key: str):
 def obligations(stream: DataFrame, key: str, kind: str, quantity: str, at: str, lateness: str, term_seconds: int) -> DataFrame:
     """key, open and status of each key after each batch: rows of kind 'due' add to what is owed, rows of kind 'fill' take
     off it. The balance is signed, so a fill that comes before its due row counts and the order of rows does not matter;
+    a key whose balance is zero has no state, as if it had never been seen.
     open is never below zero. status is settled, open or, once the watermark is term_seconds past the earliest due row
     since the key was last settled, overdue; a key that no row reaches any more is reported then by its timer. Rows with
     a null quantity count for nothing."""
@@ -62,9 +63,12 @@ def obligations(stream: DataFrame, key: str, kind: str, quantity: str, at: str,
         first = None if owed <= 0 else first
         limit = None if first is None else first + term_seconds * 1000
         now = state.getCurrentWatermarkMs()
-        state.update((owed, first))
-        if limit is not None and limit > now:
-            state.setTimeoutTimestamp(limit)
+        if owed == 0:
+            state.remove()
+        else:
+            state.update((owed, first))
+            if limit is not None and limit > now:
+                state.setTimeoutTimestamp(limit)
         status = "settled" if owed <= 0 else "overdue" if limit is not None and limit <= now else "open"
         yield pd.DataFrame({key: [group[0]], "open": [max(0.0, owed)], "status": [status]})
 

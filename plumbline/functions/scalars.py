@@ -56,6 +56,46 @@ def short_hash(digest: Column) -> Column:
     return F.concat(F.substring(bare, 1, 12), F.lit("..."), F.right(bare, F.lit(6)))
 
 
+def linear_scale(x: Column, low: Column, high: Column, to_low: Column, to_high: Column) -> Column:
+    """x of the domain low to high in the range to_low to to_high, beyond both ends too; a domain without length counts
+    as one of length 1."""
+    span = F.when(high == low, 1.0).otherwise(high - low)
+    return to_low + (x - low) / span * (to_high - to_low)
+
+
+def decades(low: Column, high: Column) -> Column:
+    """The whole powers of ten from low to high, as exponents; none where no power lies between or an end is not positive."""
+    first, last = F.ceil(F.log10(low)).cast("int"), F.floor(F.log10(high)).cast("int")
+    return F.when((low > 0) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def smoothstep(x: Column, low: Column, high: Column) -> Column:
+    """0 up to low, 1 from high on, and between them the cubic that is level at both; a step at low where they are equal."""
+    share = F.when(high == low, (x >= low).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / (high - low))))
+    return share * share * (3 - 2 * share)
+
+
+def on_breakpoints(x: Column, points: Column) -> Column:
+    """The height at x of the line through points, array<struct<x, y>>, which are sorted here; level beyond both ends. Of
+    points at one place the last in order holds from there on. Null without points."""
+
+    def at(sorted_: Column) -> Column:
+        place = F.size(F.filter(sorted_, lambda p: p["x"] <= x))  # points up to x
+        a, b = F.try_element_at(sorted_, place), F.try_element_at(sorted_, place + 1)
+        between = a["y"] + (b["y"] - a["y"]) * (x - a["x"]) / (b["x"] - a["x"])
+        return F.when(F.size(sorted_) == 0, None).when(place == 0, F.try_element_at(sorted_, F.lit(1))["y"]).when(place == F.size(sorted_), a["y"]).otherwise(between)
+
+    return F.transform(F.array(F.array_sort(points)), at)[0]
+
+
+def boolean_entries(document: Column) -> Column:
+    """map<string, boolean> of the entries of a JSON object whose values are booleans; numbers, strings, nulls, lists and
+    objects are no gates. Null for what is no JSON object."""
+    whole = F.try_parse_json(document)
+    entries = F.when(F.startswith(F.schema_of_variant(whole), F.lit("OBJECT")), whole).cast("map<string,variant>")
+    return F.transform_values(F.map_filter(entries, lambda _, v: F.schema_of_variant(v) == "BOOLEAN"), lambda _, v: v.cast("boolean"))
+
+
 def shortened(key: Column, most: int = 20, keep: int = 16) -> Column:
     return F.when(F.length(key) > most, F.concat(F.substring(key, 1, keep), F.lit("…"))).otherwise(key)
 
@@ -82,9 +122,9 @@ def padded(number: Column, width: int = 2) -> Column:
 
 
 def signed_percent(x: Column, digits: int = 2) -> Column:
-    """'+1.50%'; zero has no sign; null where x is not finite."""
+    """'+1234.50%', thousands not grouped; zero has no sign; null where x is not finite."""
     x = finite(x)
-    return F.concat(F.when(x > 0, "+").otherwise(""), F.format_number(x, digits), F.lit("%"))
+    return F.concat(F.when(x > 0, "+").otherwise(""), F.format_string(f"%.{digits}f", x), F.lit("%"))
 
 
 def compact_amount(x: Column) -> Column:

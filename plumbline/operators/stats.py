@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from statistics import NormalDist
 
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from . import ordered
+
 
 def sharpe(r: Column, periods: float = 252) -> Column:
     """Annualised mean over sample standard deviation."""
@@ -90,19 +94,70 @@ def overfitting(rows: DataFrame, config: str, at: str, r: str, blocks: int = 8)
     return best.agg(F.avg(low).alias("pbo"), F.count("*").alias("n_splits"))
 
 
-def ols_residual(rows: DataFrame, cohort: str, y: str, xs: list[str], category: str, key: str, least_df: int = 10) -> DataFrame:
-    """key, cohort and residual of y on an intercept, xs and one column for each category but the first, by cohort.
-    Cohorts with fewer than least_df degrees of freedom are left out. A cohort (a month) is solved in one task."""
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(frame)), frame[xs].to_numpy(float), pd.get_dummies(frame[category]).to_numpy(float)[:, 1:]])
-        if len(frame) - np.linalg.matrix_rank(x) < least_df:
-            return pd.DataFrame({key: [], cohort: [], "residual": []})
-        beta, *_ = np.linalg.lstsq(x, frame[y].to_numpy(float), rcond=None)
-        return pd.DataFrame({key: frame[key], cohort: frame[cohort], "residual": frame[y] - x @ beta})
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(cohort).applyInPandas(solve, f"{key} {kinds[key]}, {cohort} {kinds[cohort]}, residual double")
+def ols_residual(rows: DataFrame, cohort: str, y: str, xs: list[str], category: str, key: str, least_df: int = 10, least_distinct: int = 10) -> DataFrame:
+    """key, cohort and residual of y on an intercept, xs and the categories, by cohort. Cohorts with fewer than least_df
+    degrees of freedom or least_distinct different residuals (to nine places of their spread) are left out; a row with a
+    null or not finite number is in no fit.
+
+    The categories' columns are taken out by the means within them, what is left of y and xs makes sums of products for
+    each cohort, and only those few numbers are solved in a task; residuals are made where the rows are. Standardised
+    columns keep the sums well conditioned; a column that depends on others is given no weight.
+    """
+    columns = [y, *xs]
+    finite = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf")) for c in columns]
+    held = rows.select(key, cohort, category, *(F.col(c).cast("double").alias(c) for c in columns)).filter(reduce(Column.__and__, finite))
+    means = held.groupBy(cohort, category).agg(*(F.avg(c).alias(f"_m_{c}") for c in columns))
+    inside = held.join(means, [cohort, category]).select(key, cohort, category, *((F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns))
+    scale = lambda c: F.greatest(F.sqrt(F.avg(F.col(c) * F.col(c))), F.lit(1e-300))
+    scales = inside.groupBy(cohort).agg(F.count("*").alias("_n"), F.count_distinct(category).alias("_groups"), *(scale(c).alias(f"_s_{c}") for c in columns))
+    unit = inside.join(scales, cohort).select(key, cohort, "_n", "_groups", *(F.col(f"_s_{c}") for c in columns), *((F.col(c) / F.col(f"_s_{c}")).alias(c) for c in columns))
+    pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
+    sums = [F.sum(F.col(a) * F.col(b)).alias(f"_g_{i}") for i, (a, b) in enumerate(pairs)] + [F.sum(F.col(a) * F.col(y)).alias(f"_h_{i}") for i, a in enumerate(xs)]
+    gram = unit.groupBy(cohort, "_n", "_groups").agg(*sums)
+    kind = dict(rows.dtypes)[cohort]
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            betas, ranks = [], []
+            for r in frame.to_dict("records"):
+                g = np.zeros((len(xs), len(xs)))
+                for i, (a, b) in enumerate(pairs):
+                    g[xs.index(a), xs.index(b)] = g[xs.index(b), xs.index(a)] = r[f"_g_{i}"]
+                h = np.array([r[f"_h_{i}"] for i in range(len(xs))])
+                betas.append((np.linalg.pinv(g, rcond=1e-10, hermitian=True) @ h).tolist())
+                ranks.append(int(np.linalg.matrix_rank(g, tol=1e-10 * max(1.0, r["_n"]), hermitian=True)))
+            free = frame["_n"] - frame["_groups"] - np.array(ranks, int)
+            yield pd.DataFrame({cohort: frame[cohort], "_beta": betas, "_free": free})
+
+    solved = gram.mapInPandas(solve, f"{cohort} {kind}, _beta array<double>, _free long").filter(F.col("_free") >= least_df)
+    fit = reduce(Column.__add__, [F.col("_beta")[i] * F.col(x) for i, x in enumerate(xs)])
+    found = unit.join(solved, cohort).select(key, cohort, (F.col(y) - fit).alias("_unit"), F.col(f"_s_{y}").alias("_s"))
+    varied = found.groupBy(cohort).agg(F.count_distinct(F.round("_unit", 9)).alias("_d")).filter(F.col("_d") >= least_distinct).select(cohort)
+    return found.join(varied, cohort, "left_semi").select(key, cohort, (F.col("_unit") * F.col("_s")).alias("residual"))
+
+
+def max_drawdown(rows: DataFrame, by: list[str], order: list[str], level: str, into: str = "max_drawdown") -> DataFrame:
+    """by and into: the deepest fall of level below its highest value so far, as a share of that (0 or below). Rows are
+    in the order of order; null levels don't count.
+
+    A stretch of a series is known by its highest and lowest level and its own worst fall; that of two in a row is the
+    worse of both and of the later one's lowest level below the earlier one's highest. Stretches are parts of a range
+    partition, so a long series is in several tasks.
+    """
+    laid = ordered.laid(rows.filter(F.col(level).isNotNull()).select(*by, *order, level), by, order)
+    inside = Window.partitionBy(ordered.PART, *by).orderBy(ordered.PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    falls = laid.withColumn("_fall", F.col(level) / F.max(level).over(inside) - 1)
+    parts = falls.groupBy(ordered.PART, *by).agg(F.max(level).alias("_top"), F.min(level).alias("_low"), F.min("_fall").alias("_worst"))
+    earlier = Window.partitionBy(*by).orderBy(ordered.PART).rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    joined = parts.withColumn("_before", F.max("_top").over(earlier))
+    worst = F.least("_worst", F.coalesce(F.col("_low") / F.col("_before") - 1, F.lit(0.0)))
+    return joined.groupBy(*by).agg(F.min(worst).alias(into))
+
+
+def equity(rows: DataFrame, by: list[str], order: list[str], r: str, into: str = "equity") -> DataFrame:
+    """rows with into: what 1 has become by each row's return; a null return changes nothing. Returns are above -1."""
+    logs = rows.withColumn("_log", F.log1p(r))
+    return ordered.running_total(logs, order, "_log", "_total", by).withColumn(into, F.exp("_total")).drop("_log", "_total")
 
 
 def bootstrap_bound(rows: DataFrame, by: list[str], index: str, a: str, b: str, draws: int = 2000, block: int = 21, seed: int = 20260816, level: float = 0.95) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,3 +62,26 @@ def near(text: Column, first: str, second: str, gap: int) -> Column:
     """Whether first is followed by second within gap characters of the lower-cased text with blanks collapsed."""
     flat = F.regexp_replace(F.lower(text), r"[ \n\t\r]+", " ")
     return F.coalesce(flat.rlike(f"(?:{first}).{{0,{gap}}}(?:{second})"), F.lit(False))
+
+
+def unexplained(figure: str, explanation: str, window: int):
+    """A function of a text column: array<struct<start, stop>> of the matches of figure, in code points, that have no
+    whole match of explanation, in any case, within window characters of them. Each figure is judged by its own window:
+    places of both are in order, so one walk over them is enough. A null or empty text has none."""
+    figures, reasons = re.compile(figure), re.compile(explanation, re.IGNORECASE)
+
+    def one(text: str | None) -> list[dict[str, int]]:
+        spans = [(m.start(), m.end()) for m in reasons.finditer(text or "")]
+        found, k = [], 0
+        for m in figures.finditer(text or ""):
+            while k < len(spans) and spans[k][0] < m.start() - window:
+                k += 1
+            if k == len(spans) or spans[k][1] > m.end() + window:
+                found.append({"start": m.start(), "stop": m.end()})
+        return found
+
+    @F.pandas_udf("array<struct<start:int,stop:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action=None)
+
+    return run

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import selection
 from .registry import Tables, query
 
 
@@ -68,13 +69,14 @@ def completeness_rates(t: Tables) -> DataFrame:
 def threshold_shares(t: Tables) -> DataFrame:
     q = F.col("l_quantity")
     share = lambda least: F.round(F.avg((q >= least).cast("double")), 6).alias(f"share_{least}")
-    return t.lineitem.groupBy("l_linestatus").agg(F.min(q).alias("low"), F.percentile(q, 0.5).alias("mid"), F.max(q).alias("high"), share(10), share(40))
+    shares = t.lineitem.groupBy("l_linestatus").agg(F.min(q).alias("low"), F.max(q).alias("high"), share(10), share(40))
+    return shares.join(selection.quantiles(t.lineitem, ["l_linestatus"], "l_quantity", {"mid": 0.5}), "l_linestatus")
 
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1""")
 def exact_quantiles(t: Tables) -> DataFrame:
-    q = lambda p: F.round(F.percentile("value", p), 6)
-    return t.events.groupBy("event_type").agg(q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+    found = selection.quantiles(t.events, ["event_type"], "value", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return found.select("event_type", *(F.round(c, 6).alias(c) for c in ("p05", "p50", "p95")))
 
 
 @query("""SELECT flag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM (SELECT *, l_returnflag AS flag FROM lineitem) GROUP BY 1""")

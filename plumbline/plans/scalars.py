@@ -135,10 +135,49 @@ def drop_keys(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.to_json(whole.dropFields("content_hash", "generated_at")).alias("payload"))
 
 
-@query("""SELECT o_orderkey, list_filter(['urgent', 'large', 'open'], lambda g: CASE g WHEN 'urgent' THEN o_orderpriority = '1-URGENT' WHEN 'large' THEN o_totalprice > 200000 ELSE o_orderstatus = 'O' END) AS gates FROM orders""")
+@query("""WITH j AS (SELECT o_orderkey, json_object('urgent', o_orderpriority = '1-URGENT', 'large', CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice > 200000 END, 'open', o_orderstatus = 'O', 'note', o_orderstatus, 'score', o_orderkey) AS j FROM orders),
+ k AS (SELECT o_orderkey, j, list_filter(['large', 'open', 'urgent', 'note', 'score'], lambda g: json_type(j, '$.' || g) = 'BOOLEAN') AS gates FROM j)
+ SELECT o_orderkey, array_to_string(list_filter(gates, lambda g: (j->('$.' || g))::BOOLEAN), ',') AS gates, len(gates) AS total FROM k""")
 def boolean_entries(t: Tables) -> DataFrame:
-    gates = F.create_map(F.lit("urgent"), F.col("o_orderpriority") == "1-URGENT", F.lit("large"), F.col("o_totalprice") > 200000, F.lit("open"), F.col("o_orderstatus") == "O")
-    return t.orders.select("o_orderkey", F.map_keys(F.map_filter(gates, lambda _, v: v)).alias("gates"))
+    """Of documents with values of several types the gates that are booleans, and those of them that hold."""
+    k = F.col("o_orderkey")
+    large = F.when(k % 3 != 0, F.col("o_totalprice") > 200000)
+    document = F.to_json(F.struct((F.col("o_orderpriority") == "1-URGENT").alias("urgent"), large.alias("large"), (F.col("o_orderstatus") == "O").alias("open"), F.col("o_orderstatus").alias("note"), k.alias("score")), {"ignoreNullFields": "false"})
+    gates = t.orders.select("o_orderkey", S.boolean_entries(document).alias("g"))
+    held = F.array_join(F.array_sort(F.map_keys(F.map_filter("g", lambda _, v: v))), ",")
+    return gates.select("o_orderkey", held.alias("gates"), F.size("g").cast("long").alias("total"))
+
+
+@query("""WITH d AS (SELECT c_nationkey, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1)
+ SELECT c_custkey, round(CASE WHEN hi = lo THEN 20 + (c_acctbal - lo) * 80 ELSE 20 + (c_acctbal - lo) / (hi - lo) * 80 END, 6) AS x,
+ round((lambda_s.s * lambda_s.s * (3 - 2 * lambda_s.s)), 6) AS eased FROM (SELECT *, greatest(0, least(1, (c_acctbal - 0) / 5000.0)) AS s FROM customer JOIN d USING (c_nationkey)) lambda_s""")
+def linear_scale(t: Tables) -> DataFrame:
+    """Balances in the range 20 to 100 of their nation's, and eased in between 0 and 5000."""
+    ends = t.customer.groupBy("c_nationkey").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
+    joined = t.customer.join(ends, "c_nationkey")
+    scaled = S.linear_scale(F.col("c_acctbal"), F.col("lo"), F.col("hi"), F.lit(20.0), F.lit(100.0))
+    eased = S.smoothstep(F.col("c_acctbal"), F.lit(0.0), F.lit(5000.0))
+    return joined.select("c_custkey", F.round(scaled, 6).alias("x"), F.round(eased, 6).alias("eased"))
+
+
+@query("""WITH d AS (SELECT c_nationkey, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer WHERE c_acctbal > 0 GROUP BY 1)
+ SELECT c_nationkey, array_to_string(range(ceil(log10(lo))::BIGINT, floor(log10(hi))::BIGINT + 1), ',') AS decades FROM d""")
+def decade_lines(t: Tables) -> DataFrame:
+    ends = t.customer.filter("c_acctbal > 0").groupBy("c_nationkey").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
+    lines = S.decades(F.col("lo"), F.col("hi"))
+    return ends.select("c_nationkey", F.array_join(F.transform(lines, lambda x: x.cast("string")), ",").alias("decades"))
+
+
+@query("""WITH b AS (SELECT s_nationkey AS g, s_acctbal AS x, max(s_suppkey)::DOUBLE AS y FROM supplier GROUP BY ALL), q AS (SELECT c_custkey, c_nationkey AS g, c_acctbal AS x FROM customer),
+ f AS (SELECT c_custkey, q.x, (SELECT arg_max({'x': b.x, 'y': b.y}, b.x) FROM b WHERE b.g = q.g AND b.x <= q.x) AS a, (SELECT arg_min({'x': b.x, 'y': b.y}, b.x) FROM b WHERE b.g = q.g AND b.x > q.x) AS c FROM q WHERE g IN (SELECT g FROM b))
+ SELECT c_custkey, round(CASE WHEN a IS NULL THEN c.y WHEN c IS NULL THEN a.y ELSE a.y + (c.y - a.y) * (x - a.x) / (c.x - a.x) END, 6) AS height FROM f""")
+def breakpoint_line(t: Tables) -> DataFrame:
+    """Customers' balances on the line through their nation's suppliers, sorted by balance; a nation's suppliers stand
+    for the few breakpoints of a curve."""
+    b = t.supplier.groupBy("s_nationkey", "s_acctbal").agg(F.max("s_suppkey").cast("double").alias("y"))
+    curves = b.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.collect_list(F.struct(F.col("s_acctbal").alias("x"), "y")).alias("points"))
+    joined = t.customer.join(curves, "c_nationkey")
+    return joined.select("c_custkey", F.round(S.on_breakpoints(F.col("c_acctbal"), F.col("points")), 6).alias("height"))
 
 
 @query("""SELECT p_partkey, regexp_replace(p_name || ' — ' || p_brand, '\\s*[–—]\\s*', ' - ', 'g') AS name, trim(regexp_replace(replace(p_type, ' ', '  '), '[ \\t\\r\\n]+', ' ', 'g')) AS kind FROM part""")

@@ -10,13 +10,13 @@ from ..operators import stats
 from .registry import Tables, query
 from .windows import DAILY, daily
 
-#: Daily totals jump by whole orders; returns are cut to this range so that their logs and squares stay tame.
-CUT = 0.5
-R = f"""{DAILY}, s AS (SELECT o_orderpriority AS sleeve, day, greatest(-{CUT}, least({CUT}, r)) AS r FROM d WHERE r IS NOT NULL)"""
+#: Daily totals jump by whole orders, so a sleeve's return is the change over the sum of both days' totals, which is
+#: between -1 and 1 for any of them.
+R = f"""{DAILY}, s AS (SELECT o_orderpriority AS sleeve, day, r / (r + 2) AS r FROM d WHERE r IS NOT NULL)"""
 
 
 def returns(t: Tables) -> DataFrame:
-    r = F.greatest(F.lit(-CUT), F.least(F.lit(CUT), F.col("r")))
+    r = F.col("r") / (F.col("r") + 2)
     return daily(t).filter("r IS NOT NULL").select(F.col("o_orderpriority").alias("sleeve"), "day", r.alias("r"))
 
 
@@ -197,10 +197,46 @@ def pbo_cscv(t: Tables) -> DataFrame:
     return stats.overfitting(returns(t), "sleeve", "day", "r")
 
 
-@query()
+@query("""WITH r AS (SELECT o_orderkey, year(o_orderdate) AS cohort, o_orderpriority AS g, o_totalprice AS y, o_custkey::DOUBLE AS a, dayofyear(o_orderdate)::DOUBLE AS b FROM orders),
+ w AS (SELECT o_orderkey, cohort, g, y - avg(y) OVER p AS y, a - avg(a) OVER p AS a, b - avg(b) OVER p AS b FROM r WINDOW p AS (PARTITION BY cohort, g)),
+ m AS (SELECT cohort, count(*) - count(DISTINCT g) - 2 AS df, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS b_y FROM w GROUP BY 1)
+ SELECT o_orderkey, cohort, round(w.y - a * (ay * bb - b_y * ab) / (aa * bb - ab * ab) - b * (b_y * aa - ay * ab) / (aa * bb - ab * ab), 4) AS residual FROM w JOIN m USING (cohort) WHERE df >= 10""")
 def ols_residual(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.year("o_orderdate").alias("cohort"), "o_orderpriority", "o_totalprice", F.col("o_custkey").cast("double").alias("x1"), F.dayofyear("o_orderdate").cast("double").alias("x2"))
-    return stats.ols_residual(rows, "cohort", "o_totalprice", ["x1", "x2"], "o_orderpriority", "o_orderkey")
+    found = stats.ols_residual(rows, "cohort", "o_totalprice", ["x1", "x2"], "o_orderpriority", "o_orderkey")
+    return found.withColumn("residual", F.round("residual", 4))
+
+
+@query(f"""WITH {R}, e AS (SELECT sleeve, day, exp(sum(ln(1 + r)) OVER (PARTITION BY sleeve ORDER BY day)) AS equity FROM s), f AS (SELECT sleeve, day, equity, equity / max(equity) OVER (PARTITION BY sleeve ORDER BY day) - 1 AS fall FROM e),
+ g AS (SELECT sleeve, count(*) AS n, arg_max(equity, day) AS final_equity, min(fall) AS worst FROM f GROUP BY 1)
+ SELECT sleeve, n, round(final_equity, 6) AS final_equity, round(final_equity - 1, 6) AS total_return, round(pow(final_equity, 252.0 / n) - 1, 6) AS cagr, round(worst, 6) AS max_drawdown FROM g""")
+def equity_summary(t: Tables) -> DataFrame:
+    r = returns(t)
+    grown = stats.equity(r, ["sleeve"], ["day"], "r")
+    final = r.groupBy("sleeve").agg(F.count("*").alias("n"), (stats.total_return(F.col("r")) + 1).alias("e"))
+    worst = stats.max_drawdown(grown, ["sleeve"], ["day"], "equity")
+    return final.join(worst, "sleeve").select(
+        "sleeve", "n", F.round("e", 6).alias("final_equity"), F.round(F.col("e") - 1, 6).alias("total_return"),
+        F.round(F.pow("e", F.lit(252.0) / F.col("n")) - 1, 6).alias("cagr"), F.round("max_drawdown", 6).alias("max_drawdown"),
+    )
+
+
+@query(f"""WITH {R}, k AS (SELECT DISTINCT sleeve FROM s), b AS (SELECT k.sleeve, s.day, avg(s.r) AS whole, avg(CASE WHEN s.sleeve <> k.sleeve THEN s.r END) AS rest FROM k, s GROUP BY ALL),
+ e AS (SELECT sleeve, day, exp(sum(ln(1 + whole)) OVER w) AS a, exp(sum(ln(1 + coalesce(rest, 0))) OVER w) AS b FROM b WINDOW w AS (PARTITION BY sleeve ORDER BY day)),
+ f AS (SELECT sleeve, a / max(a) OVER w - 1 AS fa, b / max(b) OVER w - 1 AS fb FROM e WINDOW w AS (PARTITION BY sleeve ORDER BY day))
+ SELECT sleeve, round(min(fa), 6) AS with_sleeve, round(min(fb), 6) AS without_sleeve, round(min(fa) - min(fb), 6) AS drawdown_delta FROM f GROUP BY 1""")
+def drawdown_delta(t: Tables) -> DataFrame:
+    """The deepest fall of the book of all sleeves and of the book without each, a day's mean being its return."""
+    r = returns(t)
+    days = r.groupBy("day").agg(F.sum("r").alias("all"), F.count("r").alias("n"))
+    names = r.select("sleeve").distinct()  # a row a sleeve
+    own = names.withColumn("one", F.lit(1)).join(days.withColumn("one", F.lit(1)), "one").drop("one").join(r, ["sleeve", "day"], "left")
+    there = F.when(F.col("r").isNotNull(), 1).otherwise(0)
+    rest = F.coalesce((F.col("all") - F.coalesce("r", F.lit(0.0))) / F.nullif(F.col("n") - there, F.lit(0)), F.lit(0.0))
+    books = own.select("sleeve", "day", F.explode(F.create_map(F.lit("with_sleeve"), F.col("all") / F.col("n"), F.lit("without_sleeve"), rest)).alias("book", "b"))
+    worst = stats.max_drawdown(stats.equity(books, ["sleeve", "book"], ["day"], "b"), ["sleeve", "book"], ["day"], "equity", "worst")
+    wide = worst.groupBy("sleeve").agg(*(F.max(F.when(F.col("book") == x, F.col("worst"))).alias(x) for x in ("with_sleeve", "without_sleeve")))
+    return wide.select("sleeve", F.round("with_sleeve", 6).alias("with_sleeve"), F.round("without_sleeve", 6).alias("without_sleeve"), F.round(F.col("with_sleeve") - F.col("without_sleeve"), 6).alias("drawdown_delta"))
 
 
 @query()

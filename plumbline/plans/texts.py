@@ -9,33 +9,17 @@ from ..operators import text as T
 from .registry import Tables, query
 
 
-@query("""SELECT doc_id, regexp_matches(regexp_replace(lower(text), '[ \\n\\t\\r]+', ' ', 'g'), '(?:the).{0,40}(?:ing)') AS near FROM documents""")
-def proximity_match(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.near(F.col("text"), "the", "ing", 40).alias("near"))
-
-
-@query("""WITH h AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[0-9]{3,}')) AS hit, generate_subscripts(regexp_extract_all(text, '[0-9]{3,}'), 1) AS k, regexp_split_to_array(text, '[0-9]{3,}') AS g, regexp_extract_all(text, '[0-9]{3,}') AS a FROM documents),
- p AS (SELECT doc_id, text, hit, (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(a[1:k-1], lambda x: length(x))), 0))::INT AS start FROM h)
- SELECT doc_id, start, hit, substr(text, greatest(0, start - 500) + 1, start - greatest(0, start - 500) + length(hit) + 500) AS context FROM p""")
-def context_windows(t: Tables) -> DataFrame:
-    return T.context_windows(t.documents, "doc_id", "text", "[0-9]{3,}")
-
-
-SHINGLES = """w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(text), '[ \\n\\t\\r]+'), lambda x: x <> '') AS w FROM documents),
- s AS (SELECT doc_id, source, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) ELSE [] END AS s FROM w)"""
-
-
-@query(f"""WITH {SHINGLES}, p AS (SELECT doc_id, lag(doc_id) OVER v AS previous, s, lag(s) OVER v AS b FROM s WINDOW v AS (PARTITION BY source ORDER BY doc_id))
- SELECT doc_id, previous, round(len(list_intersect(s, b)) / nullif(len(list_distinct(list_concat(s, b))), 0), 6) AS similarity FROM p WHERE previous IS NOT NULL""")
-def shingle_jaccard_adjacent(t: Tables) -> DataFrame:
-    return T.adjacent_similarity(t.documents, "source", "doc_id", "text").withColumn("similarity", F.round("similarity", 6))
-
-
-@query("""SELECT doc_id, regexp_matches(regexp_replace(lower(text), '[ \\n\\t\\r]+', ' ', 'g'), '(?:[0-9]{3}).{0,120}(?:licen[sc]e|copyright)') AS explained, len(regexp_extract_all(text, '[0-9]{3,}')) AS n FROM documents WHERE regexp_matches(text, '[0-9]{3,}')""")
+@query("""WITH h AS (SELECT doc_id, text, regexp_extract_all(text, '[0-9]{3,}') AS hits, regexp_split_to_array(text, '[0-9]{3,}') AS gaps FROM documents WHERE regexp_matches(text, '[0-9]{3,}')),
+ e AS (SELECT doc_id, text, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM h),
+ p AS (SELECT doc_id, text, i, len(hits[i]) AS n, list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0) AS start FROM e),
+ j AS (SELECT doc_id, i, start, start + n AS stop, regexp_matches(substring(text, greatest(start - 120, 0)::BIGINT + 1, (start + n + 120 - greatest(start - 120, 0))::BIGINT), 'licen[sc]e|copyright', 'i') AS explained FROM p)
+ SELECT doc_id, count(*) AS n, coalesce(string_agg(start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY i) FILTER (WHERE NOT explained), '') AS unexplained FROM j GROUP BY 1""")
 def retraction_window(t: Tables) -> DataFrame:
+    """The figures of each text that no explanation stands near."""
+    found = T.unexplained("[0-9]{3,}", "licen[sc]e|copyright", 120)(F.col("text"))
     hits = F.size(F.regexp_extract_all("text", F.lit("[0-9]{3,}"), 0)).cast("long")
-    explained = T.near(F.col("text"), "[0-9]{3}", "licen[sc]e|copyright", 120)
-    return t.documents.filter(F.col("text").rlike("[0-9]{3,}")).select("doc_id", explained.alias("explained"), hits.alias("n"))
+    shown = F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    return t.documents.filter(F.col("text").rlike("[0-9]{3,}")).select("doc_id", hits.alias("n"), shown.alias("unexplained"))
 
 
 @query("""SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars, round(avg(n_chars), 4) AS mean FROM documents GROUP BY ALL""")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import ed25519
+
 COMPARE = {
     ">=": lambda x, y: x >= y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, "<": lambda x, y: x < y, "=": lambda x, y: x == y,
 }
@@ -90,28 +92,33 @@ def _without_time(text: pd.Series) -> pd.Series:
 
 def verify_signatures(documents: DataFrame, name: str = "name", payload: str = "payload", digest: str = "digest", signature: str = "signature", key: str = "key") -> DataFrame:
     """name and status: PASS if the stated digest is that of the canonical payload and the Ed25519 signature (hex) over
-    the digest's bytes fits the public key (hex), FAIL if not, SKIP where the library for it is not installed."""
-    try:
-        from cryptography.hazmat.primitives.asymmetric.ed25519 import Ed25519PublicKey
-    except ImportError:
-        return documents.select(name, F.lit("SKIP").alias("status"))
+    the digest's bytes fits the public key (hex), else FAIL, also where one of them is null or malformed."""
 
     @F.pandas_udf("boolean")
     def fits(keys: pd.Series, signatures: pd.Series, digests: pd.Series) -> pd.Series:
-        def one(k: str, s: str, d: str) -> bool:
+        def one(*hexes: str | None) -> bool:
             try:
-                Ed25519PublicKey.from_public_bytes(bytes.fromhex(k)).verify(bytes.fromhex(s), bytes.fromhex(d))
-                return True
-            except Exception:
+                return ed25519.verify(*(bytes.fromhex(x) for x in hexes))
+            except (TypeError, ValueError):  # not hexadecimal, or null
                 return False
 
-        return pd.Series([one(*x) for x in zip(keys, signatures, digests)])
+        return pd.Series([one(*x) for x in zip(keys, signatures, digests)], dtype=bool)
 
     same = F.sha2(canonical_json(F.col(payload)), 256) == F.col(digest)
     ok = F.coalesce(same & fits(F.col(key), F.col(signature), F.col(digest)), F.lit(False))
     return documents.select(name, F.when(ok, "PASS").otherwise("FAIL").alias("status"))
 
 
+def signed(documents: DataFrame, secret: bytes, digest: str = "digest", signature: str = "signature") -> DataFrame:
+    """documents with signature, the Ed25519 signature (hex) over the bytes of the digest (hex); null for a null one."""
+
+    @F.pandas_udf("string")
+    def run(digests: pd.Series) -> pd.Series:
+        return digests.map(lambda x: None if x is None else ed25519.sign(secret, bytes.fromhex(x)).hex())
+
+    return documents.withColumn(signature, run(digest))
+
+
 def state_hash(rows: DataFrame, group: str, order: list[str], cut: Column) -> DataFrame:
     """group and state: a digest of the rows before cut, in order. Rows after it cannot change it."""
     before = rows.filter(cut)

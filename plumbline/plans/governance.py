@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ed25519
 from ..operators import governance as G
 from .registry import Tables, query
 
@@ -66,24 +65,32 @@ def slice_invariance(t: Tables) -> DataFrame:
     return whole.join(cut, "user_id", "left").select("user_id", F.coalesce(F.col("state") == F.col("again"), F.lit(False)).alias("invariant"))
 
 
-def artifacts() -> list[tuple[str, str]]:
-    """Small documents of our own: sound, altered, hashed before their time stamp was put in, without a hash, broken."""
-    body = {"schema": "demo/1", "n": 100000, "x": 100000.0, "name": "é", "nested": {"b": [1, None], "a": True}}
-    digest = lambda d: "sha256:" + G.sha256_hex(json.dumps(d, sort_keys=True, separators=(",", ":")))
-    stamped = body | {"generated_at": "2026-01-01"}
-    rows = {
-        "sound": body | {"content_hash": digest(body)}, "altered": body | {"n": 1, "content_hash": digest(body)},
-        "late_stamp": stamped | {"content_hash": digest(body)}, "unsigned": body, "manifest": body | {"content_hash": "sha256:0"},
-    }
-    return [*((k, json.dumps(v, ensure_ascii=False)) for k, v in rows.items()), ("broken", '{"a": ')]
+@query("""WITH r AS (SELECT conv_id, turn, length(text) AS n, conv_id % 5 AS kind FROM conversations),
+ c AS (SELECT *, '{"conv_id":' || conv_id || ',"n":' || n || ',"turn":' || turn || '}' AS bare, '{"conv_id":' || conv_id || ',"generated_at":"2026-01-01","n":' || n || ',"turn":' || turn || '}' AS stamped FROM r)
+ SELECT conv_id || '/' || turn AS name, CASE kind WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 4 THEN 'FAIL' ELSE 'SKIP' END AS status,
+ CASE kind WHEN 3 THEN NULL WHEN 4 THEN sha256(stamped) ELSE sha256(bare) END AS digest, kind IN (0, 4) AS matches_without_time FROM c""")
+def content_hash_verify(t: Tables) -> DataFrame:
+    """A document for each turn, by the conversation's number sound, hashed before it was altered, without a hash, broken,
+    or hashed before its time stamp was put in."""
+    kind = F.col("conv_id") % 5
+    rows = t.conversations.select("conv_id", "turn", F.length("text").alias("n"))
+    bare = lambda n: F.format_string('{"conv_id":%d,"n":%d,"turn":%d}', "conv_id", n, "turn")
+    digest = F.sha2(bare(F.when(kind == 1, F.col("n") + 1).otherwise(F.col("n"))), 256)
+    stated = F.when(kind != 2, F.format_string(', "content_hash": "sha256:%s"', digest)).otherwise("")
+    stamp = F.when(kind == 4, ', "generated_at": "2026-01-01"').otherwise("")
+    raw = F.concat(F.format_string('{"turn": %d, "n": %d, "conv_id": %d', "turn", "n", "conv_id"), stamp, stated, F.when(kind == 3, "").otherwise("}"))
+    return G.verify_hashes(rows.select(F.concat_ws("/", "conv_id", "turn").alias("name"), raw.alias("raw")), ["manifest"])
 
 
-@query()
-def content_hash_verify(t: Tables) -> DataFrame:
-    return G.verify_hashes(t.spark.createDataFrame(artifacts(), "name string, raw string"), ["manifest"])
+#: The secret of a published test vector, a stand-in for one that nobody knows.
+TEST_SECRET = bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60")
 
 
-@query()
+@query("""SELECT source AS name, CASE WHEN count(*) % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM documents GROUP BY 1""")
 def signature_verify(t: Tables) -> DataFrame:
-    rows = [("note", '{"a":1}', G.sha256_hex('{"a":1}'), "00" * 64, "00" * 32)]
-    return G.verify_signatures(t.spark.createDataFrame(rows, "name string, payload string, digest string, signature string, key string"))
+    """A signed manifest for each source; those that count an odd number of documents are signed for one more."""
+    sources = t.documents.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    payload = lambda n: F.format_string('{"chars":%d,"n":%d}', "chars", n)
+    stated = F.sha2(payload(F.col("n") + F.col("n") % 2), 256)
+    signed = G.signed(sources.select("name", payload("n").alias("payload"), stated.alias("digest")), TEST_SECRET)
+    return G.verify_signatures(signed.withColumn("key", F.lit(ed25519.public_key(TEST_SECRET).hex())))

@@ -54,7 +54,11 @@ def rolling_upper_median(t: Tables) -> DataFrame:
     return held.filter(F.size("v") == 60).select("event_id", F.col("v")[30].alias("upper_median"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, value) AS i FROM events),
+ s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0::DOUBLE AS slow, 0 AS stage FROM events UNION ALL
+  SELECT user_id, i, CASE WHEN x > 150 THEN 0 ELSE x END, stage + CASE WHEN x > 150 THEN 1 ELSE 0 END
+  FROM (SELECT s.user_id, o.i, s.stage, CASE WHEN o.value > 50 THEN s.slow + o.value ELSE greatest(0, s.slow - o.value) END AS x FROM s JOIN o ON o.user_id = s.user_id AND o.i = s.i + 1))
+ SELECT user_id, arg_max(slow, i) AS slow, arg_max(stage, i) AS stage FROM s GROUP BY 1""")
 def staged_recurrence(t: Tables) -> DataFrame:
     """Slow time grows while a sample is over 50 and shrinks otherwise, never below zero; over 150 the stage goes up by
     one and the time starts anew. Each sample depends on all before it, so a user's samples are folded in order."""

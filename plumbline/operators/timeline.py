@@ -99,18 +99,20 @@ def by_precedence(rows: DataFrame, key: list[str], rank: Column, available: Colu
     return first.withColumn("usable", F.coalesce(available, F.lit(False)))
 
 
-def reconcile(official: DataFrame, vendor: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+def reconcile(official: DataFrame, vendor: DataFrame, key: list[str], fields: list[str], times: list[str] = ()) -> DataFrame:
     """key, status and differing: the names of the fields in which the two sides disagree, nulls being equal. Keys of one
-    side only have status official_only or vendor_only."""
-    a = official.select(*key, F.struct(*fields).alias("_a"))
-    b = vendor.select(*key, F.struct(*fields).alias("_b"))
+    side only have status official_only or vendor_only. Of each of times, when a side observed or had the row, the later
+    one of both is kept: a reconciled row is not known before."""
+    a = official.select(*key, F.struct(*fields, *times).alias("_a"))
+    b = vendor.select(*key, F.struct(*fields, *times).alias("_b"))
     both = a.join(b, key, "full_outer")
     unlike = F.array_compact(F.array(*(F.when(~F.col(f"_a.{f}").eqNullSafe(F.col(f"_b.{f}")), F.lit(f)) for f in fields)))
     status = (
         F.when(F.col("_b").isNull(), "official_only").when(F.col("_a").isNull(), "vendor_only").when(F.size(unlike) == 0, "agree").otherwise("differ")
     )
     named = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), unlike).otherwise(F.array().cast("array<string>"))
-    return both.select(*key, status.alias("status"), F.array_join(named, ",").alias("differing"))
+    later = [F.greatest(f"_a.{t}", f"_b.{t}").alias(t) for t in times]
+    return both.select(*key, status.alias("status"), F.array_join(named, ",").alias("differing"), *later)
 
 
 def first_after_last_before(marks: DataFrame, quotes: DataFrame, key: str, at: str, time: str, value: str, wait: str, stale: str) -> DataFrame:

@@ -75,18 +75,19 @@ def status_precedence(t: Tables) -> DataFrame:
     return found.select("user_id", "event_type", "event_id", "usable")
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS status_code, round(o_totalprice, 2) AS total FROM orders WHERE o_orderkey % 11 <> 0),
- b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status_code, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS total FROM orders WHERE o_orderkey % 13 <> 0),
- j AS (SELECT coalesce(a.k, b.k) AS k, a.k AS ak, b.k AS bk, a.status_code IS DISTINCT FROM b.status_code AS ds, a.total IS DISTINCT FROM b.total AS dt FROM a FULL JOIN b ON a.k = b.k)
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS status_code, round(o_totalprice, 2) AS total, o_orderdate::DATE AS available FROM orders WHERE o_orderkey % 11 <> 0),
+ b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status_code, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS total, o_orderdate::DATE + CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE -1 END AS available FROM orders WHERE o_orderkey % 13 <> 0),
+ j AS (SELECT coalesce(a.k, b.k) AS k, a.k AS ak, b.k AS bk, a.status_code IS DISTINCT FROM b.status_code AS ds, a.total IS DISTINCT FROM b.total AS dt, greatest(a.available, b.available) AS available FROM a FULL JOIN b ON a.k = b.k)
  SELECT k, CASE WHEN bk IS NULL THEN 'official_only' WHEN ak IS NULL THEN 'vendor_only' WHEN ds OR dt THEN 'differ' ELSE 'agree' END AS status,
- CASE WHEN ak IS NULL OR bk IS NULL THEN '' ELSE concat_ws(',', CASE WHEN ds THEN 'status_code' END, CASE WHEN dt THEN 'total' END) END AS differing FROM j""")
+ CASE WHEN ak IS NULL OR bk IS NULL THEN '' ELSE concat_ws(',', CASE WHEN ds THEN 'status_code' END, CASE WHEN dt THEN 'total' END) END AS differing, available FROM j""")
 def reconcile_sources(t: Tables) -> DataFrame:
-    k, total = F.col("o_orderkey"), F.round("o_totalprice", 2)
-    official = t.orders.filter(k % 11 != 0).select(k.alias("k"), F.col("o_orderstatus").alias("status_code"), total.alias("total"))
+    k, total, day = F.col("o_orderkey"), F.round("o_totalprice", 2), F.col("o_orderdate").cast("date")
+    official = t.orders.filter(k % 11 != 0).select(k.alias("k"), F.col("o_orderstatus").alias("status_code"), total.alias("total"), day.alias("available"))
     vendor = t.orders.filter(k % 13 != 0).select(
-        k.alias("k"), F.when(k % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("status_code"), F.when(k % 7 != 0, total).alias("total")
-    )
-    return timeline.reconcile(official, vendor, ["k"], ["status_code", "total"])
+        k.alias("k"), F.when(k % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("status_code"), F.when(k % 7 != 0, total).alias("total"),
+        F.date_add(day, F.when(k % 3 == 0, 2).otherwise(-1)).alias("available"),
+    )
+    return timeline.reconcile(official, vendor, ["k"], ["status_code", "total"], ["available"])
 
 
 @query("""WITH p AS (SELECT source, doc_id, lag(doc_id) OVER w AS previous, lag(n_chars) OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))
@@ -147,7 +148,7 @@ def identity_resolution(t: Tables) -> DataFrame:
 
 @query("""WITH d AS (SELECT DISTINCT o_orderpriority AS p, o_orderdate::DATE AS day FROM orders), e AS (SELECT p, min(day) AS lo, max(day) AS hi FROM d GROUP BY 1),
  s AS (SELECT DISTINCT day FROM d), w AS (SELECT max(lo) AS start, min(hi) AS stop FROM e)
- SELECT e.p AS sleeve, w.start, w.stop, (SELECT count(*) FROM s WHERE s.day BETWEEN w.start AND w.stop AND NOT EXISTS (SELECT 1 FROM d WHERE d.p = e.p AND d.day = s.day)) AS missing FROM e, w""")
+ SELECT *, missing = 0 AND start <= stop AS usable FROM (SELECT e.p AS sleeve, w.start, w.stop, (SELECT count(*) FROM s WHERE s.day BETWEEN w.start AND w.stop AND NOT EXISTS (SELECT 1 FROM d WHERE d.p = e.p AND d.day = s.day)) AS missing FROM e, w)""")
 def common_window(t: Tables) -> DataFrame:
     days = t.orders.select(F.col("o_orderpriority").alias("sleeve"), F.col("o_orderdate").cast("date").alias("day")).distinct()
     ends = days.groupBy("sleeve").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
@@ -155,4 +156,5 @@ def common_window(t: Tables) -> DataFrame:
     holes = timeline.gaps(days, days, "sleeve", "day").join(F.broadcast(shared), F.col("day").between(F.col("start"), F.col("stop")))
     n = holes.groupBy("sleeve").agg(F.count("*").alias("missing"))
     named = ends.select("sleeve").join(n, "sleeve", "left").withColumn("missing", F.coalesce("missing", F.lit(0).cast("long")))
-    return named.join(F.broadcast(shared), F.lit(True))
+    # a sleeve with a gap inside the window fails, as does every sleeve if there is no window
+    return named.join(F.broadcast(shared), F.lit(True)).withColumn("usable", (F.col("missing") == 0) & (F.col("start") <= F.col("stop")))

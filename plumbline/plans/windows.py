@@ -94,11 +94,12 @@ def cohort_percent_rank(t: Tables) -> DataFrame:
 
 
 @query("""WITH q AS (SELECT o_orderkey, ntile(5) OVER w AS fifth, count(*) OVER (PARTITION BY date_trunc('month', o_orderdate)) AS n FROM orders WINDOW w AS (PARTITION BY date_trunc('month', o_orderdate) ORDER BY o_totalprice, o_orderkey))
- SELECT o_orderkey, CASE fifth WHEN 5 THEN 'long' ELSE 'short' END AS side FROM q WHERE n >= 20 AND fifth IN (1, 5)""")
+ SELECT o_orderkey, CASE fifth WHEN 5 THEN 'long' ELSE 'short' END AS side FROM q WHERE n >= 25 AND fifth IN (1, 5)""")
 def quintile_tails(t: Tables) -> DataFrame:
+    """Months of 20 orders or more with five or more in each tail, which 25 orders are needed for."""
     month = F.trunc("o_orderdate", "month")
     found = t.orders.select("o_orderkey", F.ntile(5).over(Window.partitionBy(month).orderBy("o_totalprice", "o_orderkey")).alias("fifth"), F.count("*").over(Window.partitionBy(month)).alias("n"))
-    return found.filter("n >= 20 AND fifth IN (1, 5)").select("o_orderkey", F.when(F.col("fifth") == 5, "long").otherwise("short").alias("side"))
+    return found.filter("n >= 25 AND fifth IN (1, 5)").select("o_orderkey", F.when(F.col("fifth") == 5, "long").otherwise("short").alias("side"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, sha256(text) AS h, lag(turn) OVER w AS p, lag(sha256(text)) OVER w AS ph FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))

@@ -56,6 +56,12 @@ def short_hash(digest: Column) -> Column:
     return F.concat(F.substring(bare, 1, 12), F.lit("..."), F.right(bare, F.lit(6)))
 
 
+
+def tagged_hash(digest: Column) -> Column:
+    """short_hash with its kind before it, whether or not the digest came with one."""
+    return F.concat(F.lit("sha256:"), short_hash(digest))
+
+
 def linear_scale(x: Column, low: Column, high: Column, to_low: Column, to_high: Column) -> Column:
     """x of the domain low to high in the range to_low to to_high, beyond both ends too; a domain without length counts
     as one of length 1."""
@@ -158,6 +164,53 @@ def valid_address(text: Column) -> Column:
     return or_false((address != "") & (F.length(address) <= 254) & address.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"))
 
 
+
+def money(x: Column) -> Column:
+    """'$1,234': whole units, halves up; null where x is not finite."""
+    return F.concat(F.lit("$"), F.format_number(F.floor(finite(x) + 0.5), 0))
+
+
+def short_money(x: Column) -> Column:
+    """'$1.5B', '$10M', '$250k' or '$12': one digit only of what is not whole, none of thousands; null where x is not
+    finite."""
+    x = finite(x)
+    scaled = lambda unit: F.format_string("%.1f", x / unit) if unit > 1e3 else F.format_string("%.0f", x / unit)
+    whole = lambda unit: F.format_string("%.0f", x / unit)
+    shown = lambda unit: F.when(x % unit == 0, whole(unit)).otherwise(scaled(unit))
+    cases = [F.concat(shown(unit), F.lit(suffix)) for unit, suffix in ((1e9, "B"), (1e6, "M"), (1e3, "k"))]
+    low = F.floor(x + 0.5).cast("string")
+    return F.concat(F.lit("$"), F.when(x >= 1e9, cases[0]).when(x >= 1e6, cases[1]).when(x >= 1e3, cases[2]).otherwise(low))
+
+
+def span_of_days(days: Column) -> Column:
+    """'2.5y' from a year of 365.25 days on, else '40d'; null where days is not finite."""
+    years = finite(days.cast("double")) / 365.25
+    return F.when(years >= 1, F.format_string("%.1fy", years)).otherwise(F.concat(F.floor(finite(days.cast("double")) + 0.5).cast("string"), F.lit("d")))
+
+
+def range_label(low: Column, high: Column, digits: int, suffix: str = "") -> Column:
+    """'0.70 to 0.80' and the suffix, or the one end that is finite; null where none is."""
+    shown = [F.when(finite(x).isNotNull(), F.format_string(f"%.{digits}f", finite(x))) for x in (low, high)]
+    return F.concat(F.coalesce(F.concat(shown[0], F.lit(" to "), shown[1]), *shown), F.lit(suffix))
+
+
+def escaped(text: Column) -> Column:
+    """Text as it stands in HTML: & first, then < and >."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def joined_parts(parts: list[Column], separator: str) -> Column:
+    """The parts that are neither null nor empty, in order; empty where there are none."""
+    return F.concat_ws(separator, *(present(p) for p in parts))
+
+
+def intake(trap: Column, address: Column) -> Column:
+    """What becomes of a submitted form: dropped where its trap field, which no person sees, is filled (it is answered
+    like an accepted one and nothing is stored), else accepted or invalid by the address. Only blanks in the trap count
+    as nothing."""
+    return F.when(or_false(F.trim(trap) != ""), "dropped").when(valid_address(address), "accepted").otherwise("invalid")
+
+
 def body_fields(body: Column, fields: list[str]) -> dict[str, Column]:
     """Fields of a request body: JSON if it parses, else name=value pairs joined by '&'."""
     parsed = F.from_json(body, "map<string,string>")

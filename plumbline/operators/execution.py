@@ -36,6 +36,27 @@ def accrual(balance: Column, rate: Column, days: Column, basis: int) -> Column:
     return F.round(balance.cast("decimal(18,4)") * rate.cast("decimal(9,6)") * days.cast("decimal(5,0)") / basis, 10).cast("decimal(28,10)")
 
 
+
+def financing(cash: Column, short_value: Column, credit: Column, debit: Column, collateral: Column, days: Column, basis: Column) -> dict[str, Column]:
+    """The bases of a book's cash and the signed payment, exact to six places each. Positive cash up to the value of
+    shorts is segregated and earns collateral, the rest earns credit, negative cash pays debit; simple interest by days
+    over basis. status is halted, and the payment null, where an amount, a rate, the days or the basis is missing: no
+    rate is carried forward and none is taken for zero."""
+    held, owed = F.greatest(cash, F.lit(0)), F.greatest(-cash, F.lit(0))
+    segregated = F.least(held, F.greatest(short_value, F.lit(0)))
+    known = F.lit(True)
+    for x in (cash, short_value, credit, debit, collateral, days, basis):
+        known = known & x.isNotNull()
+
+    def interest(amount: Column, rate: Column) -> Column:
+        exact = amount.cast("decimal(18,2)") * rate.cast("decimal(9,6)") * days.cast("decimal(5,0)")
+        return F.round(F.try_divide(exact, basis.cast("decimal(5,0)")), 6).cast("decimal(28,6)")
+
+    free = held - segregated
+    payment = interest(free, credit) + interest(segregated, collateral) - interest(owed, debit)
+    return {"segregated": segregated, "free": free, "owed": owed, "payment": F.when(known, payment), "status": F.when(known, "accrued").otherwise("halted")}
+
+
 def locate(wanted: Column, available: Column) -> Column:
     """Shares granted: never more than wanted or available, none if availability is not known."""
     return F.least(wanted, F.greatest(F.coalesce(available, F.lit(0.0)), F.lit(0.0)))

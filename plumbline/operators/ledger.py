@@ -71,3 +71,15 @@ def set_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     found = sides.groupBy(*cols).agg(F.max("_l").alias("l"), F.max("_r").alias("r"))
     side = F.when((F.col("l") == 1) & (F.col("r") == 1), "both").when(F.col("l") == 1, "left_only").otherwise("right_only")
     return found.groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+
+
+def accounting(rows: DataFrame, by: list[str], profile: list[str], identity: list[str], order: list[str], value: str) -> DataFrame:
+    """by, records, remeasured, duplicates, identities and variance: records less remeasurements of an identity within its
+    profile, less those profiles of it beyond one, are the identities; the sample variance is that of their first records
+    in order alone. Counted per identity and profile before anything else, so a busy identity is one row."""
+    one = rows.groupBy(*by, *identity, *profile).agg(F.count("*").alias("_n"), F.min(F.struct(F.struct(*order).alias("o"), F.col(value).alias("v"))).alias("_f"))
+    ids = one.groupBy(*by, *identity).agg(F.sum("_n").alias("_n"), F.count("*").alias("_p"), F.min("_f")["v"].alias("_v"))
+    return ids.groupBy(*by).agg(
+        F.sum("_n").alias("records"), F.sum(F.col("_n") - F.col("_p")).alias("remeasured"), F.sum(F.col("_p") - 1).alias("duplicates"),
+        F.count("*").alias("identities"), F.var_samp("_v").alias("variance"),
+    )

@@ -172,3 +172,37 @@ def bootstrap_bound(rows: DataFrame, by: list[str], index: str, a: str, b: str,
     picks = picks.filter(F.col("k") * block + F.col("_i") < F.col("_n")).select(*by, "draw", F.pmod(F.col("start") + F.col("_i"), F.col("_n")).alias(index))
     per_draw = picks.join(F.broadcast(rows), [*by, index]).groupBy(*by, "draw").agg(correlation(F.col(a), F.col(b)).alias("rho"))
     return per_draw.groupBy(*by).agg(F.percentile("rho", level).alias("bound"), F.count("rho").alias("draws"))
+
+
+def rank_correlations(rows: DataFrame, by: list[str], x: str, y: str, least: int = 2, into: str = "ic") -> DataFrame:
+    """by, n and into: the correlation of the ranks of x and y within each by (ties share their mean rank), for those with
+    at least so many rows whose x and y are finite; null where one of them does not vary.
+
+    A value's rank comes from how many rows have it and how many have a smaller one: values are counted first and the
+    counts added up over range partitions, so no task holds all rows of a by."""
+    finite = [F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf")) for c in (x, y)]
+    held = rows.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter(finite[0] & finite[1])
+    sides = held.select(*by, F.inline(F.array(*(F.struct(F.lit(c).alias("_side"), F.col(c).alias("_value")) for c in ("_x", "_y")))))
+    counts = sides.groupBy(*by, "_side", "_value").agg(F.count("*").alias("_n"))
+    upto = ordered.running_total(counts, ["_value"], "_n", "_upto", [*by, "_side"])
+    ranks = upto.select(*by, "_side", "_value", (F.col("_upto") - (F.col("_n") - 1) / 2).alias("_rank"))
+    for c in ("_x", "_y"):
+        held = held.join(ranks.filter(F.col("_side") == c).select(*by, F.col("_value").alias(c), F.col("_rank").alias(f"_r{c}")), [*by, c])
+    found = held.groupBy(*by).agg(F.count("*").alias("n"), correlation(F.col("_r_x"), F.col("_r_y")).alias(into))
+    return found.filter(F.col("n") >= least)
+
+
+def turnover(weights: DataFrame, book: list[str], at: str, name: str, weight: str) -> DataFrame:
+    """book, at and turnover: half the sum of the names' changes of weight since the book's date before; the first date
+    has none. A name that is not there has no weight, so one that comes or goes counts in full.
+
+    Each weight is added at its own date and taken off at the next one, so nothing is joined name by name."""
+    dates = weights.select(*book, at).distinct()
+    line = Window.partitionBy(*book).orderBy(at)  # a row a date
+    placed = dates.withColumns({"_next": F.lead(at).over(line), "_first": F.lag(at).over(line).isNull()})
+    held = weights.join(placed, [*book, at]).withColumn("_w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
+    sides = F.array(F.struct(F.col(at).alias("_t"), F.col("_w").alias("_d")), F.struct(F.col("_next").alias("_t"), (-F.col("_w")).alias("_d")))
+    moves = held.select(*book, name, F.inline(sides)).filter("_t IS NOT NULL")
+    summed = moves.groupBy(*book, "_t", name).agg(F.sum("_d").alias("_d")).groupBy(*book, "_t").agg((F.sum(F.abs("_d")) / 2).alias("turnover"))
+    first = placed.filter("_first").select(*book, F.col(at).alias("_t"))
+    return summed.join(first, [*book, "_t"], "left_anti").withColumnRenamed("_t", at)

@@ -124,3 +124,21 @@ def deliverables(t: Tables) -> DataFrame:
     right = F.when(F.col("l_returnflag") == "R", "C").otherwise("P")
     shares, cash = X.deliverable(right, F.col("l_quantity"), F.lit(30000.0), F.col("l_extendedprice"))
     return t.lineitem.select(*KEYS, shares.cast("double").alias("shares"), cash.alias("cash"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, sum(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT o_orderkey, (CASE WHEN o_custkey % 4 = 0 THEN -1 ELSE 1 END * round(o_totalprice * 100))::HUGEINT AS cash, round(coalesce(v, 0) * 100)::HUGEINT AS short,
+ day(o_orderdate)::HUGEINT AS d, CASE o_orderstatus WHEN 'F' THEN 360 WHEN 'O' THEN 365 END AS y FROM orders LEFT JOIN s ON l_orderkey = o_orderkey),
+ c AS (SELECT *, least(greatest(cash, 0), short) AS seg, greatest(cash, 0) - least(greatest(cash, 0), short) AS free, greatest(-cash, 0) AS owed FROM b),
+ p AS (SELECT *, (2 * free * 21500 * d + 100 * y) // (200 * y) + (2 * seg * 12500 * d + 100 * y) // (200 * y) - (2 * owed * 56250 * d + 100 * y) // (200 * y) AS micro FROM c)
+ SELECT o_orderkey, seg::DOUBLE / 100 AS segregated, free::DOUBLE / 100 AS free, owed::DOUBLE / 100 AS owed, micro::DOUBLE / 1e6 AS payment, CASE WHEN y IS NULL THEN 'halted' ELSE 'accrued' END AS status FROM p""")
+def short_collateral(t: Tables) -> DataFrame:
+    """An order is a book's cash, its returned items are what the book is short; no schedule covers status P."""
+    short = t.lineitem.filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("v"))
+    cents = lambda x: F.round(x * 100).cast("decimal(18,0)") / F.lit(100).cast("decimal(3,0)")
+    cash = (F.when(F.col("o_custkey") % 4 == 0, -1).otherwise(1) * cents(F.col("o_totalprice"))).cast("decimal(18,2)")
+    status = F.col("o_orderstatus")
+    basis = F.when(status == "F", 360).when(status == "O", 365)
+    rates = [F.when(basis.isNotNull(), F.lit(x)) for x in (0.0215, 0.05625, 0.0125)]
+    owing = t.orders.join(short, "o_orderkey", "left").withColumn("short", cents(F.coalesce("v", F.lit(0.0))).cast("decimal(18,2)")).withColumn("cash", cash)
+    found = X.financing(F.col("cash"), F.col("short"), *rates, F.dayofmonth("o_orderdate"), basis)
+    return owing.select("o_orderkey", *((v if k == "status" else v.cast("double")).alias(k) for k, v in found.items()))

@@ -158,3 +158,18 @@ def common_window(t: Tables) -> DataFrame:
     named = ends.select("sleeve").join(n, "sleeve", "left").withColumn("missing", F.coalesce("missing", F.lit(0).cast("long")))
     # a sleeve with a gap inside the window fails, as does every sleeve if there is no window
     return named.join(F.broadcast(shared), F.lit(True)).withColumn("usable", (F.col("missing") == 0) & (F.col("start") <= F.col("stop")))
+
+
+@query("""WITH d AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts + to_hours(event_id % 5 - 2) AS e, ts + to_hours(event_id % 3 - 1) AS a, value AS v FROM events WHERE event_type = 'view'),
+ j AS (SELECT d.event_id, max({'e': r.e, 'a': r.a, 'v': r.v}) FILTER (WHERE r.e <= d.ts) AS best, coalesce(bool_or(r.e > d.ts), false) AS ahead FROM d LEFT JOIN r ON r.user_id = d.user_id AND r.a <= d.ts GROUP BY 1)
+ SELECT event_id, CASE WHEN NOT ahead THEN best.v END AS rate, CASE WHEN ahead THEN 'future_known' WHEN best IS NULL THEN 'missing' ELSE 'ok' END AS status FROM j""")
+def asof_both_axes(t: Tables) -> DataFrame:
+    """Revisions take effect and become known at times of their own; a decision with one known ahead fails closed."""
+    hours = lambda n: F.make_interval(hours=n.cast("int"))
+    decisions = t.events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    revisions = t.events.filter("event_type = 'view'").select(
+        "user_id", (F.col("ts") + hours(F.col("event_id") % 5 - 2)).alias("e"), (F.col("ts") + hours(F.col("event_id") % 3 - 1)).alias("a"), "value"
+    )
+    found = timeline.known_as_of(decisions, revisions, "user_id", "ts", "e", "a", "value", "rate")
+    status = F.when(F.col("future_known"), "future_known").when(F.col("rate").isNull(), "missing").otherwise("ok")
+    return found.select("event_id", F.when(~F.col("future_known"), F.col("rate")).alias("rate"), status.alias("status"))

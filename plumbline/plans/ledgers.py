@@ -112,3 +112,11 @@ def trial_accounting(t: Tables) -> DataFrame:
     records = t.events.groupBy("user_id").agg(F.count("*").alias("records"))
     units = first.groupBy("user_id").agg(F.count("*").alias("identities"), F.round(F.var_samp("value"), 8).alias("variance"))
     return records.join(units, "user_id").withColumn("remeasured", F.col("records") - F.col("identities"))
+
+
+@query("""WITH r AS (SELECT event_type, user_id, event_id % 4 AS profile, value, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS k FROM events),
+ c AS (SELECT event_type, user_id, count(*) AS n, count(DISTINCT profile) AS p, max(value) FILTER (WHERE k = 1) AS v FROM r GROUP BY ALL)
+ SELECT event_type, sum(n)::BIGINT AS records, sum(n - p)::BIGINT AS remeasured, sum(p - 1)::BIGINT AS duplicates, count(*) AS identities, round(var_samp(v), 6) AS variance FROM c GROUP BY 1""")
+def trial_profiles(t: Tables) -> DataFrame:
+    rows = t.events.withColumn("profile", F.col("event_id") % 4)
+    return ledger.accounting(rows, ["event_type"], ["profile"], ["user_id"], ["ts", "event_id"], "value").withColumn("variance", F.round("variance", 6))

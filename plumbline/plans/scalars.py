@@ -225,3 +225,33 @@ def body_decode(t: Tables) -> DataFrame:
  WHEN o_totalprice >= 1e3 THEN printf('%.1fK', floor(o_totalprice / 100 + 0.5) / 10) ELSE printf('%.0f', floor(o_totalprice + 0.5)) END AS shown, lpad(o_orderkey::VARCHAR, greatest(2, length(o_orderkey::VARCHAR))::INT, '0') AS number FROM orders""")
 def amount_format(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", S.compact_amount(F.col("o_totalprice")).alias("shown"), S.padded(F.col("o_orderkey")).alias("number"))
+
+
+@query("""WITH a AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN ' Acme' WHEN page_id % 5 = 0 THEN '  ' END AS company, lower(trim(replace(regexp_replace(url, '^https?://', ''), '/', '@'))) AS address FROM pages),
+ s AS (SELECT page_id, CASE WHEN trim(coalesce(company, '')) <> '' THEN 'dropped' WHEN address <> '' AND length(address) <= 254 AND regexp_matches(address, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') THEN 'accepted' ELSE 'invalid' END AS status FROM a)
+ SELECT page_id, status, status <> 'invalid' AS ok, status = 'accepted' AS stored FROM s""")
+def form_intake(t: Tables) -> DataFrame:
+    company = F.when(F.col("page_id") % 7 == 0, " Acme").when(F.col("page_id") % 5 == 0, "  ")
+    address = F.replace(F.regexp_replace("url", "^https?://", ""), F.lit("/"), F.lit("@"))
+    status = F.col("status")
+    return t.pages.select("page_id", S.intake(company, address).alias("status")).withColumns({"ok": status != "invalid", "stored": status == "accepted"})
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice, (o_orderkey % 1500)::DOUBLE AS days, CASE WHEN o_custkey % 3 > 0 THEN (o_custkey % 1000) / 4.0 END AS low, CASE WHEN o_custkey % 5 > 0 THEN (o_custkey % 1000) / 4.0 + 10 END AS high, sha256(o_orderkey::VARCHAR) AS h FROM orders)
+ SELECT o_orderkey, '$' || format('{:,}', floor(o_totalprice + 0.5)::BIGINT) AS amount, CASE WHEN days / 365.25 >= 1 THEN printf('%.1fy', days / 365.25) ELSE printf('%dd', days::BIGINT) END AS sample,
+ CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN printf('%.2f to %.2f', low::DOUBLE, high::DOUBLE) WHEN low IS NOT NULL THEN printf('%.2f', low::DOUBLE) WHEN high IS NOT NULL THEN printf('%.2f', high::DOUBLE) END || '%' AS band,
+ 'sha256:' || left(h, 12) || '...' || right(h, 6) AS digest FROM o""")
+def display_labels(t: Tables) -> DataFrame:
+    base = (F.col("o_custkey") % 1000) / 4
+    low, high = F.when(F.col("o_custkey") % 3 > 0, base), F.when(F.col("o_custkey") % 5 > 0, base + 10)
+    digest = F.concat(F.lit("sha256:"), F.sha2(F.col("o_orderkey").cast("string"), 256))
+    return t.orders.select(
+        "o_orderkey", S.money(F.col("o_totalprice")).alias("amount"), S.span_of_days(F.col("o_orderkey") % 1500).alias("sample"),
+        S.range_label(low, high, 2, "%").alias("band"), S.tagged_hash(digest).alias("digest"),
+    )
+
+
+@query("""SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS shown, concat_ws('  /  ', nullif(url, ''), CASE WHEN page_id % 3 > 0 THEN 'page ' || page_id END) AS line FROM pages""")
+def escaped_markup(t: Tables) -> DataFrame:
+    number = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("page "), F.col("page_id").cast("string"))).otherwise("")
+    return t.pages.select("page_id", S.escaped(F.col("html")).alias("shown"), S.joined_parts([F.col("url"), number], "  /  ").alias("line"))

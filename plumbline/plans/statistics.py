@@ -245,3 +245,39 @@ def block_bootstrap(t: Tables) -> DataFrame:
     line = Window.partitionBy("a", "b").orderBy("day")
     numbered = paired(t).select("a", "b", (F.row_number().over(line) - 1).cast("long").alias("i"), "x", "y")  # a row a day
     return stats.bootstrap_bound(numbered, ["a", "b"], "i", "x", "y")
+
+
+@query("""WITH b AS (SELECT user_id, ts::DATE AS day, sum(value) AS v FROM events GROUP BY ALL), h AS (SELECT unnest([1, 2, 5]) AS horizon),
+ f AS (SELECT horizon, user_id, day, v, CASE horizon WHEN 1 THEN lead(v, 1) OVER w WHEN 2 THEN lead(v, 2) OVER w ELSE lead(v, 5) OVER w END - v AS y FROM b, h WINDOW w AS (PARTITION BY horizon, user_id ORDER BY day)),
+ k AS (SELECT horizon, day, rank() OVER x + (count(*) OVER (PARTITION BY horizon, day, v) - 1) / 2.0 AS a, rank() OVER z + (count(*) OVER (PARTITION BY horizon, day, y) - 1) / 2.0 AS c FROM f WHERE y IS NOT NULL WINDOW x AS (PARTITION BY horizon, day ORDER BY v), z AS (PARTITION BY horizon, day ORDER BY y)),
+ i AS (SELECT horizon, day, corr(a, c) AS ic FROM k GROUP BY ALL HAVING count(*) >= 5), m AS (SELECT horizon, avg(ic) AS mu FROM i GROUP BY 1),
+ e AS (SELECT horizon, mu, ic, ic - mu AS e0, lag(ic - mu, 1) OVER w AS e1, lag(ic - mu, 2) OVER w AS e2 FROM i JOIN m USING (horizon) WINDOW w AS (PARTITION BY horizon ORDER BY day))
+ SELECT horizon, count(*) AS n_obs, round(avg(ic), 6) AS mean_ic, round(avg(ic) / stddev_samp(ic), 6) AS ic_ir, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate,
+ round(any_value(mu) / (sqrt(sum(e0 * e0) + 4.0 / 3 * sum(e0 * e1) + 2.0 / 3 * sum(e0 * e2)) / count(*)), 5) AS t FROM e GROUP BY 1""")
+def rank_ic_horizons(t: Tables) -> DataFrame:
+    """How a user's total of a day ranks against its change over the user's next 1, 2 and 5 days with events."""
+    bars = t.events.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.sum("value").alias("v"))
+    line = Window.partitionBy("user_id").orderBy("day")  # a row a day
+    ahead = bars.withColumns({f"y{h}": F.lead("v", h).over(line) - F.col("v") for h in (1, 2, 5)})
+    long = ahead.select("day", "v", F.inline(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"y{h}").alias("y")) for h in (1, 2, 5)))))
+    ic = stats.rank_correlations(long, ["horizon", "day"], "v", "y", 5)
+    summary = ic.groupBy("horizon").agg(
+        F.count("ic").alias("n_obs"), F.round(F.avg("ic"), 6).alias("mean_ic"), F.round(F.avg("ic") / F.stddev_samp("ic"), 6).alias("ic_ir"),
+        F.round(F.avg((F.col("ic") > 0).cast("double")), 6).alias("hit_rate"),
+    )
+    tested = stats.newey_west_t(ic.filter("ic IS NOT NULL").select("horizon", "day", "ic"), "horizon", "day", "ic", 2)
+    return summary.join(tested.select("horizon", F.round("t", 5).alias("t")), "horizon")
+
+
+@query("""WITH v AS (SELECT o_orderstatus, date_trunc('month', o_orderdate)::DATE AS m, o_orderpriority AS p, sum(o_totalprice) AS v FROM orders GROUP BY ALL), x AS (SELECT o_orderstatus, m, p, v / sum(v) OVER (PARTITION BY o_orderstatus, m) AS w FROM v),
+ d AS (SELECT o_orderstatus, m, lag(m) OVER (PARTITION BY o_orderstatus ORDER BY m) AS before FROM (SELECT DISTINCT o_orderstatus, m FROM x)), g AS (SELECT d.*, p FROM d, (SELECT DISTINCT p FROM x)),
+ t AS (SELECT g.o_orderstatus, g.m, sum(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) / 2 AS t FROM g LEFT JOIN x a ON a.o_orderstatus = g.o_orderstatus AND a.m = g.m AND a.p = g.p LEFT JOIN x b ON b.o_orderstatus = g.o_orderstatus AND b.m = g.before AND b.p = g.p WHERE g.before IS NOT NULL GROUP BY ALL)
+ SELECT o_orderstatus, count(*) AS n, round(avg(t) * 12, 6) AS turnover_annual FROM t GROUP BY 1""")
+def annual_turnover(t: Tables) -> DataFrame:
+    """Of a book of priorities for each status, weighed anew each month by what was ordered."""
+    month = F.trunc(F.col("o_orderdate").cast("date"), "month").alias("m")
+    v = t.orders.groupBy("o_orderstatus", month, "o_orderpriority").agg(F.sum("o_totalprice").alias("v"))
+    whole = v.groupBy("o_orderstatus", "m").agg(F.sum("v").alias("whole"))
+    weights = v.join(whole, ["o_orderstatus", "m"]).withColumn("w", F.col("v") / F.col("whole"))
+    by_month = stats.turnover(weights, ["o_orderstatus"], "m", "o_orderpriority", "w")
+    return by_month.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.avg("turnover") * 12, 6).alias("turnover_annual"))

@@ -1,8 +1,8 @@
-"""Structured Streaming: idempotent ingest, late rows, obligations and chain heads with state."""
+"""Structured Streaming: idempotent ingest, late rows, sinks in their order, obligations and chain heads with state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -119,3 +119,27 @@ def latest_for(stream: DataFrame, key: str, value: str, at: str, lateness: str,
     grouped = stream.withWatermark(at, lateness).groupBy(key)
     schema = f"{key} {kind[key]}, {value} {kind[value]}, live boolean"
     return grouped.applyInPandasWithState(step, schema, f"{value} {kind[value]}, at long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def first_sink(sinks: list[tuple[str, Callable[[DataFrame, int], None] | None]], log: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that gives each batch to the first sink of the list that is configured (not None), and to
+    log where none is. A sink that fails fails the batch, named: its rows go to no other sink, they come again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        name, sink = next(((n, s) for n, s in sinks if s is not None), ("log", log))
+        try:
+            sink(batch, number)
+        except Exception as e:
+            raise RuntimeError(f"sink {name} failed on batch {number}") from e
+
+    return write
+
+
+def json_log(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps each batch as JSON lines with stored false, in a folder of its own that a
+    replay writes again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("stored", F.lit(False)).write.mode("overwrite").json(f"{path}/batch={number}")
+
+    return write

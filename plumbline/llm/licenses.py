@@ -4,12 +4,13 @@ A text is cut into sentences, which are normalised and mapped to identifiers of
 identifiers is then matched against ordered rules, each a run of identifiers that stands for a licence: a rule that
 matches takes its identifiers, so a longer rule comes before those that are part of it. A sentence that names a licence
 ("Licensed under the MIT license", "SPDX-License-Identifier: MIT") has an identifier of its own for each licence, which
-is a rule too, after all others.
+is a rule too, after all others; names joined by "and", "or" and "with" are one expression.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,9 @@ SINGLE = (
 #: Identifiers of known sentences and what they look like once normalised: lower case, letters, digits and
 #: inner dots only, single blanks. The first that fits is taken.
 _IT = "(?:program|library|file|software|package)"
+_ANY = f"(?:this {_IT}|[a-z0-9][a-z0-9.]{{0,40}}(?: [a-z0-9][a-z0-9.]{{0,40}}){{0,5}})"
 _MODIFY = "you can redistribute it and or modify it under the terms of (?:version [0-9.]+ of )?the gnu "
-_ONE = f"^this {_IT} is free software {_MODIFY}"
+_ONE = f"^{_ANY} is free software {_MODIFY}"
 SENTENCES = (
     ("ApacheComply", "^you may not use this (?:file|work|software) except in compliance with the licen[sc]e$"),
     ("ApacheCopy", "^you may obtain a copy of the licen[sc]e at"),
@@ -62,14 +64,14 @@ SENTENCES = (
     ("LgplOne21", _ONE + "lesser general public licen[sc]e .{0,80}version 2\\.1"),
     ("GplOne3", _ONE + "general public licen[sc]e .{0,80}version 3"),
     ("GplOne2", _ONE + "general public licen[sc]e .{0,80}version 2"),
-    ("FreeSoftware", f"^this {_IT} is free software$"),
+    ("FreeSoftware", f"^{_ANY} is free software$"),
     ("AgplModify", "^" + _MODIFY + "affero general public licen[sc]e"),
     ("LgplModify", "^" + _MODIFY + "(?:lesser|library) general public licen[sc]e"),
     ("GplModify", "^" + _MODIFY + "general public licen[sc]e"),
     ("Either3", "^either version 3 of the licen[sc]e"),
     ("Either21", "^either version 2\\.1 of the licen[sc]e"),
     ("Either2", "^either version 2 of the licen[sc]e"),
-    ("GplHope", f"^this {_IT} is distributed in the hope that it will be useful"),
+    ("GplHope", f"^{_ANY} is distributed in the hope that it will be useful"),
     ("BsdUse", "^redistribution and use in source and binary forms with or without modification are permitted"),
     ("BsdSource", "^(?:1\\.? )?redistributions of source code must retain the above copyright notice"),
     ("BsdBinary", "^(?:2\\.? )?redistributions in binary form must reproduce the above copyright notice"),
@@ -99,23 +101,34 @@ RULES = (
     ("BSD-2-Clause", ("BsdUse", "BsdSource", "BsdBinary")), ("MPL-2.0", ("MplForm", "Two", "MplCopy")), ("MPL-2.0", ("MplForm", "Two")), ("MPL-2.0", ("MplForm2", "MplCopy")),
     ("MPL-2.0", ("MplForm2",)), ("EPL-2.0", ("EplMaterials",)), ("CC0-1.0", ("Cc0Waive",)), ("proprietary", ("Reserved",)),
 )
-#: How a sentence that names a licence begins, and what its name may hold besides.
-NAMES_IT = "^(?:(?:this|the) [a-z ]{1,60} (?:is|are) |it is |dual )?(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?"
+#: Names that say nothing without a version ("an open license").
+NOT_ALONE = ("open",)
+#: Exceptions to licences, as tags write them.
+EXCEPTIONS = (
+    "Autoconf-exception-2.0", "Autoconf-exception-3.0", "Bison-exception-2.2", "Bootloader-exception", "Classpath-exception-2.0", "FLTK-exception", "Font-exception-2.0",
+    "GCC-exception-2.0", "GCC-exception-3.1", "Libtool-exception", "Linux-syscall-note", "LLVM-exception", "OCaml-LGPL-linking-exception", "Qt-LGPL-exception-1.1", "u-boot-exception-2.0", "WxWindows-exception-3.1",
+)
+#: How a sentence that names licences begins, what may stand between the words of a name, what joins names,
+#: and the words that may come after the last name.
+NAMES_IT = "^(?:(?:this|the|use of (?:this|the)) [a-z ]{1,60} (?:is|are) |it is |dual )?(?:licensed|released|distributed|available|published|provided|governed) (?:under|by) (?:the )?(?:terms of (?:the )?)?"
 TAG = "^(?:spdx licen[sc]e identifier|licen[sc]e) "
-FILLERS = r"\b(?:the|an?|terms|of|licen[sc]es?|version|gnu|software|international|unported|only|or (?:at your option )?(?:any )?later)\b"
+LATER = "or (?:at your option )?(?:any )?later(?: version)?"
+FILLERS = r"\b(?:the|an?|terms|of|either|both|licen[sc]es?|version|gnu|software|international|unported|only)\b"
+JOINS = (("and or", " OR "), ("or", " OR "), ("and", " AND "), ("with", " WITH "), ("orlater", "-or-later"))
+AFTER = ("see", "which", "that", "you", "in", "as", "at", "for", "from", "by", "file", "found", "copyright", "style", "please", "details", "unless", "if", "whose")
 #: Words that a line may begin with although it goes on with the sentence of the line before.
 GOES_ON = r"[a-z(]|GNU |General Public |Public Licen[sc]e|Lesser General |Affero General |Free Software Foundation|Software Foundation|Foundation[,; ]|Licen[sc]e[,;. ]|Apache Licen[sc]e|Mozilla Public "
 
 
 def plain(s: str) -> str:
     """A name as it is in a normalised sentence, without fillers."""
-    s = re.sub(FILLERS, " ", re.sub("[^a-z0-9.]+", " ", s.lower()))
+    s = re.sub(FILLERS, " ", re.sub(LATER, " ", re.sub("[^a-z0-9.]+", " ", s.lower())))
     return " ".join(s.split())
 
 
 def names() -> dict[str, str]:
-    """Plain names and the licences that they stand for: each family with and without its versions, whose last zero may
-    be left out, and each single licence, under all that they are called."""
+    """Plain names and the licences that they stand for: each family with its versions, whose last zero may be left out,
+    and without, and each single licence, under all that they are called."""
     out = {}
     families = [(n, (n, *others), versions) for n, others, versions in FAMILIES]
     words = dict(CC_PARTS)
@@ -124,7 +137,8 @@ def names() -> dict[str, str]:
         families.append((f"CC-{kind.upper()}", (f"cc {kind}", "creative commons " + " ".join(words[p] for p in parts), f"creative commons {kind}"), CC_VERSIONS))
     for family, called, versions in families:
         for name in called:
-            out.setdefault(plain(name), family)
+            if name not in NOT_ALONE:
+                out.setdefault(plain(name), family)
             for v in versions:
                 for shown in {v, v.removesuffix(".0")}:
                     out.setdefault(plain(f"{name} {shown}"), f"{family}-{v}")
@@ -135,6 +149,21 @@ def names() -> dict[str, str]:
 
 
 NAMES = names()
+#: What each word or run of words of an expression is written as.
+WRITTEN = NAMES | {plain(x): x for x in EXCEPTIONS} | dict(JOINS)
+
+
+def _any(words: Iterable[str]) -> str:
+    """A pattern of any of them, the longest first."""
+    return "(?:" + "|".join(re.escape(w).replace("\\ ", " ") for w in sorted(words, key=lambda w: (-len(w), w))) + r")\b"
+
+
+_NAME = f"{_any(NAMES)}(?: orlater\\b)?(?: with {_any(map(plain, EXCEPTIONS))})?"
+#: A name and those joined to it, up to the end or a word that may come after. The loop needs no way back, so Spark's form
+#: takes none, which also keeps it from recursing over a long one.
+_EXPRESSION = f"^({_NAME}(?: (?:and or|or|and) {_NAME})*%s)(?: {_any(AFTER)}.*)?$"
+JAVA_EXPRESSION, SQL_EXPRESSION = _EXPRESSION % "+", _EXPRESSION % ""
+TOKEN = f"{_any([*NAMES, *map(plain, EXCEPTIONS)])}|{_any(w for w, _ in JOINS)}"
 
 
 def _run(identifiers: tuple[str, ...]) -> str:
@@ -144,18 +173,22 @@ def _run(identifiers: tuple[str, ...]) -> str:
 def sentences(text: Column) -> Column:
     """The normalised sentences of a text. A line that goes on in lower case, or with words that stand within licences,
     goes on with the sentence."""
-    joined = F.regexp_replace(text, rf"[ \t]*\r?\n[ \t#*/;-]*({GOES_ON})", " $1")
+    joined = F.regexp_replace(F.regexp_replace(text, "([0-9])[+]", "$1 or later"), rf"[ \t]*\r?\n[ \t#*/;-]*({GOES_ON})", " $1")
     parts = F.split(F.regexp_replace(joined, r"[.;!?][ \t]+", "\n"), r"[\r\n]+")
     clean = lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9.]+", " ")), r"^[. ]+|[. ]+$", "")
     return F.filter(F.transform(parts, clean), lambda s: s != "")
 
 
 def named(sentence: Column, begins: str) -> Column:
-    """The licence that a sentence which begins so names, null if it is not known."""
-    name = F.regexp_replace(F.regexp_replace(sentence, begins, ""), "([ a-z])v ?([0-9])", "$1 $2")
-    name = F.trim(F.regexp_replace(F.regexp_replace(name, FILLERS, " "), " +", " "))
-    table = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
-    return F.try_element_at(table, name)
+    """The licences that a sentence which begins so names, as an expression of those joined by AND, OR and WITH in the order
+    of the sentence (brackets are not kept), null if the first of them is not known or something unknown is joined to it.
+    "or later" is kept, "only" is not."""
+    rest = F.regexp_replace(F.regexp_replace(sentence, begins, ""), "([ a-z])v ?([0-9])", "$1 $2")
+    rest = F.regexp_replace(F.regexp_replace(rest, rf"\b{LATER}\b", "orlater"), FILLERS, " ")
+    whole = F.regexp_extract(F.trim(F.regexp_replace(rest, " +", " ")), JAVA_EXPRESSION, 1)
+    table = F.create_map(*(F.lit(x) for pair in WRITTEN.items() for x in pair))
+    words = F.transform(F.regexp_extract_all(whole, F.lit(TOKEN), F.lit(0)), lambda w: F.try_element_at(table, w))
+    return F.nullif(F.array_join(words, ""), F.lit(""))
 
 
 def identifier(sentence: Column) -> Column:
@@ -194,9 +227,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 def duckdb_sql() -> str:
     """The same over the documents table in DuckDB SQL, from the same fixed values."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    bare = lambda begins: rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, {quoted(begins)}, ''), '([ a-z])v ?([0-9])', '\1 \2', 'g'), {quoted(FILLERS)}, ' ', 'g'), ' +', ' ', 'g'))"
-    table = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in NAMES.items()) + "}"
-    look = lambda kind, begins: f"WHEN regexp_matches(s, {quoted(begins)}) THEN '{kind}:' || map_extract(t, {bare(begins)})[1]"
+    later = quoted(rf"\b{LATER}\b")
+    bare = lambda begins: rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, {quoted(begins)}, ''), '([ a-z])v ?([0-9])', '\1 \2', 'g'), {later}, 'orlater', 'g'), {quoted(FILLERS)}, ' ', 'g'), ' +', ' ', 'g'))"
+    table = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in WRITTEN.items()) + "}"
+    words = lambda begins: f"regexp_extract_all(regexp_extract({bare(begins)}, {quoted(SQL_EXPRESSION)}, 1), {quoted(TOKEN)})"
+    look = lambda kind, begins: f"WHEN regexp_matches(s, {quoted(begins)}) THEN '{kind}:' || nullif(array_to_string(list_transform({words(begins)}, lambda w: map_extract(t, w)[1]), ''), '')"
     case = f"CASE {look('ref', NAMES_IT)} {look('tag', TAG)} " + " ".join(f"WHEN regexp_matches(s, {quoted(p)}) THEN {quoted(n)}" for n, p in SENTENCES) + " END"
     left, tests = "sequence", []
     for name, ids in RULES:
@@ -204,7 +239,7 @@ def duckdb_sql() -> str:
         left = f"replace({left}, {quoted(_run(ids))}, '-')"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
- j AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t]*\r?\n[ \t#*/;-]*({GOES_ON})', ' \1', 'g'), '[.;!?][ \t]+', chr(10), 'g') AS t FROM d),
+ j AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([0-9])[+]', '\1 or later', 'g'), '[ \t]*\r?\n[ \t#*/;-]*({GOES_ON})', ' \1', 'g'), '[.;!?][ \t]+', chr(10), 'g') AS t FROM d),
  l AS (SELECT doc_id, list_transform(regexp_split_to_array(t, '[\r\n]+'), lambda x: regexp_replace(trim(regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g')), '^[. ]+|[. ]+$', '', 'g')) AS s FROM j),
  u AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS k FROM l),
  n AS (SELECT {table} AS t),

@@ -36,7 +36,7 @@ CASES = [
     (GPL2, "<FreeSoftware><GplModify><Either2><GplHope>", "GPL-2.0"), (GPL3, "<GplOne3>", "GPL-3.0"), (GPL3.replace("GNU General", "GNU Affero General"), "<AgplOne3>", "AGPL-3.0"),
     (GPL2.replace("\nit under the terms of the GNU General", " it under the terms of the\nGNU Lesser General").replace("version 2", "version 2.1"), "<FreeSoftware><LgplModify><Either21><GplHope>", "LGPL-2.1"),
     (MPL, "<MplForm><Two><MplCopy>", "MPL-2.0"), ("Released under the 3-clause BSD license", "<ref:BSD-3-Clause>", "BSD-3-Clause"),
-    ("Released under the GPLv3 or later", "<ref:GPL-3.0>", "GPL-3.0"), ("License: EPL-2.0\nSPDX-License-Identifier: LGPL-2.1-or-later", "<tag:EPL-2.0><tag:LGPL-2.1>", "EPL-2.0,LGPL-2.1"),
+    ("Released under the GPLv3 or later", "<ref:GPL-3.0-or-later>", "GPL-3.0-or-later"), ("License: EPL-2.0\nSPDX-License-Identifier: LGPL-2.1-or-later", "<tag:EPL-2.0><tag:LGPL-2.1-or-later>", "EPL-2.0,LGPL-2.1-or-later"),
     ("Licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License.", "<ref:CC-BY-SA-3.0>", "CC-BY-SA-3.0"), ("Licensed under the rule of thumb.", "", ""),
     ("Licensed under CC BY-NC 4.0.\nwords", "<ref:CC-BY-NC-4.0>", "CC-BY-NC-4.0"), ("This work is licensed under the GNU General Public License, version 3.", "<ref:GPL-3.0>", "GPL-3.0"),
     ("a. Licensed under the Apache License, Version 2.0. b\nReleased under the MIT License.", "<ref:Apache-2.0><ref:MIT>", "Apache-2.0,MIT"),
@@ -46,6 +46,24 @@ CASES = [
     ("x " * 60_000 + ".\nReleased under the MIT License. " * 50, "<ref:MIT>" * 50, "MIT"),
 ]
 
+#: Sentences that name several licences, exceptions, later versions or a program, with what a reader takes from them.
+EXPRESSIONS = [
+    ("Dual licensed under MIT or Apache-2.0.", "MIT OR Apache-2.0"), ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"), ("// SPDX-License-Identifier: (GPL-2.0-only OR BSD-2-Clause)", "GPL-2.0 OR BSD-2-Clause"),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0 WITH Classpath-exception-2.0"), ("SPDX-License-Identifier: GPL-2.0-or-later WITH GCC-exception-3.1 AND MIT", "GPL-2.0-or-later WITH GCC-exception-3.1 AND MIT"),
+    ("This code is licensed under the MIT license, see LICENSE.", "MIT"), ("Licensed under the Apache License v2.0 and the MIT license.", "Apache-2.0 AND MIT"),
+    ("Use of this source code is governed by a BSD-style license that can be\nfound in the LICENSE file.", "BSD"), ("Licensed under either the MIT license or the Apache License, Version 2.0", "MIT OR Apache-2.0"),
+    ("Licensed under the GPLv2+", "GPL-2.0-or-later"), ("Released under the LGPL v2.1 or (at your option) any later version.", "LGPL-2.1-or-later"), ("Released under the MIT and/or ISC license", "MIT OR ISC"),
+    (GPL3.replace("This program", "Foo"), "GPL-3.0"), (GPL2.replace("This program", "Foo Bar 2"), "GPL-2.0"), ("Released under MIT" + " or MIT" * 20_000, "MIT" + " OR MIT" * 20_000),
+    ("Licensed under MIT or a secret licence of our own.", ""), ("Released under an open license.", ""), ("Licensed under the Open Software License version 3.0", "OSL-3.0"), ("Released under MITRE rules", ""), ("Released under the MIT 3000", ""),
+]
+
+
+def test_expressions(spark):
+    df = spark.createDataFrame(list(enumerate(t for t, _ in EXPRESSIONS)), "doc_id int, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
+    assert {t[:60]: got[k][:60] for k, (t, _) in enumerate(EXPRESSIONS)} == {t[:60]: x[:60] for t, x in EXPRESSIONS}
+    assert all(got[k] == x for k, (_, x) in enumerate(EXPRESSIONS))
+
 
 def test_cases(spark):
     df = spark.createDataFrame([(k, t, "old") for k, (t, _, _) in enumerate(CASES)] + [(None, CASES[0][0], "old")] * 2, "doc_id int, text string, licenses string")
@@ -61,7 +79,7 @@ def test_against_sql(spark):
     got = sorted(tuple(r) for r in QUERIES["op2_license_scan"](spark, "/root/testdata/sf0.01").select("doc_id", "sequence", "licenses").collect())
     assert got == sorted(con.execute(SQL["op2_license_scan"]).fetchall()) and any(r[2] for r in got)
     # the documents hold few forms: the SQL must know the others too
-    texts = [t for t, _, _ in CASES[:-1]] + list(ALONE.values()) + [f"Released under {n}, version" for n in licenses.NAMES]
+    texts = [t for t, _, _ in CASES[:-1]] + list(ALONE.values()) + [t for t, _ in EXPRESSIONS] + [f"Released under {n}, version" for n in licenses.NAMES]
     con.execute("DROP VIEW documents; CREATE TABLE documents (doc_id INT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,13 +192,23 @@ def named(sentence: Column, begins: str) -> Column:
     return F.nullif(F.array_join(words, ""), F.lit(""))
 
 
+def worth(sentence: Column) -> Column:
+    """Whether any of the patterns may fit, by one search for all that begin with set words and by what the others hold;
+    nearly every sentence ends here."""
+    open_start = "^" + _ANY
+    begun = [p.removeprefix("^") for p in (NAMES_IT, TAG, *(p for _, p in SENTENCES if not p.startswith(open_start)))]
+    held = {re.match("[a-z ]+", p.removeprefix(open_start)).group() for _, p in SENTENCES if p.startswith(open_start)}
+    return reduce(Column.__or__, (F.contains(sentence, F.lit(x)) for x in sorted(held)), sentence.rlike("^(?:" + "|".join(begun) + ")"))
+
+
 def identifier(sentence: Column) -> Column:
     """Of a normalised sentence, null if it is not known."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
         out = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(out)
     out = F.when(sentence.rlike(TAG), F.concat(F.lit("tag:"), named(sentence, TAG))).otherwise(out)
-    return F.when(sentence.rlike(NAMES_IT), F.concat(F.lit("ref:"), named(sentence, NAMES_IT))).otherwise(out)
+    out = F.when(sentence.rlike(NAMES_IT), F.concat(F.lit("ref:"), named(sentence, NAMES_IT))).otherwise(out)
+    return F.when(worth(sentence), out)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -49,3 +49,12 @@ def test_edges(spark):
 import zlib  # noqa: E402
 
 T_HELD = {i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2}
+
+
+def test_class_weights():
+    """Classes count as they do among all learnable rows, and the mean over the sample is one."""
+    sampled, known = {0: 2000, 1: 2000}, {0: 97_000, 1: 3000}
+    w = T.class_weights(sampled, known)
+    assert abs(sum(w[c] * sampled[c] for c in w) - 4000) < 1e-9
+    assert abs(w[1] * sampled[1] / 4000 - 0.03) < 1e-12
+    assert T.class_weights({0: 30, 1: 10}, {0: 30, 1: 10}) == {0: 1.0, 1: 1.0}

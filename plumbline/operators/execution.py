@@ -127,10 +127,10 @@ def fee(notional: Column, rate: Column, minimum: Column, cap: Column) -> Column:
 
 def replay(holdings: DataFrame, actions: DataFrame, key: str, at: str) -> DataFrame:
     """holdings (key, at, shares, price) with adjusted shares and price: all splits (ratio) of the key after at, in any
-    order, and cash: dividends (per share as of then) times the shares held then. Late actions (announced after they take
+    order, and cash: dividends (per share as of then) times the shares held before that day's actions. Late actions (announced after they take
     effect) fail and are named in status, as are ratios of 0 or less."""
     a = actions.select(F.col(key).alias("_key"), F.col("effective").alias("_e"), "ratio", "dividend", (F.col("announced") > F.col("effective")).alias("late"))
-    line = Window.partitionBy(*holdings.columns).orderBy("_e").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy(*holdings.columns).orderBy(F.unix_date("_e")).rangeBetween(Window.unboundedPreceding, -1)
     joined = once(holdings).join(a, (F.col(key) == F.col("_key")) & (F.col("_e") > F.col(at)), "left")
     factor = F.coalesce(F.col("ratio"), F.lit(1.0))
     before = F.coalesce(F.product(factor).over(line), F.lit(1.0))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
 
 from ..functions import ed25519
 
@@ -119,11 +120,23 @@ def signed(documents: DataFrame, secret: bytes, digest: str = "digest", signatur
     return documents.withColumn(signature, run(digest))
 
 
-def state_hash(rows: DataFrame, group: str, order: list[str], cut: Column) -> DataFrame:
-    """group and state: a digest of the rows before cut, in order. Rows after it cannot change it."""
-    before = rows.filter(cut)
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order))), lambda x: F.to_json(x)), "\n")
-    return before.groupBy(group).agg(F.sha2(text, 256).alias("state"))
+def known_spans(revisions: DataFrame, key: list[str], revision: str, known: str) -> DataFrame:
+    """revisions with known_until, when the next revision of the same key became known; null for the last one. A revision
+    that is known no earlier than a later one never held."""
+    later = Window.partitionBy(*key).orderBy(revision).rowsBetween(1, Window.unboundedFollowing)  # a row a revision
+    return revisions.withColumn("known_until", F.min(known).over(later))
+
+
+def state_hash(rows: DataFrame, group: list[str], line: Column) -> DataFrame:
+    """group and state: a digest of the group's rows, each stated as a whole by line, in any order; repeated rows count.
+    Null lines count as empty ones.
+
+    It is SHA-256 of the number of rows and the sums of four parts of 60 bits of each line's SHA-256, so rows are added up
+    where they are and no group is held together. It tells replays apart, not forgeries that are made to collide."""
+    digest = F.sha2(F.coalesce(line, F.lit("")), 256)
+    parts = [F.sum(F.conv(F.substring(digest, k, 15), 16, 10).cast("decimal(20,0)")) for k in (1, 16, 31, 46)]
+    sums = rows.groupBy(*group).agg(F.count("*").cast("string").alias("_n"), *(p.cast("string").alias(f"_p{k}") for k, p in enumerate(parts)))
+    return sums.select(*group, F.sha2(F.concat_ws(":", "_n", *(f"_p{k}" for k in range(4))), 256).alias("state"))
 
 
 def sha256_hex(text: str) -> str:

@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from . import ordered
@@ -55,9 +54,21 @@ def newey_west_t(rows: DataFrame, group: str, order: str, r: str, lags: int) ->
     return sums.select(group, "n", (F.col("_m") / (F.sqrt(s) / F.col("n"))).alias("t"))
 
 
-@F.pandas_udf(DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None or np.isnan(v) else NormalDist().cdf(v)).astype("float64")
+def normal_cdf(x: Column) -> Column:
+    """The share of a standard normal below x, to some 1e-15: a half and the density times x + x^3/3 + x^5/(3*5) + ...,
+    whose terms all have one sign; 0 or 1 more than eight deviations away, null for null or not a number."""
+
+    def of(v: Column) -> Column:
+        def add(state: Column, odd: Column) -> Column:
+            term = state["term"] * v * v / odd
+            return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"))
+
+        start = F.struct(v.alias("term"), v.alias("sum"))
+        series = F.aggregate(F.sequence(F.lit(3), F.lit(241), F.lit(2)), start, add, lambda state: state["sum"])
+        inside = 0.5 + series * F.exp(-v * v / 2) / (2 * np.pi) ** 0.5
+        return F.when(~F.isnan(v), F.when(v > 8, 1.0).when(v < -8, 0.0).otherwise(inside))
+
+    return F.transform(F.array(x.cast("double")), of)[0]
 
 
 def probabilistic_sharpe(sr: Column, n: Column, skew: Column, kurtosis: Column, benchmark: Column) -> Column:
@@ -162,16 +173,35 @@ def equity(rows: DataFrame, by: list[str], order: list[str], r: str, into: str =
 
 def bootstrap_bound(rows: DataFrame, by: list[str], index: str, a: str, b: str, draws: int = 2000, block: int = 21, seed: int = 20260816, level: float = 0.95) -> DataFrame:
     """by, bound and draws: for each series the level quantile of the correlation of a and b over circular moving-block
-    resamples of its length; its rows (one a day at most, so they are broadcast) are numbered by index from 0. Block
-    starts are hashes of seed, draw and block, so reruns agree."""
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    each = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(sizes), F.lit(True))
-    starts = each.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / block) - 1).cast("int"))).alias("k"))
-    starts = starts.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "draw", "k"), F.col("_n")))
-    picks = starts.select("*", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("_i"))
-    picks = picks.filter(F.col("k") * block + F.col("_i") < F.col("_n")).select(*by, "draw", F.pmod(F.col("start") + F.col("_i"), F.col("_n")).alias(index))
-    per_draw = picks.join(F.broadcast(rows), [*by, index]).groupBy(*by, "draw").agg(correlation(F.col(a), F.col(b)).alias("rho"))
-    return per_draw.groupBy(*by).agg(F.percentile("rho", level).alias("bound"), F.count("rho").alias("draws"))
+    resamples of its length; its rows are numbered by index from 0. A block starts at the first 32 bits of SHA-256 of
+    "seed:draw:block" modulo the length, so reruns agree. A resample in which one side does not vary has no correlation.
+
+    The sums of the block from each start are made once, so a draw adds up blocks, not rows, and no row is copied for it.
+    Columns are centred and scaled first, which keeps the sums well conditioned.
+    """
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    scaled = lambda c: (F.coalesce((F.col(c) - F.col("_m" + c)) / F.nullif(F.col("_s" + c), F.lit(0.0)), F.lit(0.0)))
+    sizes = rows.groupBy(*by).agg(
+        F.count("*").alias("_n"), *(f(F.col(c)).alias(p + c) for p, f in (("_m", F.avg), ("_s", F.stddev_pop)) for c in (a, b))
+    ).withColumn("_last", F.col("_n") - (F.ceil(F.col("_n") / block) - 1) * block)
+    held = rows.join(sizes, by).select(*by, index, "_n", "_last", F.when(both, scaled(a)).alias("_x"), F.when(both, scaled(b)).alias("_y"))
+    at = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("_i")).filter("_i < _n")
+    x, y = F.col("_x"), F.col("_y")
+    terms = {"c": F.when(x.isNotNull(), 1), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
+    sums = at.groupBy(*by, F.pmod(F.col(index) - F.col("_i"), F.col("_n")).alias("_start")).agg(
+        *(F.sum(v).alias("_f" + k) for k, v in terms.items()), *(F.sum(F.when(F.col("_i") < F.col("_last"), v)).alias("_l" + k) for k, v in terms.items())
+    )
+    each = sizes.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_draw")).repartition(*by, "_draw")
+    blocks = each.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / block) - 1).cast("int"))).alias("_k"))
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), "_draw", "_k"), 256)
+    start = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("_n"))
+    picked = blocks.withColumn("_start", start).join(sums, [*by, "_start"])
+    short = (F.col("_k") + 1) * block > F.col("_n")
+    per_draw = picked.groupBy(*by, "_draw").agg(*(F.sum(F.when(short, F.col("_l" + k)).otherwise(F.col("_f" + k))).alias("_" + k) for k in terms))
+    n, sx, sy = F.col("_c"), F.col("_x"), F.col("_y")
+    spread = lambda q, s: F.when(n * q - s * s > 1e-12 * n * q, n * q - s * s)
+    rho = (n * F.col("_xy") - sx * sy) / F.sqrt(spread(F.col("_xx"), sx) * spread(F.col("_yy"), sy))
+    return per_draw.select(*by, rho.alias("_rho")).groupBy(*by).agg(F.percentile("_rho", level).alias("bound"), F.count("_rho").alias("draws"))
 
 
 def rank_correlations(rows: DataFrame, by: list[str], x: str, y: str, least: int = 2, into: str = "ic") -> DataFrame:

@@ -90,7 +90,10 @@ def fee_assessment(t: Tables) -> DataFrame:
     return t.lineitem.select(*KEYS, X.fee(amount, F.col("l_tax"), F.lit(50), F.lit(2000)).cast("double").alias("fee"))
 
 
-@query()
+@query("""WITH a AS (SELECT l_partkey, l_shipdate::DATE AS e, CASE WHEN l_quantity > 25 THEN 2.0::DOUBLE ELSE 1.0 END AS ratio, l_tax AS dividend FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate::DATE > DATE '1994-01-01'),
+ w AS (SELECT *, coalesce(product(ratio) OVER (PARTITION BY l_partkey ORDER BY e RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING), 1) AS before FROM a),
+ s AS (SELECT l_partkey, product(ratio) AS f, sum(dividend * before) AS paid FROM w GROUP BY 1)
+ SELECT p_partkey, DATE '1994-01-01' AS "at", p_size::DOUBLE AS shares, p_retailprice AS price, p_size * coalesce(f, 1) AS adjusted_shares, round(p_retailprice / coalesce(f, 1), 6) AS adjusted_price, round(p_size * coalesce(paid, 0), 4) AS cash, 'ok' AS status FROM part LEFT JOIN s ON l_partkey = p_partkey""")
 def split_dividend_replay(t: Tables) -> DataFrame:
     """Parts held since a customer's first order; each return of a part is an action on it."""
     holdings = t.part.select("p_partkey", F.lit("1994-01-01").cast("date").alias("at"), F.col("p_size").cast("double").alias("shares"), F.col("p_retailprice").alias("price"))
@@ -98,7 +101,8 @@ def split_dividend_replay(t: Tables) -> DataFrame:
         F.col("l_partkey").alias("p_partkey"), F.col("l_shipdate").cast("date").alias("effective"), F.date_sub(F.col("l_shipdate").cast("date"), 10).alias("announced"),
         F.when(F.col("l_quantity") > 25, 2.0).otherwise(1.0).alias("ratio"), F.col("l_tax").alias("dividend"),
     )
-    return X.replay(holdings, actions, "p_partkey", "at")
+    found = X.replay(holdings, actions, "p_partkey", "at")
+    return found.withColumns({"adjusted_price": F.round("adjusted_price", 6), "cash": F.round("cash", 4)})
 
 
 @query("""WITH p AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN -l_quantity ELSE l_quantity END AS n, l_extendedprice / l_quantity AS s, lag(l_extendedprice / l_quantity) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS b FROM lineitem)
@@ -112,7 +116,9 @@ def variation_margin(t: Tables) -> DataFrame:
     return rows.select(*KEYS, (F.round(X.variation_margin(F.col("n"), 50.0, F.col("b"), F.col("s")), 4) + 0.0).alias("margin"))
 
 
-@query()
+@query("""WITH c AS (SELECT p_brand, p_partkey::DOUBLE AS strike, 2000 - p_retailprice AS bid, 2010 - p_retailprice AS ask FROM part), m AS (SELECT *, (bid + ask) / 2 AS mid FROM c),
+ s AS (SELECT *, (mid - lag(mid) OVER w) / (strike - lag(strike) OVER w) AS before, (lead(mid) OVER w - mid) / (lead(strike) OVER w - strike) AS after FROM m WINDOW w AS (PARTITION BY p_brand ORDER BY strike))
+ SELECT p_brand, strike, bid, ask, bid > ask AS crossed, coalesce(before <= 0, true) AS monotone, coalesce(after >= before - 1e-12, true) AS convex FROM s""")
 def chain_checks(t: Tables) -> DataFrame:
     chain = t.part.select("p_brand", F.col("p_partkey").cast("double").alias("strike"), (2000 - F.col("p_retailprice")).alias("bid"), (2010 - F.col("p_retailprice")).alias("ask"))
     return X.chain_checks(chain, ["p_brand"])

@@ -55,14 +55,27 @@ def anchor_status(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", label.alias("label"))
 
 
-@query("""SELECT DISTINCT user_id, true AS invariant FROM events WHERE ts < TIMESTAMP '2024-01-15'""")
+@query("""WITH v AS (SELECT user_id, event_id, 0 AS revision, floor(value * 1000 + 0.5)::BIGINT AS amount, ts AS known FROM events UNION ALL SELECT user_id, event_id, 1, floor(value * 2000 + 0.5)::BIGINT, ts + INTERVAL 7 DAY FROM events WHERE event_type = 'error'),
+ k AS (SELECT user_id, event_id, max(revision) AS revision, arg_max(amount, revision) AS amount FROM v WHERE known < TIMESTAMP '2024-01-15' GROUP BY ALL), h AS (SELECT user_id, sha256(event_id || '/' || revision || '=' || amount) AS d FROM k),
+ s AS (SELECT user_id, count(*) || ':' || sum(('0x' || substr(d, 1, 15))::BIGINT) || ':' || sum(('0x' || substr(d, 16, 15))::BIGINT) || ':' || sum(('0x' || substr(d, 31, 15))::BIGINT) || ':' || sum(('0x' || substr(d, 46, 15))::BIGINT) AS x FROM h GROUP BY 1)
+ SELECT user_id, sha256(x) AS state, true AS invariant FROM s""")
 def slice_invariance(t: Tables) -> DataFrame:
-    """The state before a time from all rows and from the rows until then only."""
-    rows = t.events.select("user_id", "ts", "event_id", "value")
-    early = F.expr("ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'")
-    whole = G.state_hash(rows, "user_id", ["ts", "event_id", "value"], early)
-    cut = G.state_hash(rows.filter(early), "user_id", ["ts", "event_id", "value"], F.lit(True)).withColumnRenamed("state", "again")
-    return whole.join(cut, "user_id", "left").select("user_id", F.coalesce(F.col("state") == F.col("again"), F.lit(False)).alias("invariant"))
+    """What each user's events were at a time, errors being amended a week later: replayed from all revisions, by when
+    each was superseded, and from the revisions until then only. The digest, and whether both are the same."""
+    at = F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'")
+    events = t.events.select("user_id", "event_id", "event_type", "value", "ts")
+    amount = lambda x: F.floor(F.col("value") * x + 0.5).cast("long").alias("amount")
+    first = events.select("user_id", "event_id", F.lit(0).alias("revision"), amount(1000), F.col("ts").alias("known"))
+    amended = events.filter("event_type = 'error'").select("user_id", "event_id", F.lit(1).alias("revision"), amount(2000), F.expr("ts + INTERVAL '7' DAY").alias("known"))
+    revisions = first.unionByName(amended)
+
+    def state(rows: DataFrame) -> DataFrame:
+        spans = G.known_spans(rows, ["user_id", "event_id"], "revision", "known")
+        held = spans.filter((F.col("known") < at) & (F.col("known_until").isNull() | (F.col("known_until") >= at)))
+        return G.state_hash(held, ["user_id"], F.format_string("%d/%d=%d", "event_id", "revision", "amount"))
+
+    cut = state(revisions.filter(F.col("known") < at)).withColumnRenamed("state", "again")
+    return state(revisions).join(cut, "user_id", "full").select("user_id", "state", F.coalesce(F.col("state") == F.col("again"), F.lit(False)).alias("invariant"))
 
 
 @query("""WITH r AS (SELECT conv_id, turn, length(text) AS n, conv_id % 5 AS kind FROM conversations),

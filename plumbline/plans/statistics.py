@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -180,7 +183,16 @@ def beta_hedge(t: Tables) -> DataFrame:
     return sums.select("sleeve", F.round("b", 6).alias("beta"), F.round(F.col("r") - F.col("b") * F.col("k"), 6).alias("hedged"))
 
 
-@query()
+def below(x: str) -> str:
+    """DuckDB's share of a standard normal below x, with each term of the series by itself."""
+    return f"0.5 + exp(-0.5 * ({x}) * ({x})) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda i: sign({x}) * pow(abs({x}), 2 * i + 1) * exp(i * ln(2) + lgamma(i + 1) - lgamma(2 * i + 2))))"
+
+
+#: The normal quantiles of 1 - 1/5 and 1 - 1/(5e), as there are five priorities.
+@query(f"""WITH {R}, m AS (SELECT sleeve, avg(r) AS mu FROM s GROUP BY 1), c AS (SELECT sleeve, count(*) AS n, any_value(mu) / stddev_samp(r) AS sr, avg((r - mu) ** 3) / avg((r - mu) ** 2) ** 1.5 AS skew, avg((r - mu) ** 4) / avg((r - mu) ** 2) ** 2 AS kurt FROM s JOIN m USING (sleeve) GROUP BY 1),
+ b AS (SELECT stddev_samp(sr) * ((1 - 0.5772156649015329) * {NormalDist().inv_cdf(0.8)} + 0.5772156649015329 * {NormalDist().inv_cdf(1 - 1 / (5 * math.e))}) AS best FROM c),
+ z AS (SELECT sleeve, n, sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS p, (sr - best) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS d FROM c, b)
+ SELECT sleeve, n, round(CASE WHEN abs(p) > 8 THEN (1 + sign(p)) / 2 ELSE {below("greatest(-8, least(8, p))")} END, 6) AS psr, round(CASE WHEN abs(d) > 8 THEN (1 + sign(d)) / 2 ELSE {below("greatest(-8, least(8, d))")} END, 6) AS dsr FROM z""")
 def psr_dsr(t: Tables) -> DataFrame:
     """Probabilistic and deflated Sharpe ratio; the trials are the sleeves."""
     per = returns(t).groupBy("sleeve").agg(
@@ -189,12 +201,18 @@ def psr_dsr(t: Tables) -> DataFrame:
     trials = per.agg(F.count("*").alias("k"), F.var_samp("sr").alias("v")).first()  # one row
     best = stats.expected_best(trials.k, trials.v or 0.0)
     args = F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt")
-    return per.select("sleeve", "n", stats.probabilistic_sharpe(*args, F.lit(0.0)).alias("psr"), stats.probabilistic_sharpe(*args, F.lit(best)).alias("dsr"))
+    chance = lambda benchmark: F.round(stats.probabilistic_sharpe(*args, F.lit(benchmark)), 6)
+    return per.select("sleeve", "n", chance(0.0).alias("psr"), chance(best).alias("dsr"))
 
 
-@query()
+@query(f"""WITH {R}, e AS (SELECT min(day) AS lo, max(day) AS hi FROM s), u AS (SELECT sleeve, least(7, date_diff('day', lo, day) * 8 // (date_diff('day', lo, hi) + 1)) AS block, r FROM s, e),
+ q AS (SELECT sleeve, block, sum(r) AS s, sum(r * r) AS q, count(r) AS c FROM u GROUP BY ALL), m AS (SELECT range AS m FROM range(256) WHERE bit_count(range) = 4),
+ g AS (SELECT m, sleeve, (m >> block) & 1 = 1 AS inside, sum(s) AS s, sum(q) AS q, sum(c) AS c FROM q, m GROUP BY ALL),
+ v AS (SELECT m, sleeve, max(CASE WHEN inside THEN s / c / sqrt(q / c - (s / c) ** 2) END) AS a, max(CASE WHEN NOT inside THEN s / c / sqrt(q / c - (s / c) ** 2) END) AS b FROM g GROUP BY ALL),
+ k AS (SELECT *, rank() OVER (PARTITION BY m ORDER BY b) AS place, count(*) OVER (PARTITION BY m) AS n, row_number() OVER (PARTITION BY m ORDER BY a DESC, sleeve DESC) AS best FROM v WHERE a IS NOT NULL AND b IS NOT NULL)
+ SELECT round(avg(CASE WHEN n > 1 THEN CASE WHEN 2 * place <= n + 1 THEN 1.0 ELSE 0.0 END END), 6) AS pbo, count(*) AS n_splits FROM k WHERE best = 1""")
 def pbo_cscv(t: Tables) -> DataFrame:
-    return stats.overfitting(returns(t), "sleeve", "day", "r")
+    return stats.overfitting(returns(t), "sleeve", "day", "r").withColumn("pbo", F.round("pbo", 6))
 
 
 @query("""WITH r AS (SELECT o_orderkey, year(o_orderdate) AS cohort, o_orderpriority AS g, o_totalprice AS y, o_custkey::DOUBLE AS a, dayofyear(o_orderdate)::DOUBLE AS b FROM orders),
@@ -239,12 +257,15 @@ def drawdown_delta(t: Tables) -> DataFrame:
     return wide.select("sleeve", F.round("with_sleeve", 6).alias("with_sleeve"), F.round("without_sleeve", 6).alias("without_sleeve"), F.round(F.col("with_sleeve") - F.col("without_sleeve"), 6).alias("drawdown_delta"))
 
 
-@query()
+@query(f"""WITH {PAIRS}, q AS (SELECT a, b, x, y, row_number() OVER (PARTITION BY a, b ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY a, b) AS n FROM p), z AS (SELECT DISTINCT a, b, n FROM q),
+ w AS (SELECT a, b, n, draw, unnest(range(0, (n + 20) // 21)) AS k FROM z, range(2000) AS g(draw)), h AS (SELECT *, ('0x' || substr(sha256('20260816:' || draw || ':' || k), 1, 8))::BIGINT % n AS start FROM w),
+ i AS (SELECT a, b, n, draw, k, start, unnest(range(0, 21)) AS j FROM h), c AS (SELECT i.a, i.b, draw, corr(x, y) AS rho FROM i JOIN q ON q.a = i.a AND q.b = i.b AND q.i = (start + j) % i.n WHERE k * 21 + j < i.n GROUP BY ALL)
+ SELECT a, b, round(quantile_cont(rho, 0.95), 6) AS bound, count(rho) AS draws FROM c GROUP BY ALL""")
 def block_bootstrap(t: Tables) -> DataFrame:
     """Of every pair of sleeves."""
     line = Window.partitionBy("a", "b").orderBy("day")
     numbered = paired(t).select("a", "b", (F.row_number().over(line) - 1).cast("long").alias("i"), "x", "y")  # a row a day
-    return stats.bootstrap_bound(numbered, ["a", "b"], "i", "x", "y")
+    return stats.bootstrap_bound(numbered, ["a", "b"], "i", "x", "y").withColumn("bound", F.round("bound", 6))
 
 
 @query("""WITH b AS (SELECT user_id, ts::DATE AS day, sum(value) AS v FROM events GROUP BY ALL), h AS (SELECT unnest([1, 2, 5]) AS horizon),

@@ -130,8 +130,9 @@ def replay(holdings: DataFrame, actions: DataFrame, key: str, at: str) -> DataFr
     order, and cash: dividends (per share as of then) times the shares held before that day's actions. Late actions (announced after they take
     effect) fail and are named in status, as are ratios of 0 or less."""
     a = actions.select(F.col(key).alias("_key"), F.col("effective").alias("_e"), "ratio", "dividend", (F.col("announced") > F.col("effective")).alias("late"))
-    line = Window.partitionBy(*holdings.columns).orderBy(F.unix_date("_e")).rangeBetween(Window.unboundedPreceding, -1)
-    joined = once(holdings).join(a, (F.col(key) == F.col("_key")) & (F.col("_e") > F.col(at)), "left")
+    own = Window.partitionBy(*holdings.columns)
+    line = own.orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)  # what took effect on earlier days
+    joined = once(holdings).join(a, (F.col(key) == F.col("_key")) & (F.col("_e") > F.col(at)), "left").withColumn("_day", F.dense_rank().over(own.orderBy("_e")))
     factor = F.coalesce(F.col("ratio"), F.lit(1.0))
     before = F.coalesce(F.product(factor).over(line), F.lit(1.0))
     paid = joined.withColumn("_cash", F.coalesce(F.col("dividend"), F.lit(0.0)) * F.col("shares") * before)

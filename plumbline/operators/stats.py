@@ -195,7 +195,8 @@ def bootstrap_bound(rows: DataFrame, by: list[str], index: str, a: str, b: str,
     blocks = each.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / block) - 1).cast("int"))).alias("_k"))
     digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), "_draw", "_k"), 256)
     start = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("_n"))
-    picked = blocks.withColumn("_start", start).join(sums, [*by, "_start"])
+    # the exploded blocks are small in the shuffle before and large here: neither side is to be broadcast
+    picked = blocks.withColumn("_start", start).join(sums.hint("merge"), [*by, "_start"])
     short = (F.col("_k") + 1) * block > F.col("_n")
     per_draw = picked.groupBy(*by, "_draw").agg(*(F.sum(F.when(short, F.col("_l" + k)).otherwise(F.col("_f" + k))).alias("_" + k) for k in terms))
     n, sx, sy = F.col("_c"), F.col("_x"), F.col("_y")

@@ -87,3 +87,24 @@ def carried(df: DataFrame, order: Sequence[Column | str], value: str, into: str,
     both = _with_edges(rows, keys, [last], [before])
     inside = Window.partitionBy(PART, *keys).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(into, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_before"))).drop(PART, PLACE, "_before")
+
+
+def on_lines(df: DataFrame, points: DataFrame, key: str, at: str, x: str, y: str, into: str) -> DataFrame:
+    """df with column into: the height at its column at of the line through its key's points, level beyond both ends. Rows
+    whose key has no points at all are left out; a null place has a null height. Of points at one place the largest y
+    holds. points: key, x, y.
+
+    Each point is met with the next one and carried to the rows behind it, so a key with many rows on both sides is
+    sorted, not joined or searched row by row. A key's line begins with a point at no place, which knows only the next.
+    """
+    curve = points.filter(F.col(key).isNotNull() & F.col(x).isNotNull()).groupBy(key, F.col(x).alias("_x")).agg(F.max(y).alias("_y"))
+    begin = points.filter(F.col(key).isNotNull()).select(key).distinct()
+    nothing = [F.lit(None).cast(curve.schema[c].dataType).alias(c) for c in ("_x", "_y")]
+    steps = with_previous(curve.union(begin.select(key, *nothing)), [F.col("_x").desc_nulls_last()], ["_x", "_y"], ["_x1", "_y1"], [key])
+    marks = steps.select(key, F.col("_x").alias("_t"), F.lit(0).alias("_side"), F.struct("_x", "_y", "_x1", "_y1").alias("_s"))
+    lines = df.filter(F.col(key).isNotNull()).withColumns({"_t": F.col(at), "_side": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    met = carried(lines, ["_t", "_side"], "_s", "_step", [key]).filter("_side = 1 AND _step IS NOT NULL")
+    x0, y0, x1, y1 = (F.col("_step")[c] for c in ("_x", "_y", "_x1", "_y1"))
+    between = y0 + (y1 - y0) * (F.col(at) - x0) / (x1 - x0)
+    height = F.when(F.col(at).isNotNull(), F.when(x0.isNull(), y1).when(x1.isNull(), y0).otherwise(between))
+    return met.select(*df.columns, height.alias(into))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import ordered
 from .registry import Tables, query
 
 
@@ -172,12 +173,11 @@ def decade_lines(t: Tables) -> DataFrame:
  f AS (SELECT c_custkey, q.x, (SELECT arg_max({'x': b.x, 'y': b.y}, b.x) FROM b WHERE b.g = q.g AND b.x <= q.x) AS a, (SELECT arg_min({'x': b.x, 'y': b.y}, b.x) FROM b WHERE b.g = q.g AND b.x > q.x) AS c FROM q WHERE g IN (SELECT g FROM b))
  SELECT c_custkey, round(CASE WHEN a IS NULL THEN c.y WHEN c IS NULL THEN a.y ELSE a.y + (c.y - a.y) * (x - a.x) / (c.x - a.x) END, 6) AS height FROM f""")
 def breakpoint_line(t: Tables) -> DataFrame:
-    """Customers' balances on the line through their nation's suppliers, sorted by balance; a nation's suppliers stand
-    for the few breakpoints of a curve."""
-    b = t.supplier.groupBy("s_nationkey", "s_acctbal").agg(F.max("s_suppkey").cast("double").alias("y"))
-    curves = b.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.collect_list(F.struct(F.col("s_acctbal").alias("x"), "y")).alias("points"))
-    joined = t.customer.join(curves, "c_nationkey")
-    return joined.select("c_custkey", F.round(S.on_breakpoints(F.col("c_acctbal"), F.col("points")), 6).alias("height"))
+    """Customers' balances on the line through their nation's suppliers, sorted by balance."""
+    points = t.supplier.select(F.col("s_nationkey").alias("c_nationkey"), "s_acctbal", F.col("s_suppkey").cast("double").alias("y"))
+    customers = t.customer.select("c_custkey", "c_nationkey", "c_acctbal")
+    found = ordered.on_lines(customers, points, "c_nationkey", "c_acctbal", "s_acctbal", "y", "height")
+    return found.select("c_custkey", F.round("height", 6).alias("height"))
 
 
 @query("""SELECT p_partkey, regexp_replace(p_name || ' — ' || p_brand, '\\s*[–—]\\s*', ' - ', 'g') AS name, trim(regexp_replace(replace(p_type, ' ', '  '), '[ \\t\\r\\n]+', ' ', 'g')) AS kind FROM part""")

@@ -81,3 +81,36 @@ def test_folder_of_a_cluster_must_be_set(spark, monkeypatch):
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         with pytest.raises(ValueError):
             shared.folder(Session)
+
+
+def test_lines_as_sql_on_odd_rows(spark, tmp_path):
+    """Null, infinite and NaN places, a nation whose suppliers have none, and very many breakpoints of one nation."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rng = random.Random(8)
+    odd = [None, float("inf"), float("-inf"), float("nan"), 0.0, -0.0, 2.0]
+    suppliers = [(k, rng.choice([1, 2, None]), rng.choice([None, *range(9)])) for k in range(60)] + [(60, 3, None), (None, 4, 1.0), (61, 4, 5.0)]
+    suppliers += [(100 + k, 5, odd[k % 7]) for k in range(7)] + [(1000 + k, 6, k * 0.5) for k in range(3000)]
+    customers = [(k, rng.choice([1, 2, 3, 4, 5, 7, None]), rng.choice([*odd, rng.uniform(-1, 10)])) for k in range(400)]
+    customers += [(1000 + k, 6, rng.uniform(-10, 1600)) for k in range(3000)]
+    as_double = lambda rows: [(a, b, None if c is None else float(c)) for a, b, c in rows]
+    spark.createDataFrame(as_double(suppliers), "s_suppkey long, s_nationkey int, s_acctbal double").repartition(3).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(as_double(customers), "c_custkey long, c_nationkey int, c_acctbal double").repartition(3).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("supplier", "customer"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = duckdb.sql(entry.oracle_sql()["breakpoint_line"]).fetchall()
+    got = entry.queries()["breakpoint_line"](spark, str(tmp_path)).collect()
+    assert len(want) > 3200
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_lines_have_no_arrays_of_points(spark):
+    """A row's work does not grow with the points of its key."""
+    points = spark.range(20_000).selectExpr("1 AS k", "id * 1.0D AS x", "id * 2.0D AS y")
+    rows = spark.range(20_000).selectExpr("1 AS k", "id + 0.25D AS at")
+    found = ordered.on_lines(rows, points, "k", "at", "x", "y", "h")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "array_sort" not in plan and "collect_list" not in plan
+    assert found.filter("abs(h - least(2 * at, 39998)) > 1e-9").count() == 0 and found.count() == 20_000

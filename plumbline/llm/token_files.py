@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,8 @@ SLICE_BYTES, SLICE_TEXTS, REMEMBERED = 4 << 20, 20_000, 300_000
 SLICE_TOKENS = 1_000_000
 
 #: Stretches whose pieces are the same with a space after the letters: the tokenizer parts letters from marks itself.
-_MARKED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])"
+#: Apostrophes, which may begin a piece with letters, and the marks of special tokens are none of these.
+_MARKED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~])"
 #: Lower-case letters that no normal form changes: such a stretch is one piece.
 _LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 
@@ -77,29 +79,34 @@ class Library:
         rest = iter(sorted(set(shown) - {chr(b) for b in plain}))
         self.letter = {b: chr(b) if b in plain else next(rest) for b in range(256)}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # those not met since known was begun anew, forgotten at the next time
 
     def _word(self, word: str) -> bytes:
         if not word.isascii():
             word = "".join([self.letter[b] for b in word.encode()])
-        return np.array([t.id for t in self.model.tokenize(word)], np.int32).tobytes()
+        return array("i", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _stretches(self, stretches: list[str]) -> list[bytes]:
         """The ids of each stretch as bytes of 32-bit numbers."""
-        known, lower = self.known, [x.lower() for x in stretches]
-        if len(known) > REMEMBERED:
-            known.clear()
-        own: dict[str, bytes] = {}
+        if len(self.known) > REMEMBERED // 3:
+            self.known, self.older = {}, self.known
+        known, lower = self.known, list(map(str.lower, stretches))
+        made = list(map(known.get, lower))
         odd = []
-        for x, low in zip(stretches, lower):
-            if low not in known:
-                if _LETTERS.fullmatch(low):
-                    known[low] = self._word(low)
-                else:
-                    odd.append(x)
+        for k, ids in enumerate(made):
+            if ids is None:
+                low = lower[k]
+                ids = known.get(low) or self.older.get(low)  # known: two spellings of a slice
+                if ids is None:
+                    if not _LETTERS.fullmatch(low):
+                        odd.append(k)
+                        continue
+                    ids = self._word(low)
+                made[k] = known[low] = ids
         if odd:
-            for x, made in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False)):
-                own[x] = np.array(made.ids, np.int32).tobytes()
-        return [own[x] if x in own else known[low] for x, low in zip(stretches, lower)]
+            for k, x in zip(odd, self.whole.encode_batch_fast([stretches[k] for k in odd], add_special_tokens=False)):
+                made[k] = array("i", x.ids).tobytes()
+        return made
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and, at last, end). A null text is an empty one."""
@@ -109,14 +116,11 @@ class Library:
         coded = pc.dictionary_encode(chunks.flatten())
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        word = coded.indices.to_numpy().astype(np.int64)
-        made = self._stretches(coded.dictionary.to_pylist())
+        made = self._stretches(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.fromiter(map(len, made), np.int64, len(made)) // 4
         flat = np.frombuffer(b"".join(made), np.int32)
-        n = size[word]
-        upto = np.concatenate([[0], n.cumsum()])
-        ids = flat[np.repeat(size.cumsum()[word] - n - upto[:-1], n) + np.arange(upto[-1])] if len(word) else flat
-        return ids, upto[ends - ends[0]]
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], size.cumsum()])), pa.array(flat)).take(coded.indices)
+        return lists.values.to_numpy(), lists.offsets.to_numpy()[ends - ends[0]]
 
 
 _HELD: dict[int, Library] = {}

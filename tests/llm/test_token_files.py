@@ -102,3 +102,39 @@ def test_empty_table(spark):
     path = workspace.new_path(spark, "tokens")
     token_files.write(spark.createDataFrame([], "doc_id long, text string"), path, tokenizer_path())
     assert token_files.with_crc(token_files.read(spark, path)).collect() == []
+
+
+def test_marks_after_letters(library):
+    """Words with any marks behind them are asked of the model as words; what they become is as the library says."""
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        own = token_files.Library(f.read())
+    rng = random.Random(11)
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    texts = ["".join(rng.choice([*marks, *marks, *"abstéßÀÿ×÷19  ", "\u0338", "\u0301", "\u0345", "'s", "'ll", "<|endoftext|>"]) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    texts += [a + m + b for m in marks for a in ("a", "É", "a\u0301", "1", "'t") for b in ("", "b", "\u0338", "'s", "1", "|endoftext|>")]
+    ids, ends = own.encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[ends[k] : ends[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, odd, **options):
+            asked.extend(odd)
+            return library.encode_batch_fast(odd, **options)
+
+    own.whole = Counting()
+    own.encode(pa.array(["that*** the&&& on%%% und### a$$$ é=x (b)"]))
+    assert sorted(asked) == ["###", "$$$", "%%%", "&&&", "(b", ")", "***", "=x"]
+
+
+def test_words_in_use_stay_known(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 6)
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        own = token_files.Library(f.read())
+    asked, ask = [], own._word
+    monkeypatch.setattr(own, "_word", lambda word: asked.append(word) or ask(word))
+    for k in range(12):
+        own.encode(pa.array([f"alpha {'bcdefghijklm'[k] * 3} {'bcdefghijklm'[k] * 4}"]))
+    assert asked.count("alpha") == 1 and len(asked) == 25
+    assert len(own.known) + len(own.older) <= 8

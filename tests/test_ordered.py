@@ -114,3 +114,17 @@ def test_lines_have_no_arrays_of_points(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "array_sort" not in plan and "collect_list" not in plan
     assert found.filter("abs(h - least(2 * at, 39998)) > 1e-9").count() == 0 and found.count() == 20_000
+
+
+def test_lines_round_as_sql(spark, tmp_path):
+    """Heights whose seventh decimal is a 5 and the last."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(0, 1, 0.0), (1, 1, 1.0)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(3000).selectExpr("id AS c_custkey", "1 AS c_nationkey", "(id * 331 + 0.5D) / 1000000 AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("supplier", "customer"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = duckdb.sql(entry.oracle_sql()["breakpoint_line"]).fetchall()
+    assert sorted(map(tuple, entry.queries()["breakpoint_line"](spark, str(tmp_path)).collect())) == sorted(want)
